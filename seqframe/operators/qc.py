@@ -73,14 +73,14 @@ def read_count(reads: DataFrame) -> DataFrame:
 
 
 def base_profile(reads: DataFrame) -> DataFrame:
-    """sample_id, pos (1-based), base, q -> n."""
+    """sample_id, pos (1-based), q -> bases seen and how many are A, C, G, T, N."""
     bases = reads.select(
         "sample_id",
         F.posexplode(F.arrays_zip(F.split("seq", "").alias("base"), F.col("quals").alias("q"))).alias("p", "b"),
+    ).select("sample_id", (F.col("p") + 1).alias("pos"), F.col("b.q").alias("q"), F.col("b.base").alias("base"))
+    return bases.groupBy("sample_id", "pos", "q").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("base") == b).alias(f"n_{b.lower()}") for b in "ACGTN"]
     )
-    return bases.groupBy(
-        "sample_id", (F.col("p") + 1).alias("pos"), F.col("b.base").alias("base"), F.col("b.q").alias("q")
-    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_profile(reads: DataFrame) -> DataFrame:
@@ -125,9 +125,8 @@ def basic_stats(profile: DataFrame) -> DataFrame:
 
 def per_base_quality(profile: DataFrame) -> DataFrame:
     """Mean, median, quartiles and 10/90 % quality per position (nearest rank), from a base profile."""
-    per_q = profile.groupBy("sample_id", "pos", "q").agg(F.sum("n").alias("n"))
     at_pos = W.partitionBy("sample_id", "pos")
-    ranked = per_q.withColumn("cum", F.sum("n").over(at_pos.orderBy("q"))).withColumn("total", F.sum("n").over(at_pos))
+    ranked = profile.withColumn("cum", F.sum("n").over(at_pos.orderBy("q"))).withColumn("total", F.sum("n").over(at_pos))
 
     def rank(percent: int) -> Column:
         return F.min(F.when(F.col("cum") * 100 >= F.col("total") * percent, F.col("q")))
@@ -152,58 +151,64 @@ def per_sequence_quality(profile: DataFrame) -> DataFrame:
     )
 
 
-def per_base_content(profile: DataFrame) -> DataFrame:
-    """% A, C, G, T among called bases at each position."""
-    counts = profile.groupBy("sample_id", "pos").agg(
-        *[F.sum(F.when(F.col("base") == b, F.col("n")).otherwise(0)).alias(b) for b in "ACGT"]
-    )
-    called = F.nullif(F.col("A") + F.col("C") + F.col("G") + F.col("T"), F.lit(0))
+def _content(profile: DataFrame) -> DataFrame:
+    counts = profile.groupBy("sample_id", "pos").agg(*[F.sum(c).alias(c) for c in ("n", *[f"n_{b}" for b in "acgtn"])])
+    called = F.nullif(F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t"), F.lit(0))
     return counts.select(
-        "sample_id", "pos", *[F.round(100.0 * F.col(b) / called, 4).alias(f"pct_{b.lower()}") for b in "ACGT"]
+        "sample_id",
+        "pos",
+        *[F.round(100.0 * F.col(f"n_{b}") / called, 4).alias(f"pct_{b}") for b in "acgt"],
+        F.round(100.0 * F.col("n_n") / F.col("n"), 4).alias("pct_n"),
     )
 
 
+def per_base_content(profile: DataFrame) -> DataFrame:
+    """% A, C, G, T among called bases at each position, from a base profile."""
+    return _content(profile).drop("pct_n")
+
+
+def per_base_n(profile: DataFrame) -> DataFrame:
+    """% of uncalled bases (N) at each position, from a base profile."""
+    return _content(profile).select("sample_id", "pos", "pct_n")
+
+
 def per_sequence_gc(profile: DataFrame) -> DataFrame:
     """Reads per GC % (0..100) next to a normal curve around the most common GC %."""
-    observed = (
-        profile.filter(F.col("gc_pct").isNotNull()).groupBy("sample_id", "gc_pct").agg(F.sum("n").alias("n_reads"))
-    )
-    centre = observed.groupBy("sample_id").agg(
+    gc = F.col("gc_pct")
+    observed = profile.filter(gc.isNotNull()).groupBy("sample_id", "gc_pct").agg(F.sum("n").alias("n_reads"))
+    # one row of at most 101 counts per sample
+    per_sample = observed.groupBy("sample_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("gc_pct", "n_reads"))).alias("hist"),
+        F.max(F.struct(F.col("n_reads").alias("n"), (-gc).alias("minus_gc"))).alias("top"),
         F.sum("n_reads").alias("total"),
-        F.max(F.struct("n_reads", -F.col("gc_pct"))).alias("top"),
-        F.sum("n_reads").alias("s0"),
-        F.sum(F.col("gc_pct") * F.col("n_reads")).alias("s1"),
-        F.sum(F.col("gc_pct") * F.col("gc_pct") * F.col("n_reads")).alias("s2"),
+        F.sum(gc * F.col("n_reads")).alias("s1"),
+        F.sum(gc * gc * F.col("n_reads")).alias("s2"),
     )
-    mode = -F.col("top.col2")
-    spread = F.col("s2") - 2 * mode * F.col("s1") + mode * mode * F.col("s0")
-    grid = centre.select(
-        "sample_id",
-        "total",
-        mode.alias("mode"),
-        F.when(F.col("total") > 1, F.sqrt(spread / (F.col("total") - 1))).alias("sd"),
-        F.explode(F.sequence(F.lit(0), F.lit(100))).alias("gc_pct"),
-    )
-    z = (F.col("gc_pct") - F.col("mode")) / F.col("sd")
-    weight = F.exp(-z * z / 2)
-    weights = grid.withColumn("weight", F.when(F.col("sd") > 0, weight).otherwise((z.isNull()).cast("double") * 0))
-    share = F.col("weight") / F.nullif(F.sum("weight").over(W.partitionBy("sample_id")), F.lit(0.0))
-    return (
-        weights.withColumn("expected", F.coalesce(share * F.col("total"), F.lit(0.0)))
-        .join(observed, ["sample_id", "gc_pct"], "left")
-        .select(
-            "sample_id",
-            "gc_pct",
-            F.coalesce("n_reads", F.lit(0)).alias("n_reads"),
-            F.round("expected", 4).alias("expected"),
-        )
+    mode, total = F.col("mode"), F.col("total")
+    spread = F.col("s2") - 2 * mode * F.col("s1") + mode * mode * total
+    fitted = per_sample.withColumn("mode", -F.col("top.minus_gc")).withColumn(
+        "sd", F.nullif(F.when(total > 1, F.sqrt(spread / F.nullif(total - 1, F.lit(0)))), F.lit(0.0))
     )
 
+    def weight(g: Column) -> Column:
+        z = (g - mode) / F.col("sd")
+        return F.coalesce(F.exp(-z * z / 2), (g == mode).cast("double"))
 
-def per_base_n(profile: DataFrame) -> DataFrame:
-    """% of uncalled bases (N) at each position."""
-    is_n = F.sum(F.when(F.col("base") == "N", F.col("n")).otherwise(0))
-    return profile.groupBy("sample_id", "pos").agg(F.round(100.0 * is_n / F.sum("n"), 4).alias("pct_n"))
+    grid = F.sequence(F.lit(0), F.lit(100))
+    weighted = fitted.withColumn("w", F.transform(grid, weight)).withColumn(
+        "w_sum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    )
+    row = F.explode(
+        F.transform(
+            grid,
+            lambda g: F.struct(
+                g.alias("gc_pct"),
+                F.coalesce(F.try_element_at("hist", g), F.lit(0)).alias("n_reads"),
+                F.round(F.get("w", g) / F.col("w_sum") * total, 4).alias("expected"),
+            ),
+        )
+    )
+    return weighted.select("sample_id", row.alias("r")).select("sample_id", "r.*")
 
 
 def length_distribution(profile: DataFrame) -> DataFrame:
@@ -233,13 +238,21 @@ def duplication_levels(seq_counts: DataFrame) -> DataFrame:
     )
 
 
+def _pct_duplicated() -> Column:
+    total = F.sum("copies")
+    return F.round(100.0 * (total - F.count(F.lit(1))) / total, 4)
+
+
+def _top_share() -> Column:
+    return 100.0 * F.max("copies") / F.sum("copies")
+
+
 def duplication_rate(seq_counts: DataFrame) -> DataFrame:
     """% of reads that would be removed by keeping one read per sequence."""
-    total = F.sum("copies")
     return seq_counts.groupBy("sample_id").agg(
         F.count(F.lit(1)).alias("n_distinct"),
-        total.alias("n_reads"),
-        F.round(100.0 * (total - F.count(F.lit(1))) / total, 4).alias("pct_duplicated"),
+        F.sum("copies").alias("n_reads"),
+        _pct_duplicated().alias("pct_duplicated"),
     )
 
 
@@ -274,87 +287,60 @@ def adapter_content(reads: DataFrame, adapters: Mapping[str, str] = ADAPTERS) ->
 
 
 def qc_flags(reads: DataFrame, limits: Limits = Limits(), adapters: Mapping[str, str] = ADAPTERS) -> DataFrame:
-    """PASS, WARN or FAIL per sample and module."""
-    bases, profile, seqs = base_profile(reads), read_profile(reads), sequence_counts(reads)
+    """PASS, WARN or FAIL per sample and module.
 
-    quality = per_base_quality(bases).filter(F.col("n_reads") > limits.min_reads)
+    Each module reduces to one number per sample; the numbers meet in one
+    aggregation, so no join is needed.
+    """
+    bases, profile, seqs = base_profile(reads), read_profile(reads), sequence_counts(reads)
+    content, lengths = _content(bases), profile.groupBy("sample_id")
     lq, med = F.col("lower_quartile"), F.col("median")
-    by_quality = (
+    worst = F.max(
         F.when((lq < limits.lower_quartile[1]) | (med < limits.median[1]), 2)
         .when((lq < limits.lower_quartile[0]) | (med < limits.median[0]), 1)
         .otherwise(0)
     )
-    names = F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), F.col("worst") + 1)
-    # samples whose positions are all thinly covered still get a verdict
-    everyone = profile.select("sample_id").distinct()
-    base_quality = (
-        everyone.join(quality.groupBy("sample_id").agg(F.max(by_quality).alias("worst")), "sample_id", "left")
-        .withColumn("worst", F.coalesce("worst", F.lit(0)))
-        .select("sample_id", F.lit(BASE_QUALITY).alias("module"), names.alias("status"))
-    )
-
-    mode = F.max(F.struct("n_reads", -F.col("mean_q"))).alias("top")
-    mode_q = -F.col("top.col2")
-    read_quality = (
-        per_sequence_quality(profile)
-        .groupBy("sample_id")
-        .agg(mode)
-        .select(
-            "sample_id",
-            F.lit(READ_QUALITY).alias("module"),
-            F.when(mode_q < limits.mode_quality[1], "FAIL")
-            .when(mode_q < limits.mode_quality[0], "WARN")
-            .otherwise("PASS")
-            .alias("status"),
-        )
-    )
-
-    gap = F.greatest(F.abs(F.col("pct_a") - F.col("pct_t")), F.abs(F.col("pct_g") - F.col("pct_c")))
+    gap = F.max(F.greatest(F.abs(F.col("pct_a") - F.col("pct_t")), F.abs(F.col("pct_g") - F.col("pct_c"))))
     gc_off = 100.0 * F.sum(F.abs(F.col("n_reads") - F.col("expected"))) / F.sum("n_reads")
-    per_sample = [
-        (BASE_CONTENT, per_base_content(bases), F.max(gap), limits.base_gap),
-        (READ_GC, per_sequence_gc(profile), gc_off, limits.gc_deviation),
-        (BASE_N, per_base_n(bases), F.max("pct_n"), limits.n_content),
-        (DUPLICATION, duplication_rate(seqs), F.max("pct_duplicated"), limits.duplicated),
+    mode_q = -F.max(F.struct(F.col("n_reads").alias("n"), (-F.col("mean_q")).alias("q")))["q"]
+    numbers = [
+        per_base_quality(bases).filter(F.col("n_reads") > limits.min_reads).groupBy("sample_id").agg(worst.alias("quality")),
+        content.groupBy("sample_id").agg(gap.alias("gap"), F.max("pct_n").alias("n_pct")),
+        per_sequence_quality(profile).groupBy("sample_id").agg(mode_q.alias("mode_q")),
+        per_sequence_gc(profile).groupBy("sample_id").agg(gc_off.alias("gc_off")),
+        lengths.agg(F.min("length").alias("len_min"), F.max("length").alias("len_max")),
+        seqs.groupBy("sample_id").agg(_pct_duplicated().alias("dup"), _top_share().alias("top_share")),
+        adapter_content(reads, adapters).groupBy("sample_id").agg(F.max("cum_percent").alias("adapter")),
     ]
-    parts = [base_quality, read_quality]
-    for module, table, value, bounds in per_sample:
-        parts.append(
-            table.groupBy("sample_id")
-            .agg(value.alias("v"))
-            .select("sample_id", F.lit(module).alias("module"), _above(F.col("v"), bounds).alias("status"))
-        )
-    lengths = length_distribution(profile).groupBy("sample_id").agg(
-        F.min("length").alias("lo"), F.max("length").alias("hi")
-    )
-    parts.append(
-        lengths.select(
-            "sample_id",
-            F.lit(READ_LENGTH).alias("module"),
-            F.when(F.col("lo") == 0, "FAIL").when(F.col("lo") != F.col("hi"), "WARN").otherwise("PASS").alias("status"),
-        )
-    )
-    parts.append(everyone.select("sample_id", F.lit(BASIC).alias("module"), F.lit("PASS").alias("status")))
-    top_share = seqs.groupBy("sample_id").agg((100.0 * F.max("copies") / F.sum("copies")).alias("v"))
-    parts.append(
-        top_share.select(
+    tall = None
+    for table in numbers:
+        names = [c for c in table.columns if c != "sample_id"]
+        part = table.select(
             "sample_id",
-            F.lit(OVERREPRESENTED).alias("module"),
-            _above(F.col("v"), limits.overrepresented).alias("status"),
-        )
-    )
-    worst_adapter = adapter_content(reads, adapters).groupBy("sample_id").agg(F.max("cum_percent").alias("v"))
-    parts.append(
-        everyone.join(worst_adapter, "sample_id", "left").select(
-            "sample_id",
-            F.lit(ADAPTER).alias("module"),
-            _above(F.coalesce("v", F.lit(0.0)), limits.adapter).alias("status"),
-        )
-    )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in names])).alias("m"),
+        ).select("sample_id", "m.k", "m.v")
+        tall = part if tall is None else tall.unionByName(part)
+    known = ("quality", "gap", "n_pct", "mode_q", "gc_off", "len_min", "len_max", "dup", "top_share", "adapter")
+    wide = tall.groupBy("sample_id").agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in known])
+    value = {c: F.col(c) for c in known}
+    status = {
+        BASIC: F.lit("PASS"),
+        BASE_QUALITY: _above(F.coalesce("quality", F.lit(0.0)), (0, 1)),
+        READ_QUALITY: F.when(value["mode_q"] < limits.mode_quality[1], "FAIL")
+        .when(value["mode_q"] < limits.mode_quality[0], "WARN")
+        .otherwise("PASS"),
+        BASE_CONTENT: _above(value["gap"], limits.base_gap),
+        READ_GC: _above(value["gc_off"], limits.gc_deviation),
+        BASE_N: _above(value["n_pct"], limits.n_content),
+        READ_LENGTH: F.when(value["len_min"] == 0, "FAIL")
+        .when(value["len_min"] != value["len_max"], "WARN")
+        .otherwise("PASS"),
+        DUPLICATION: _above(value["dup"], limits.duplicated),
+        OVERREPRESENTED: _above(value["top_share"], limits.overrepresented),
+        ADAPTER: _above(F.coalesce("adapter", F.lit(0.0)), limits.adapter),
+    }
+    rows = F.array(*[F.struct(F.lit(m).alias("module"), s.alias("status")) for m, s in status.items()])
+    return wide.select("sample_id", F.explode(rows).alias("r")).select("sample_id", "r.*")
 
 
 def qc_summary(
