@@ -108,10 +108,10 @@ def _windows(engine: str, stride: int, dna: bool) -> str:
     text = _TEXT[engine]
     t = f"translate(t,'{LETTERS}','{BASES}')" if dna else "t"
     if engine == "spark":
-        lat = f"d lateral view explode(sequence(0, cast(floor((length(t)-1)/{stride}) as int))) x as i where length(t) > 0"
-    else:
-        lat = f"d, unnest(range(0, cast(floor((length(t)-1)/{stride}) as int)+1)) x(i) where length(t) > 0"
-    return f"select doc_id, source, cast(i as int) i, substr({t}, cast(i as int)*{stride}+1, 100) t from (select * from ({text}) q where length(t)>0) {lat}"
+        return f"""select doc_id, source, i, t from (select doc_id, source, {t} letters from ({text}) q where length(t)>0) d
+ lateral view posexplode(regexp_extract_all(letters, '(?=(.{{1,100}})).{{1,{stride}}}', 1)) x as i, t"""
+    return f"""select doc_id, source, cast(i as int) i, substr({t}, cast(i as int)*{stride}+1, 100) t from (select * from ({text}) q where length(t)>0) d,
+ unnest(range(0, cast(floor((length(t)-1)/{stride}) as int)+1)) x(i)"""
 
 
 def _map(engine: str, expr: str) -> str:
@@ -120,10 +120,20 @@ def _map(engine: str, expr: str) -> str:
     return f"list_transform(range(1,length(t)+1), lambda p: {expr})"
 
 
+def _once(engine: str, expr: str, name: str) -> str:
+    """A computed column later steps read but do not compute again (as if stored)."""
+    return f" lateral view explode(array({expr})) {name}_row as {name}" if engine == "spark" else ""
+
+
+def _column(engine: str, expr: str, name: str) -> str:
+    return name if engine == "spark" else f"{expr} {name}"
+
+
 def _reads(engine: str) -> str:
+    quals = _map(engine, _QUAL)
     return f"""select concat('S',doc_id%6+1) sample_id, cast(i%2+1 as int) mate, cast(doc_id*1000000 + floor(i/2) as bigint) read_idx,
- concat('r',doc_id,'.',i) read_id, translate(t,'{LETTERS}','{BASES}') seq, {_map(engine, _QUAL)} quals
- from ({_windows(engine, 100, False)}) w"""
+ concat('r',doc_id,'.',i) read_id, translate(t,'{LETTERS}','{BASES}') seq, {_column(engine, quals, "quals")}
+ from ({_windows(engine, 100, False)}) w{_once(engine, quals, "quals")}"""
 
 
 def _contigs(engine: str) -> str:
@@ -134,11 +144,12 @@ def _contig_reads(engine: str) -> str:
     """Windows of the contigs with substitutions: fixed sites (shared by all reads) and read errors."""
     join = "array_join" if engine == "spark" else "array_to_string"
     base = f"case when (i*50+p)*31%97=0 or ((i*50+p)*7+i*13)%61=0 then {_ALT} else substr(t,p,1) end"
-    qual = "cast(greatest(2, 38 - cast(floor(p/8) as int) - (ascii(substr(t,p,1))*5+i+p)%9) as int)"
-    joined = f"{join}({_map(engine, base)},'')"
+    quals = _map(engine, "cast(greatest(2, 38 - cast(floor(p/8) as int) - (ascii(substr(t,p,1))*5+i+p)%9) as int)")
+    seq = f"{join}({_map(engine, base)},'')"
     return f"""select concat('m',doc_id,'.',i) read_id, concat('S',doc_id%6+1) sample_id, concat('rg',i%2) read_group,
  cast(case when i%2=0 then 0 else 16 end as int) flag, concat('c',doc_id) chrom, cast(i*50+1 as bigint) pos, cast(60 as int) mapq,
- concat(length(t),'M') cigar, {joined} seq, {_map(engine, qual)} quals from ({_windows(engine, 50, True)}) w"""
+ concat(length(t),'M') cigar, {_column(engine, seq, "seq")}, {_column(engine, quals, "quals")}
+ from ({_windows(engine, 50, True)}) w{_once(engine, seq, "seq")}{_once(engine, quals, "quals")}"""
 
 
 BUILT = {"reads": _reads, "contigs": _contigs, "contig_reads": _contig_reads}

@@ -26,16 +26,19 @@ def last_at_least(quals: Column, q: Column) -> Column:
 
 
 def window_cut(quals: Column, width: Column, q: Column) -> Column:
-    """Bases before the first window of ``width`` whose mean quality is below q (all if none)."""
+    """Bases before the first window of ``width`` whose mean quality is below q (all if none).
+
+    One pass with one integer of state: the running window sum while nothing is
+    found, then ``-(cut + 1)``.
+    """
     n = F.size(quals)
-    start = F.struct(F.lit(0).alias("sum"), n.alias("cut"))
 
     def step(acc: Column, i: Column) -> Column:
-        total = acc["sum"] + F.get(quals, i) - F.when(i >= width, F.get(quals, i - width)).otherwise(0)
-        low = (i >= width - 1) & (total < width * q) & (acc["cut"] == n)
-        return F.struct(total.alias("sum"), F.when(low, i - width + 1).otherwise(acc["cut"]).alias("cut"))
+        total = acc + F.get(quals, i) - F.when(i >= width, F.get(quals, i - width)).otherwise(0)
+        low = (i >= width - 1) & (total < width * q)
+        return F.when(acc < 0, acc).when(low, width - i - 2).otherwise(total)
 
     index = F.when(n >= width, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(
         F.array().cast("array<int>")
     )
-    return F.aggregate(index, start, step, lambda acc: acc["cut"])
+    return F.aggregate(index, F.lit(0), step, lambda acc: F.when(acc < 0, -acc - 1).otherwise(n))

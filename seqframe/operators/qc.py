@@ -172,43 +172,50 @@ def per_base_n(profile: DataFrame) -> DataFrame:
     return _content(profile).select("sample_id", "pos", "pct_n")
 
 
-def per_sequence_gc(profile: DataFrame) -> DataFrame:
-    """Reads per GC % (0..100) next to a normal curve around the most common GC %."""
-    gc = F.col("gc_pct")
-    observed = profile.filter(gc.isNotNull()).groupBy("sample_id", "gc_pct").agg(F.sum("n").alias("n_reads"))
-    # one row of at most 101 counts per sample
-    per_sample = observed.groupBy("sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("gc_pct", "n_reads"))).alias("hist"),
-        F.max(F.struct(F.col("n_reads").alias("n"), (-gc).alias("minus_gc"))).alias("top"),
-        F.sum("n_reads").alias("total"),
-        F.sum(gc * F.col("n_reads")).alias("s1"),
-        F.sum(gc * gc * F.col("n_reads")).alias("s2"),
-    )
-    mode, total = F.col("mode"), F.col("total")
-    spread = F.col("s2") - 2 * mode * F.col("s1") + mode * mode * total
-    fitted = per_sample.withColumn("mode", -F.col("top.minus_gc")).withColumn(
-        "sd", F.nullif(F.when(total > 1, F.sqrt(spread / F.nullif(total - 1, F.lit(0)))), F.lit(0.0))
+def _gc_sums(gc: Column, n: Column) -> list[Column]:
+    """Aggregates (at most 101 counts per sample) that the GC curve is fitted from."""
+    entry = F.when(gc.isNotNull(), F.struct(gc.alias("gc_pct"), n.alias("n_reads")))
+    return [
+        F.map_from_entries(F.collect_list(entry)).alias("gc_hist"),
+        F.max(F.when(gc.isNotNull(), F.struct(n.alias("n"), (-gc).alias("minus_gc")))).alias("gc_top"),
+        F.sum(F.when(gc.isNotNull(), n)).alias("gc_total"),
+        F.sum(gc * n).alias("gc_s1"),
+        F.sum(gc * gc * n).alias("gc_s2"),
+    ]
+
+
+def _fit_gc(sums: DataFrame) -> DataFrame:
+    """Add ``gc_rows``: observed and expected reads for each GC %, around the most common one."""
+    mode, total = F.col("gc_mode"), F.col("gc_total")
+    spread = F.col("gc_s2") - 2 * mode * F.col("gc_s1") + mode * mode * total
+    fitted = sums.withColumn("gc_mode", -F.col("gc_top.minus_gc")).withColumn(
+        "gc_sd", F.nullif(F.when(total > 1, F.sqrt(spread / F.nullif(total - 1, F.lit(0)))), F.lit(0.0))
     )
 
     def weight(g: Column) -> Column:
-        z = (g - mode) / F.col("sd")
+        z = (g - mode) / F.col("gc_sd")
         return F.coalesce(F.exp(-z * z / 2), (g == mode).cast("double"))
 
     grid = F.sequence(F.lit(0), F.lit(100))
-    weighted = fitted.withColumn("w", F.transform(grid, weight)).withColumn(
-        "w_sum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    weighted = fitted.withColumn("gc_w", F.transform(grid, weight)).withColumn(
+        "gc_w_sum", F.aggregate("gc_w", F.lit(0.0), lambda a, x: a + x)
     )
-    row = F.explode(
-        F.transform(
-            grid,
-            lambda g: F.struct(
-                g.alias("gc_pct"),
-                F.coalesce(F.try_element_at("hist", g), F.lit(0)).alias("n_reads"),
-                F.round(F.get("w", g) / F.col("w_sum") * total, 4).alias("expected"),
-            ),
-        )
+    rows = F.transform(
+        grid,
+        lambda g: F.struct(
+            g.alias("gc_pct"),
+            F.coalesce(F.try_element_at("gc_hist", g), F.lit(0)).alias("n_reads"),
+            F.round(F.get("gc_w", g) / F.col("gc_w_sum") * total, 4).alias("expected"),
+        ),
     )
-    return weighted.select("sample_id", row.alias("r")).select("sample_id", "r.*")
+    return weighted.withColumn("gc_rows", rows)
+
+
+def per_sequence_gc(profile: DataFrame) -> DataFrame:
+    """Reads per GC % (0..100) next to a normal curve around the most common GC %."""
+    observed = profile.filter("gc_pct is not null").groupBy("sample_id", "gc_pct").agg(F.sum("n").alias("n"))
+    sums = observed.groupBy("sample_id").agg(*_gc_sums(F.col("gc_pct"), F.col("n")))
+    return _fit_gc(sums).select("sample_id", F.inline("gc_rows"))
 
 
 def length_distribution(profile: DataFrame) -> DataFrame:
@@ -286,46 +293,91 @@ def adapter_content(reads: DataFrame, adapters: Mapping[str, str] = ADAPTERS) ->
     )
 
 
+def read_numbers(reads: DataFrame, adapters: Mapping[str, str]) -> DataFrame:
+    """Histograms of everything known from one read alone, in one scan: sample_id, kind, value -> n."""
+    size = F.length("seq")
+    called, gc = _letters(F.col("seq"), "ACGT"), _letters(F.col("seq"), "GC")
+    qsum = F.aggregate("quals", F.lit(0), lambda a, q: a + q)
+    facts = {
+        "length": size,
+        "mean_q": F.floor(qsum / F.nullif(size, F.lit(0))).cast("int"),
+        "gc_pct": F.floor((200 * gc + called) / F.nullif(2 * called, F.lit(0))).cast("int"),
+        **{f"adapter {name}": F.nullif(F.instr("seq", a), F.lit(0)) for name, a in adapters.items()},
+    }
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in facts.items()])
+    return (
+        reads.select("sample_id", F.inline(pairs))
+        .filter(F.col("value").isNotNull())
+        .groupBy("sample_id", "kind", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def _of_reads(histograms: DataFrame, adapters: Mapping[str, str]) -> DataFrame:
+    """One row per sample of everything the read-level modules judge."""
+    value, n = F.col("value"), F.col("n")
+
+    def of(kind: str, column: Column) -> Column:
+        return F.when(F.col("kind") == kind, column)
+
+    hits = [F.sum(of(f"adapter {name}", n)) for name in adapters]
+    most_hits = F.greatest(F.lit(0), F.lit(0), *[F.coalesce(h, F.lit(0)) for h in hits])
+    sums = histograms.groupBy("sample_id").agg(
+        F.min(of("length", value)).alias("len_min"),
+        F.max(of("length", value)).alias("len_max"),
+        (-F.max(of("mean_q", F.struct("n", (-value).alias("v"))))["v"]).alias("mode_q"),
+        F.round(100.0 * most_hits / F.sum(of("length", n)), 4).alias("adapter"),
+        *_gc_sums(of("gc_pct", value), n),
+    )
+    off = F.aggregate("gc_rows", F.lit(0.0), lambda a, r: a + F.abs(r["n_reads"] - r["expected"]))
+    return _fit_gc(sums).select(
+        "sample_id", "len_min", "len_max", "mode_q", "adapter", (100.0 * off / F.col("gc_total")).alias("gc_off")
+    )
+
+
+def _of_bases(profile: DataFrame, limits: Limits) -> DataFrame:
+    """One row per sample of everything the base-level modules judge, along one chain of shuffles."""
+    at_pos = W.partitionBy("sample_id", "pos")
+    n, total, cum = F.col("n"), F.col("total"), F.col("cum")
+    ranked = profile.withColumn("cum", F.sum("n").over(at_pos.orderBy("q"))).withColumn("total", F.sum("n").over(at_pos))
+    per_pos = ranked.groupBy("sample_id", "pos").agg(
+        F.max("total").alias("total"),
+        F.min(F.when(cum * 100 >= total * 25, F.col("q"))).alias("lq"),
+        F.min(F.when(cum * 100 >= total * 50, F.col("q"))).alias("med"),
+        *[F.sum(f"n_{b}").alias(f"n_{b}") for b in "acgtn"],
+    )
+    called = F.nullif(F.col("n_a") + F.col("n_c") + F.col("n_g") + F.col("n_t"), F.lit(0))
+    pct = {b: F.round(100.0 * F.col(f"n_{b}") / called, 4) for b in "acgt"}
+    gap = F.greatest(F.abs(pct["a"] - pct["t"]), F.abs(pct["g"] - pct["c"]))
+    lq, med = F.col("lq"), F.col("med")
+    worst = (
+        F.when(F.col("total") <= limits.min_reads, 0)
+        .when((lq < limits.lower_quartile[1]) | (med < limits.median[1]), 2)
+        .when((lq < limits.lower_quartile[0]) | (med < limits.median[0]), 1)
+        .otherwise(0)
+    )
+    return per_pos.groupBy("sample_id").agg(
+        F.max(worst).alias("quality"),
+        F.max(gap).alias("gap"),
+        F.max(F.round(100.0 * F.col("n_n") / F.col("total"), 4)).alias("n_pct"),
+    )
+
+
 def qc_flags(reads: DataFrame, limits: Limits = Limits(), adapters: Mapping[str, str] = ADAPTERS) -> DataFrame:
     """PASS, WARN or FAIL per sample and module.
 
-    Each module reduces to one number per sample; the numbers meet in one
-    aggregation, so no join is needed.
+    Three scans of the reads (bases, reads, sequences), each reduced to one row
+    per sample before the rows of a sample meet.
     """
-    bases, profile, seqs = base_profile(reads), read_profile(reads), sequence_counts(reads)
-    content, lengths = _content(bases), profile.groupBy("sample_id")
-    lq, med = F.col("lower_quartile"), F.col("median")
-    worst = F.max(
-        F.when((lq < limits.lower_quartile[1]) | (med < limits.median[1]), 2)
-        .when((lq < limits.lower_quartile[0]) | (med < limits.median[0]), 1)
-        .otherwise(0)
+    of_seqs = (
+        sequence_counts(reads).groupBy("sample_id").agg(_pct_duplicated().alias("dup"), _top_share().alias("top_share"))
     )
-    gap = F.max(F.greatest(F.abs(F.col("pct_a") - F.col("pct_t")), F.abs(F.col("pct_g") - F.col("pct_c"))))
-    gc_off = 100.0 * F.sum(F.abs(F.col("n_reads") - F.col("expected"))) / F.sum("n_reads")
-    mode_q = -F.max(F.struct(F.col("n_reads").alias("n"), (-F.col("mean_q")).alias("q")))["q"]
-    numbers = [
-        per_base_quality(bases).filter(F.col("n_reads") > limits.min_reads).groupBy("sample_id").agg(worst.alias("quality")),
-        content.groupBy("sample_id").agg(gap.alias("gap"), F.max("pct_n").alias("n_pct")),
-        per_sequence_quality(profile).groupBy("sample_id").agg(mode_q.alias("mode_q")),
-        per_sequence_gc(profile).groupBy("sample_id").agg(gc_off.alias("gc_off")),
-        lengths.agg(F.min("length").alias("len_min"), F.max("length").alias("len_max")),
-        seqs.groupBy("sample_id").agg(_pct_duplicated().alias("dup"), _top_share().alias("top_share")),
-        adapter_content(reads, adapters).groupBy("sample_id").agg(F.max("cum_percent").alias("adapter")),
-    ]
-    tall = None
-    for table in numbers:
-        names = [c for c in table.columns if c != "sample_id"]
-        part = table.select(
-            "sample_id",
-            F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in names])).alias("m"),
-        ).select("sample_id", "m.k", "m.v")
-        tall = part if tall is None else tall.unionByName(part)
-    known = ("quality", "gap", "n_pct", "mode_q", "gc_off", "len_min", "len_max", "dup", "top_share", "adapter")
-    wide = tall.groupBy("sample_id").agg(*[F.max(F.when(F.col("k") == c, F.col("v"))).alias(c) for c in known])
-    value = {c: F.col(c) for c in known}
+    numbers = [_of_reads(read_numbers(reads, adapters), adapters), _of_bases(base_profile(reads), limits), of_seqs]
+    wide = numbers[0].join(numbers[1], "sample_id", "left").join(numbers[2], "sample_id", "left")
+    value = {c: F.col(c) for c in ("mode_q", "gap", "gc_off", "n_pct", "len_min", "len_max", "dup", "top_share")}
     status = {
         BASIC: F.lit("PASS"),
-        BASE_QUALITY: _above(F.coalesce("quality", F.lit(0.0)), (0, 1)),
+        BASE_QUALITY: _above(F.coalesce("quality", F.lit(0)), (0, 1)),
         READ_QUALITY: F.when(value["mode_q"] < limits.mode_quality[1], "FAIL")
         .when(value["mode_q"] < limits.mode_quality[0], "WARN")
         .otherwise("PASS"),

@@ -49,8 +49,11 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, sf_dir, name, fn, sql):
+    start = time.time()
     df = fn(spark, sf_dir)
-    mine = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    collected = [tuple(r) for r in df.collect()]
+    print(f"     spark {time.time() - start:.2f}s", end=" ")
+    mine = rows_of(df.columns, collected)
     cur = con.execute(sql)
     theirs = rows_of([d[0] for d in cur.description], cur.fetchall())
     if mine[0] != theirs[0]:
