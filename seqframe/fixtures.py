@@ -196,6 +196,8 @@ def with_views(names: str, sql: str) -> str:
             body = body.replace("select concat('q'", "select row_number() over () aln_id, concat('q'", 1)
         ctes.append(f"{name} as materialized ({body})")
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(ctes)}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {', '.join(ctes)}, {body[5:]}"
     return f"with {', '.join(ctes)} {body}"

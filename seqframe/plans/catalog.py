@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from seqframe.plans import qc_queries, trim_queries  # noqa: F401
+from seqframe.plans import alignment_queries, qc_queries, trim_queries  # noqa: F401
