@@ -66,7 +66,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 
 
 def bh_adjust(df: DataFrame, p: str = "pvalue", by: Sequence[str] = (), out: str = "padj") -> DataFrame:
-    """Benjamini-Hochberg adjusted p-values within ``by``; a NULL p stays NULL and is not counted."""
+    """Benjamini-Hochberg adjusted p-values within ``by``; a NULL p stays NULL and is not counted.
+
+    ``df`` is read several times; hand in a stored table if it is dear to compute.
+    """
     by = list(by)
     scope = by or ["_all"]
     rows = df if by else df.withColumn("_all", F.lit(0))
@@ -87,4 +90,4 @@ def bh_adjust(df: DataFrame, p: str = "pvalue", by: Sequence[str] = (), out: str
         .join(carried, [*scope, "_b"])
         .select(*scope, p, F.least(F.lit(1.0), "_q", "_c").alias(out))
     )
-    return lookup_join(rows, adjusted, [*scope, p], "left").drop("_all")
+    return lookup_join(rows, adjusted, [*scope, p], "left", count_first=False).drop("_all")

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -22,3 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/seqframe-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For a table that several later steps use: it is computed once, the plan
+    behind it is cut, and it outlives lost executors.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,6 +31,7 @@ def lookup_join(
     on: Sequence[str],
     how: str = "left",
     *,
+    count_first: bool = True,
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -38,12 +39,13 @@ def lookup_join(
 
     A counted-small lookup is broadcast. Otherwise the hot keys of ``fact`` are
     split over ``salts`` sub-keys and the lookup is copied to each of them, so
-    no key is bound to one task.
+    no key is bound to one task. ``count_first=False`` skips the count where the
+    lookup is dear to compute and ``fact`` is modest.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     on = list(on)
-    if at_most(lookup, broadcast_rows):
+    if count_first and at_most(lookup, broadcast_rows):
         return fact.join(F.broadcast(lookup), on, how)
     salted = fact.withColumn("_salt", salt_of(fact, salts))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
