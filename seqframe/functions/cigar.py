@@ -59,3 +59,34 @@ def blocks(pos: Column, cigar: Column, gap_ops: str = "N") -> Column:
     zipped = F.arrays_zip(stretches.alias("stretch"), gaps.alias("gap"))
     many = F.aggregate(zipped, start, step, lambda acc: acc["out"])
     return F.when(cigar.rlike(r"^\d+[M=X]$"), one).when(cigar.rlike(r"\d"), many).otherwise(F.array().cast(BLOCK))
+
+
+SEGMENT = "array<struct<op:string,ref_start:bigint,read_start:int,size:int>>"
+
+
+def segments(pos: Column, cigar: Column) -> Column:
+    """Aligned (M) and deleted (D) pieces with their place on the reference and in the read (0-based)."""
+    at = pos.cast("bigint")
+
+    def piece(op: Column, ref: Column, read: Column, size: Column) -> Column:
+        return F.struct(op.alias("op"), ref.alias("ref_start"), read.alias("read_start"), size.alias("size"))
+
+    whole = F.regexp_extract(cigar, r"^(\d+)", 1).try_cast("int")
+    one = F.array(piece(F.lit("M"), at, F.lit(0), whole))
+    sizes = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(1))
+    ops = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHP=X])"), F.lit(2))
+    start = F.struct(at.alias("ref"), F.lit(0).alias("read"), F.array().cast(SEGMENT).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        size, op = x["n"].cast("int"), x["op"]
+        aligned, deleted = op.isin("M", "=", "X"), op == "D"
+        kind = F.when(aligned, F.lit("M")).otherwise(F.lit("D"))
+        added = F.concat(acc["out"], F.array(piece(kind, acc["ref"], acc["read"], size)))
+        return F.struct(
+            F.when(op.isin("M", "=", "X", "D", "N"), acc["ref"] + size).otherwise(acc["ref"]).alias("ref"),
+            F.when(op.isin("M", "=", "X", "I", "S"), acc["read"] + size).otherwise(acc["read"]).alias("read"),
+            F.when(aligned | deleted, added).otherwise(acc["out"]).alias("out"),
+        )
+
+    many = F.aggregate(F.arrays_zip(sizes.alias("n"), ops.alias("op")), start, step, lambda acc: acc["out"])
+    return F.when(cigar.rlike(r"^\d+[M=X]$"), one).when(cigar.rlike(r"\d"), many).otherwise(F.array().cast(SEGMENT))
