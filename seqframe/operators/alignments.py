@@ -113,7 +113,6 @@ def _fragments(alignments: DataFrame, score: Column) -> DataFrame:
     return examined.groupBy("sample_id", "library", "qname").agg(
         F.min(end).alias("first_end"),
         F.max(end).alias("last_end"),
-        F.count(F.lit(1)).alias("n_reads"),
         F.sum(score).alias("score"),
     )
 
@@ -122,32 +121,30 @@ def base_quality_score(quals: Column, floor: int = 15) -> Column:
     return F.aggregate(F.filter(quals, lambda q: q >= floor), F.lit(0).cast("bigint"), lambda a, q: a + q)
 
 
-def duplicate_fragments(alignments: DataFrame, score: Column | None = None) -> DataFrame:
-    """sample_id, library, qname of every fragment that repeats a better one.
+def kept_fragments(alignments: DataFrame, score: Column | None = None) -> DataFrame:
+    """sample_id, library, qname of the best fragment of each position (highest score, then name).
 
-    The best fragment of each position is found by aggregation and compared by
-    name, so a position that holds a large part of all reads is no hot task.
+    Found by aggregation alone, so a position that holds a large part of all
+    reads is no hot task.
     """
     score = base_quality_score(F.col("quals")) if score is None else score
-    fragments = _fragments(alignments, score)
-    best = fragments.groupBy("sample_id", "library", "first_end", "last_end").agg(
-        F.min(F.struct((-F.col("score")).alias("s"), F.col("qname"))).alias("best")
-    )
-    keepers = best.select("sample_id", "library", F.col("best.qname").alias("qname"))
-    return fragments.select("sample_id", "library", "qname", "n_reads").join(
-        keepers, ["sample_id", "library", "qname"], "left_anti"
+    best = (
+        _fragments(alignments, score)
+        .groupBy("sample_id", "library", "first_end", "last_end")
+        .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("qname"))).alias("best"))
     )
+    return best.select("sample_id", "library", F.col("best.qname").alias("qname"))
 
 
 def mark_duplicates(alignments: DataFrame, score: Column | None = None) -> DataFrame:
-    """Set 0x400 on the primary alignments of repeated fragments and clear it elsewhere."""
-    repeated = duplicate_fragments(alignments, score).select("sample_id", "library", "qname", F.lit(True).alias("_dup"))
+    """Set 0x400 on the primary alignments of fragments that repeat a better one and clear it elsewhere."""
+    kept = kept_fragments(alignments, score).withColumn("_kept", F.lit(True))
     cleared = F.col("flag").bitwiseAND(~DUPLICATE)
-    primary = none_of(UNMAPPED | SECONDARY | SUPPLEMENTARY)
+    repeats = F.col("_kept").isNull() & none_of(UNMAPPED | SECONDARY | SUPPLEMENTARY)
     return (
-        alignments.join(repeated, ["sample_id", "library", "qname"], "left")
-        .withColumn("flag", F.when(F.col("_dup") & primary, cleared.bitwiseOR(DUPLICATE)).otherwise(cleared))
-        .drop("_dup")
+        alignments.join(kept, ["sample_id", "library", "qname"], "left")
+        .withColumn("flag", F.when(repeats, cleared.bitwiseOR(DUPLICATE)).otherwise(cleared))
+        .drop("_kept")
     )
 
 

@@ -158,56 +158,47 @@ def reverse_complement(bases: Column) -> Column:
     return F.reverse(complement(bases))
 
 
-def coding_changes(variants: DataFrame, features: DataFrame, reference: DataFrame, chunk: int = 65536) -> DataFrame:
-    """synonymous, missense, stop_gained or stop_lost for single-base variants inside CDS features.
+def coding_sites(features: DataFrame, reference: DataFrame, chunk: int, unit: str = "gene_id") -> DataFrame:
+    """chrom, pos, unit, strand, phase, codon of every coding base: a table of the size of the annotation.
 
-    The codon of each variant follows from the coding bases before it in its
-    gene (a running sum over the gene's CDS spans, phase from the 5' end); each of
-    its three bases is looked up in the reference chunk that holds it.
+    A base's place in the coding sequence is a running sum over the CDS spans of
+    its unit (gene or transcript) from the 5' end. Spans meet the reference chunk
+    by chunk and are taken apart only after that join.
     """
-    cds = features.filter("feature = 'CDS'").select("chrom", "gene_id", "start_pos", "end_pos", "strand").distinct()
+    cds = features.filter("feature = 'CDS'").select("chrom", unit, "start_pos", "end_pos", "strand").distinct()
     forward = F.col("strand") != "-"
     order = F.when(forward, F.col("start_pos")).otherwise(-F.col("end_pos"))
-    gene = W.partitionBy("chrom", "gene_id")
+    upstream = W.partitionBy("chrom", unit).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     size = F.col("end_pos") - F.col("start_pos") + 1
-    before = F.coalesce(F.sum(size).over(gene.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = F.sort_array(
-        F.collect_list(F.struct(order.alias("o"), "start_pos", "end_pos")).over(gene)  # the exons of one gene
+    cds = cds.withColumn("before", F.coalesce(F.sum(size).over(upstream), F.lit(0)))
+    chunk_no = F.explode(F.expr(f"sequence((start_pos - 1) div {chunk}, (end_pos - 1) div {chunk})"))
+    pieces = cds.withColumn("k", chunk_no).withColumn("start0", F.col("k") * chunk)
+    pieces = pieces.join(reference.select("chrom", "start0", "bases"), ["chrom", "start0"])
+    lo, hi = F.greatest("start_pos", F.col("start0") + 1), F.least(F.col("end_pos"), F.col("start0") + chunk)
+    text = F.substring(F.col("bases"), (lo - F.col("start0")).cast("int"), (hi - lo + 1).cast("int"))
+    bases = pieces.select(
+        "chrom", unit, "strand", "start_pos", "end_pos", "before", lo.alias("lo"), F.posexplode(F.split(text, "")).alias("i", "base")
+    ).withColumn("pos", F.col("lo") + F.col("i"))
+    inside = F.when(forward, F.col("pos") - F.col("start_pos")).otherwise(F.col("end_pos") - F.col("pos"))
+    bases = bases.withColumns(
+        {"coding": F.col("before") + inside, "letter": F.when(forward, F.col("base")).otherwise(complement(F.col("base")))}
     )
-    cds = cds.withColumns({"before": before, "spans": spans})
+    # three bases per group
+    three = F.sort_array(F.collect_list(F.struct("coding", "letter", "pos")))
+    codons = bases.groupBy("chrom", unit, "strand", F.expr("coding div 3").alias("codon_no")).agg(three.alias("b"))
+    whole = codons.filter(F.size("b") == 3).withColumn("codon", F.array_join(F.transform("b", lambda x: x["letter"]), ""))
+    return whole.select("chrom", unit, "strand", "codon", F.posexplode(F.transform("b", lambda x: x["pos"])).alias("phase", "pos"))
+
+
+def coding_changes(
+    variants: DataFrame, features: DataFrame, reference: DataFrame, chunk: int = 65536, unit: str = "gene_id"
+) -> DataFrame:
+    """synonymous, missense, stop_gained or stop_lost for single-base variants inside CDS features."""
     snvs = variants.filter((F.length("ref") == 1) & (F.length("alt") == 1)).select("chrom", "pos", "ref", "alt").distinct()
-    snvs = snvs.withColumns({"v_start": F.col("pos"), "v_end": F.col("pos")})
-    hits = overlap_join(snvs, cds, ("v_start", "v_end"))
-    inside = F.when(forward, F.col("pos") - F.col("lk_start")).otherwise(F.col("lk_end") - F.col("pos"))
-    hits = hits.withColumn("coding", F.col("before") + inside)
-    hits = hits.withColumns({"phase": F.expr("coding % 3"), "codon_start": F.expr("coding - coding % 3")})
-
-    def genomic(offset: Column) -> Column:
-        """Genome position of a 0-based coding offset."""
-        start = F.struct(offset.cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("at"))
-
-        def step(acc: Column, s: Column) -> Column:
-            n = s["end_pos"] - s["start_pos"] + 1
-            here = acc["at"].isNull() & (acc["left"] < n)
-            at = F.when(forward, s["start_pos"] + acc["left"]).otherwise(s["end_pos"] - acc["left"])
-            return F.struct((acc["left"] - n).alias("left"), F.when(here, at).otherwise(acc["at"]).alias("at"))
-
-        return F.aggregate("spans", start, step, lambda acc: acc["at"])
-
-    three = hits.withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    three = three.withColumn("at", genomic(F.col("codon_start") + F.col("i"))).filter("at is not null")
-    three = three.withColumn("start0", F.expr(f"(at - 1) div {chunk} * {chunk}"))
-    based = three.join(reference.select("chrom", "start0", "bases"), ["chrom", "start0"])
-    letter = F.substring(F.col("bases"), (F.col("at") - F.col("start0")).cast("int"), F.lit(1))
-    letter = F.when(F.col("strand") != "-", letter).otherwise(complement(letter))
-    keys = ["chrom", "pos", "ref", "alt", "gene_id"]
-    codon = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("i", "letter"))), lambda s: s["letter"]), "")
-    codons = based.withColumn("letter", letter).groupBy(*keys, "strand", "phase").agg(codon.alias("codon"))
+    hits = snvs.join(coding_sites(features, reference, chunk, unit), ["chrom", "pos"])
     new = F.when(F.col("strand") != "-", F.col("alt")).otherwise(complement(F.col("alt")))
     changed = F.concat(
-        F.substring(F.col("codon"), F.lit(1), F.col("phase").cast("int")),
-        new,
-        F.substring(F.col("codon"), (F.col("phase") + 2).cast("int"), F.lit(3)),
+        F.substring(F.col("codon"), F.lit(1), F.col("phase")), new, F.substring(F.col("codon"), F.col("phase") + 2, F.lit(3))
     )
     was, now = amino_acid(F.col("codon")), amino_acid(changed)
     change = (
@@ -216,6 +207,6 @@ def coding_changes(variants: DataFrame, features: DataFrame, reference: DataFram
         .when(was == "*", "stop_lost")
         .when(was.isNotNull() & now.isNotNull(), "missense")
     )
-    return codons.filter(F.length("codon") == 3).select(
-        *keys, "codon", changed.alias("new_codon"), was.alias("aa_ref"), now.alias("aa_alt"), change.alias("change")
+    return hits.select(
+        "chrom", "pos", "ref", "alt", unit, "codon", changed.alias("new_codon"), was.alias("aa_ref"), now.alias("aa_alt"), change.alias("change")
     )

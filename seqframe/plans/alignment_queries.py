@@ -178,9 +178,12 @@ def _(v):
     return cv.panel_mean_depth(_coverage(v)).withColumn("mean_depth", F.round("mean_depth", 6))
 
 
-@query("coverage_gate", "alignments panel", f"""with {REGION}, m as (select gene, avg(mean_depth) d from cov group by 1)
+@query("coverage_gate", "alignments panel", f"""with {REGION}, m as (select gene, (cast(sum(cast(round(mean_depth*10000) as bigint)) as bigint)//(10*count(*)))/1000.0e0 d from cov group by 1)
  select gene, round(d,3) mean_depth, 3.0e0 threshold, d>=3 passed, case when d>=3 then 'ok' else 'warn' end status, d<3 halt,
  case when d<3 then 'Coverage below threshold' else '' end halt_reason from m""")
 def _(v):
-    means = _coverage(v).groupBy("gene").agg(F.avg("mean_depth").alias("mean_depth"))
+    # the mean over samples in whole thousandths, so that both engines round alike
+    total = F.sum(F.round(F.col("mean_depth") * 10000).cast("bigint")).alias("t")
+    means = _coverage(v).groupBy("gene").agg(total, F.count(F.lit(1)).alias("n"))
+    means = means.select("gene", (F.expr("t div (10 * n)") / 1000.0).alias("mean_depth"))
     return coverage_gate(means, keys=("gene",), threshold=3)
