@@ -1,4 +1,4 @@
-"""Run registered queries against DuckDB: python tests/check_oracle.py [sf] [name part ...]"""
+"""Run registered queries against DuckDB: python tests/oracle.py [sf] [name part ...]"""
 
 from __future__ import annotations
 
