@@ -39,8 +39,9 @@ def lookup_join(
 
     A counted-small lookup is broadcast. Otherwise the hot keys of ``fact`` are
     split over ``salts`` sub-keys and the lookup is copied to each of them, so
-    no key is bound to one task. ``count_first=False`` skips the count where the
-    lookup is dear to compute and ``fact`` is modest.
+    no key is bound to one task. Counting runs the lookup's plan once more, so hand
+    in a stored table if it is dear to compute; ``count_first=False`` skips the count
+    where ``fact`` is modest.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions import cigar as cg
+from seqframe.functions.skew import lookup_join
 
 # SAM flag bits.
 PAIRED, PROPER, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE = 0x1, 0x2, 0x4, 0x8, 0x10, 0x20
@@ -63,7 +64,7 @@ def flagstat(alignments: DataFrame) -> DataFrame:
 def coordinate_sort(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     """Range-partitioned by header contig order and position; reads without a place come last."""
     order = contigs.select("chrom", F.col("contig_idx").alias("_idx"))
-    keyed = alignments.join(order, "chrom", "left").withColumn(
+    keyed = lookup_join(alignments, order, ["chrom"], "left").withColumn(
         "contig_idx", F.when(has(UNMAPPED), F.lit(2147483647)).otherwise(F.coalesce("_idx", F.lit(2147483647)))
     )
     keys = ["contig_idx", "pos", "qname"]

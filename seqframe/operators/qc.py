@@ -263,9 +263,13 @@ def duplication_rate(seq_counts: DataFrame) -> DataFrame:
     )
 
 
-def overrepresented_sequences(seq_counts: DataFrame, min_percent: float = 0.1) -> DataFrame:
-    """Sequences that make up more than ``min_percent`` % of a sample."""
-    totals = seq_counts.groupBy("sample_id").agg(F.sum("copies").alias("total"))
+def sample_totals(reads: DataFrame) -> DataFrame:
+    """sample_id, total: a scan of one column."""
+    return reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"))
+
+
+def overrepresented_sequences(seq_counts: DataFrame, totals: DataFrame, min_percent: float = 0.1) -> DataFrame:
+    """Sequences that make up more than ``min_percent`` % of a sample with ``totals`` reads."""
     share = 100.0 * F.col("copies") / F.col("total")
     return (
         lookup_join(seq_counts, totals, ["sample_id"], "inner")
@@ -279,7 +283,7 @@ def adapter_content(reads: DataFrame, adapters: Mapping[str, str] = ADAPTERS) ->
     starts = F.array(
         *[F.struct(F.lit(n).alias("adapter"), F.instr("seq", a).alias("pos")) for n, a in adapters.items()]
     )
-    totals = reads.groupBy("sample_id").agg(F.count(F.lit(1)).alias("total"))
+    totals = sample_totals(reads)
     hits = (
         reads.select("sample_id", F.explode(F.filter(starts, lambda s: s["pos"] > 0)).alias("h"))
         .groupBy("sample_id", "h.adapter", "h.pos")

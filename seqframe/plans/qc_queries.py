@@ -112,7 +112,8 @@ def _(v):
 @query("qc_overrepresented_sequences", "reads", f"""with {DUP} select sample_id, seq, copies, round(100.0*copies/total,4) as "percent"
  from (select *, cast(sum(copies) over (partition by sample_id) as double) total from seq_counts) where 100.0*copies/total > 0.1""")
 def _(v):
-    return qc.overrepresented_sequences(qc.sequence_counts(v("reads")))
+    reads = v("reads")
+    return qc.overrepresented_sequences(qc.sequence_counts(reads), qc.sample_totals(reads))
 
 
 @query("qc_adapter_content", "reads", f"with {ADAPTER} select * replace (cast(pos as int) as pos) from adapters")

@@ -179,9 +179,9 @@ def read_sam(spark: SparkSession, path: str | list[str], sample_id: str) -> Data
 
 def read_sam_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """chrom, contig_idx (0-based header order), length from the @SQ rows."""
-    rows = number_rows(read_rows(spark, path)).filter(F.col("value").startswith("@SQ"))
+    rows = read_rows(spark, path).filter(F.col("value").startswith("@SQ"))
     found = rows.select(
-        "line",
+        F.struct("file", "split", "mid").alias("line"),
         F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("chrom"),
         F.regexp_extract("value", r"\tLN:(\d+)", 1).cast("bigint").alias("length"),
     )
