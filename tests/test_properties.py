@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from seqframe.functions.ordering import bh_adjust, exact_median, float_bucket
 from seqframe.functions.skew import lookup_join
 from seqframe.functions.special import hypergeom_upper_tail, log_factorial
 from seqframe.operators import coverage as cv
-from seqframe.operators import de, mapping, trim
+from seqframe.operators import de, mapping, pileup, trim
 from seqframe.operators.intervals import overlap_join
 from seqframe.plans import flows
 from seqframe.sources import readers, sinks
@@ -78,6 +79,34 @@ def test_depth_brute_force_across_bins(spark, monkeypatch):
     assert all(a["depth"] != b["depth"] or a["end_pos"] + 1 < b["start_pos"] for a, b in zip(runs, runs[1:]))
 
 
+def test_pileup_with_hot_bins(spark, monkeypatch):
+    """Crowded bins are spread and merged without changing a number; gapped reads are placed right."""
+    monkeypatch.setattr(pileup, "PILE_BIN", 32)
+    rng = random.Random(13)
+    rows, expected = [], {}
+    for i in range(400):
+        pos, flag = rng.choice([40, rng.randrange(1, 400)]), rng.choice([0, 16])
+        seq = "".join(rng.choice("ACGT") for _ in range(20))
+        cigar = rng.choice(["20M", "3S10M2D7M", "8M2I10M", "5M30N15M"])
+        rows.append(("S", "c", flag, pos, cigar, seq, [rng.randrange(2, 41) for _ in range(20)]))
+        at, read = pos, 0
+        for n, op in re.findall(r"(\d+)([MIDNS])", cigar):
+            for _ in range(int(n)):
+                if op in "MD":
+                    key = (at, seq[read] if op == "M" else "*")
+                    e = expected.setdefault(key, [0, 0, 0])
+                    e[flag == 16] += 1
+                    e[2] += rows[-1][6][read] if op == "M" else 0
+                at += op in "MDN"
+                read += op in "MIS"
+    aln = spark.createDataFrame(rows, "sample_id string, chrom string, flag int, pos bigint, cigar string, seq string, quals array<int>")
+    tables = [pileup.pileup(aln, hot_reads=h).collect() for h in (25, 1000000)]
+    for table in tables:
+        assert {(r["pos"], r["base"]): [r["n_fwd"], r["n_rev"], r["q_sum"]] for r in table} == expected
+    sums = [{(r["pos"], r["base"]): round(r["ln_half"], 6) for r in t} for t in tables]
+    assert sums[0] == sums[1]
+
+
 READS = "sample_id string, mate int, read_idx bigint, read_id string, seq string, quals array<int>"
 
 
