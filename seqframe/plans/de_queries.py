@@ -231,7 +231,7 @@ def _(v):
     return enrich.go_summary(_results(v), _go(v)[0])
 
 
-@query("go_no_genes", "", """select 'x' "ID", 'x' "Description", 'x' "GeneRatio", 'x' "BgRatio", 1.0 pvalue, 1.0 p_adjust, 1.0 qvalue, 'x' geneID, cast(1 as bigint) "Count" where false""")
+@query("go_no_genes", "", """select 'x' "ID", 'x' "Description", 'x' "GeneRatio", 'x' "BgRatio", 1e0 pvalue, 1e0 p_adjust, 1e0 qvalue, 'x' geneID, cast(1 as bigint) "Count" where false""")
 def _(v):
     none = enrich.significant_genes(_results(v).withColumn("padj", F.lit(None).cast("double")))
     return enrich.go_enrichment(none, _gene_terms(v))

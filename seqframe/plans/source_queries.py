@@ -187,7 +187,7 @@ def _(v):
     return out.withColumn("read_length", F.col("read_length").cast("bigint"))
 
 
-@query("read_aligner_logs", "", """select concat('U',user_id) sample_id, case when user_id%4=0 then 0.0 else user_id%100+0.25 end mapping_rate
+@query("read_aligner_logs", "", """select concat('U',user_id) sample_id, case when user_id%4=0 then 0e0 else user_id%100+0.25e0 end mapping_rate
  from (select distinct user_id from events)""")
 def _(v):
     base = shared_dir(v.spark)
