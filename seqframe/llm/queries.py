@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate, language, lines, mixing, near
+from seqframe.llm import decontaminate, language, lines, mixing, near, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,22 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_copies", F.col("component").alias("component_id"), "kept")
 
 
+@query("op5_embedding_near_duplicates")
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_warc")
+def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.archive(_table(spark, sf_dir, "pages"))
+    return warc.record_table(warc.read_chunks(spark, files, with_data=False)).withColumnRenamed("id", "page_id")
+
+
+@query("op8_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 @query("op9_language")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
