@@ -6,6 +6,7 @@ that runs in local mode and names none gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,4 +33,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that no later step reads, and let go of finished shuffles.
+
+    Spark removes the files of a shuffle once the driver has collected the plan that made it.
+    """
+    spark = None
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    release(spark or SparkSession.getActiveSession())
+
+
+def release(spark: SparkSession) -> None:
+    """Collect garbage on the driver, so that the shuffle files of finished steps are removed now and not at some later time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
