@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate, language, lines, mixing, near, repeats, vectors, warc
+from seqframe.llm import decontaminate, katz, language, lines, mixing, near, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_katz_score")
+def katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language.fold(F.col("doc_id"), 7, 2)
+    scored = katz.score_texts(_table(spark, sf_dir, "documents"), ~held)
+    return scored.withColumn("train", held).withColumnRenamed("train", "held_out")
+
+
 @query("op2_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
