@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate, katz, language, lines, mixing, near, repeats, vectors, warc
+from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,11 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.record_table(warc.read_chunks(spark, files, with_data=False)).withColumnRenamed("id", "page_id")
 
 
+@query("op7_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.default_templates(spark))
+
+
 @query("op8_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
