@@ -48,7 +48,7 @@ _MASKS = [((0x9E3779B97F4A7C15 * (i + 1)) % 2**64) - 2**63 for i in range(BANDS
 
 def _shingles(text: Column) -> Column:
     """Hashes of all ``WORDS`` consecutive words; a text of fewer words, but not none, has one of all its words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
     return F.transform(F.array(words), _hashes)[0]
 
 
@@ -78,7 +78,7 @@ def scan_licenses(
 ) -> DataFrame:
     """(id, license, n_shingles, n_found, containment) of every text and template (license, text) that it contains.
 
-    Words are runs of letters and digits, lower-cased; containment is the share of the template's distinct shingles that the text holds,
+    Words are runs of ASCII letters, digits and all non-ASCII characters, lower-cased; containment is the share of the template's distinct shingles that the text holds,
     and rows below ``contained`` are left out. A NULL or empty text contains nothing, a template without words is nowhere. Of rows
     that repeat id and text one result is returned for each license; rows that share an id are told apart by their text. Ties and
     overlapping templates are all reported. Other columns are not read.

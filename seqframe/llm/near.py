@@ -30,8 +30,9 @@ DEPTH, WIDTH = 2, 1 << 20
 #: Rows of a bucket that one task compares at a time, and how often larger buckets are split by a further band.
 CHUNK, LEVELS = 1024, 4
 
-#: Sample agreement below which a pair is not verified, and above which a text stands for another in later comparisons of its bucket.
-LIKELY, ALIKE = 0.6, 0.9
+#: Sample agreement below which a pair is not verified; from which a text counts as attached to a bucket's leader; and from which
+#: one leader is enough. A text attached to ATTACH leaders does not lead itself.
+LIKELY, ALIKE, SAME, ATTACH = 0.6, 0.8, 0.9, 2
 
 #: Random variates of the sampling come from this many drawn values for each sample.
 _POOL = 4096
@@ -170,40 +171,47 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, copy, tiny, big, bucket), those of a slot consecutive, to likely pairs (u, v) and the leaders of big slots.
 
-    Texts of a slot are taken in order. The first not yet stood for becomes a leader and is compared with all after it; those that
-    agree nearly everywhere need not lead. All slots of a slice advance together.
+    The first text of a slot that is not yet attached to enough leaders becomes its next leader. It is paired with the texts still
+    looking for leaders, and if no leader attached it, with all others too. All slots of a slice advance together.
     """
     kept: list[pa.RecordBatch] = []
 
     def work(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         bucket = table.column(0).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(bucket), -1)
+        sig = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(bucket), -1)
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         stop = np.r_[edge[1:], len(bucket)]
-        active = np.ones(len(bucket), bool)
+        begin = edge
+        need = np.full(len(bucket), ATTACH, np.int64)
+        led = np.zeros(len(bucket), bool)
         u, v, leaders = [], [], []
         while len(edge):
-            # each slot's leader: its first active row
-            rest, index = _spread(edge, stop)
+            rest, index = _spread(edge, stop)  # each slot's next leader: its first text in need
             lead = np.full(len(edge), -1)
-            on = np.flatnonzero(active[index])[::-1]
+            on = np.flatnonzero(need[index] > 0)[::-1]
             lead[rest[on]] = index[on]
-            edge, stop, lead = edge[lead >= 0], stop[lead >= 0], lead[lead >= 0]
-            active[lead] = False
+            go = lead >= 0
+            begin, edge, stop, lead = begin[go], edge[go], stop[go], lead[go]
+            if not len(lead):
+                break
+            lost = need[lead] == ATTACH
+            led[lead] = True
+            need[lead] = 0
             leaders.append(lead)
-            of, index = _spread(lead + 1, stop)
-            of = lead[of]
+            of, index = _spread(np.where(lost, begin, lead + 1), stop)
+            use = ~led[index] & ((need[index] > 0) | lost[of])
+            of, index = lead[of[use]], index[use]
             for a in range(0, len(index), 1 << 17):
                 i, o = index[a : a + (1 << 17)], of[a : a + (1 << 17)]
                 agree = (sig[i] == sig[o]).mean(axis=1)
                 likely = agree >= LIKELY
                 u.append(i[likely])
                 v.append(o[likely])
-                active[i[agree >= ALIKE]] = False
+                need[i] -= (agree >= ALIKE).astype(np.int64) + (agree >= SAME) * (ATTACH - 1)
             edge = lead + 1
             go = edge < stop
-            edge, stop = edge[go], stop[go]
+            begin, edge, stop = begin[go], edge[go], stop[go]
         copies = table.column(1)
         lead = np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
         big = lead[table.column(3).to_numpy()[lead]]
@@ -331,7 +339,7 @@ def near_duplicates(
                     keys = mix(keys + values[:, :, i] + np.uint64(1))
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                tiny = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
+                tiny = pa.array([x.tobytes() for x in (sig & 0xFFFF).astype(np.uint16)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(has), lists, tiny], ["doc", "copy", "has", "keys", "tiny"]
                 )

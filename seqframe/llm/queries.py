@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, vectors, warc
+from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, oracles, repeats, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", oracles.DECONTAMINATION)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return hit.select(
@@ -59,23 +59,23 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_copies", F.col("component").alias("component_id"), "kept")
 
 
-@query("op5_embedding_near_duplicates")
+@query("op5_embedding_near_duplicates", oracles.VECTORS)
 def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-@query("op6_warc")
+@query("op6_warc", oracles.WARC)
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.archive(_table(spark, sf_dir, "pages"))
     return warc.record_table(warc.read_chunks(spark, files, with_data=False)).withColumnRenamed("id", "page_id")
 
 
-@query("op7_license_scan")
+@query("op7_license_scan", oracles.LICENSES)
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"), licenses.default_templates(spark))
 
 
-@query("op8_suffix_array_dedup")
+@query("op8_suffix_array_dedup", oracles.REPEATS)
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
 
