@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/seqframe-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     For a table that several later steps use: it is computed once, the plan
     behind it is cut, and it outlives lost executors.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -55,5 +55,6 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Collect garbage on the driver, so that the shuffle files of finished steps are removed now and not at some later time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of in the first pass, the JVM collects in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()

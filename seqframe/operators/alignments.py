@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import re
 from collections.abc import Sequence
 
@@ -138,14 +141,18 @@ def kept_fragments(alignments: DataFrame, score: Column | None = None) -> DataFr
 
 
 def mark_duplicates(alignments: DataFrame, score: Column | None = None) -> DataFrame:
-    """Set 0x400 on the primary alignments of fragments that repeat a better one and clear it elsewhere."""
-    kept = kept_fragments(alignments, score).withColumn("_kept", F.lit(True))
+    """Set 0x400 on the primary alignments of fragments that repeat a better one and clear it elsewhere.
+
+    Reads without a library are of one library of their own.
+    """
+    keys = ["sample_id", "library", "qname"]
+    kept = kept_fragments(alignments, score).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_kept"))
     cleared = F.col("flag").bitwiseAND(~DUPLICATE)
     repeats = F.col("_kept").isNull() & none_of(UNMAPPED | SECONDARY | SUPPLEMENTARY)
     return (
-        alignments.join(kept, ["sample_id", "library", "qname"], "left")
+        alignments.join(kept, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
         .withColumn("flag", F.when(repeats, cleared.bitwiseOR(DUPLICATE)).otherwise(cleared))
-        .drop("_kept")
+        .drop("_kept", *[f"_{k}" for k in keys])
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqframe.operators.alignments import DUPLICATE, QC_FAIL, SECONDARY, UNMAPPED, alignment_blocks, none_of
-from seqframe.operators.counts import sample_ids
+from seqframe.operators.counts import for_each_sample, sample_table
 from seqframe.operators.intervals import overlap_join
 
 DEPTH_EXCLUDE = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
@@ -70,14 +70,16 @@ def depth(alignments: DataFrame, exclude: int = DEPTH_EXCLUDE) -> DataFrame:
 
 
 def region_mean_depth(
-    runs: DataFrame, regions: DataFrame, samples: Sequence[str] | None = None, include_zero: bool = False
+    runs: DataFrame, regions: DataFrame, samples: DataFrame | Sequence[str] | None = None, include_zero: bool = False
 ) -> DataFrame:
     """Mean depth of each BED line and sample over its covered positions (0.0 if none).
 
     ``include_zero`` divides by the region length instead.
     """
-    names = list(samples) if samples is not None else sample_ids(runs)
+    names = sample_table(samples, runs)
     region = ["chrom", "start0", "end0", "name"]
+    # an unnamed line is told by its place
+    regions = regions.withColumn("name", F.coalesce("name", F.format_string("%s:%d-%d", "chrom", "start0", "end0")))
     lookup = regions.select(*region).distinct()
     spans = lookup.withColumns({"start_pos": F.col("start0") + 1, "end_pos": F.col("end0")})
     size = F.least("end_pos", "lk_end") - F.greatest("start_pos", "lk_start") + 1
@@ -86,11 +88,11 @@ def region_mean_depth(
         .groupBy("sample_id", *region)
         .agg(F.sum(size * F.col("depth")).alias("bases"), F.sum(size).alias("covered"))
     )
-    lines = regions.select(*region).withColumn("sample_id", F.explode(F.array(*[F.lit(s) for s in names])))
+    lines = for_each_sample(regions.select(*region), names)
     width = F.col("end0") - F.col("start0") if include_zero else F.col("covered")
     return lines.join(sums, ["sample_id", *region], "left").select(
         "sample_id",
-        F.coalesce("name", F.format_string("%s:%d-%d", "chrom", "start0", "end0")).alias("gene"),
+        F.col("name").alias("gene"),
         F.format_string("%s:%d-%d", F.col("chrom"), F.col("start0") + 1, F.col("end0")).alias("region"),
         F.coalesce(F.round(F.col("bases") / F.nullif(width, F.lit(0)), 4), F.lit(0.0)).alias("mean_depth"),
     )

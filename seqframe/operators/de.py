@@ -15,6 +15,7 @@ from seqframe.operators.counts import sample_ids
 
 ALPHA = 0.05
 MIN_LFC = 1.0
+NO_GENE = "no gene is counted in every sample, so size factors are undefined"
 
 
 def align_design(counts: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,7 @@ def contrast_levels(samples: DataFrame, contrast: tuple[str, str] | None = None)
 
 
 def size_factors(counts: DataFrame) -> DataFrame:
-    """Median over genes of count / geometric mean, over the genes without a zero."""
+    """Median over genes of count / geometric mean, over the genes without a zero; an error if there is none."""
     n_samples = counts.select("sample_id").distinct().agg(F.count(F.lit(1)).alias("n_samples"))
     log_mean = (
         counts.filter("cnt > 0")
@@ -56,7 +57,12 @@ def size_factors(counts: DataFrame) -> DataFrame:
         .select("gene_id", "log_mean")
     )
     ratios = counts.join(log_mean, "gene_id").select("sample_id", (F.log("cnt") - F.col("log_mean")).alias("ratio"))
-    return exact_median(ratios, ["sample_id"], "ratio", "m").select("sample_id", F.exp("m").alias("size_factor"))
+    # without a usable gene there is no factor, and dropping every sample would hide that
+    used = F.broadcast(log_mean.agg(F.count(F.lit(1)).alias("used")))  # one row
+    none = counts.select("sample_id").distinct().join(used).filter("used = 0")
+    failed = none.select("sample_id", F.raise_error(F.lit(NO_GENE)).cast("double").alias("size_factor"))
+    factors = exact_median(ratios, ["sample_id"], "ratio", "m").select("sample_id", F.exp("m").alias("size_factor"))
+    return factors.unionByName(failed)
 
 
 def normalize_counts(counts: DataFrame, factors: DataFrame) -> DataFrame:
@@ -154,16 +160,10 @@ def nb_wald_test(
     names, design, tested = _design(samples, contrast)
     sizes = {r["sample_id"]: r["size_factor"] for r in factors.collect()}  # one row per sample
     log_size = [math.log(sizes[s]) for s in names]
-    position = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))])
-    known = lookup_join(counts, samples.select("sample_id").distinct(), ["sample_id"], "left_semi")
-    cells = F.collect_list(F.struct(F.try_element_at(position, F.col("sample_id")).alias("i"), F.col("cnt").alias("c")))
-    per_gene = known.groupBy("gene_id").agg(cells.alias("cells")).join(disp.select("gene_id", "mean", "dispersion"), "gene_id")
-    # a dense array per gene (as long as the design has samples), zeros where a sample has no count
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(len(names) - 1)),
-        lambda i: F.coalesce(F.get(F.filter("cells", lambda c: c["i"] == i), F.lit(0))["c"], F.lit(0)).cast("double"),
-    )
-    ready = per_gene.select("gene_id", "mean", "dispersion", dense.alias("y"))
+    position = counts.sparkSession.createDataFrame(list(enumerate(names)), "i int, sample_id string")
+    known = lookup_join(counts, position, ["sample_id"], "inner")
+    per_gene = known.groupBy("gene_id").agg(F.collect_list(F.struct("i", F.col("cnt").cast("double").alias("c"))).alias("cells"))
+    ready = per_gene.join(disp.select("gene_id", "mean", "dispersion"), "gene_id").select("gene_id", "mean", "dispersion", F.col("cells.i").alias("i"), F.col("cells.c").alias("c"))
 
     def fit(batches: Iterator) -> Iterator:
         import numpy as np
@@ -174,9 +174,12 @@ def nb_wald_test(
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            y = np.vstack(pdf["y"].to_numpy())
+            # as long as the design has samples, zero where a sample has no count
+            y = np.zeros((len(pdf), len(x)))
+            y[np.repeat(np.arange(len(pdf)), pdf["i"].map(len)), np.concatenate(pdf["i"].to_numpy())] = np.concatenate(pdf["c"].to_numpy())
             alpha = pdf["dispersion"].to_numpy()[:, None]
             beta = np.linalg.lstsq(x, np.log(y / np.exp(offset) + 0.1).T, rcond=None)[0].T
+            open_ = np.ones(len(y), bool)  # genes not yet settled; each stops by itself
             for _ in range(iterations):
                 mu = np.exp(np.clip(beta @ x.T + offset, -30, 30))
                 w = mu / (1 + alpha * mu)
@@ -184,9 +187,10 @@ def nb_wald_test(
                 xtwx = np.einsum("gs,si,sj->gij", w, x, x) + ridge
                 xtwz = np.einsum("gs,si->gi", w * z, x)
                 new = np.clip(np.linalg.solve(xtwx, xtwz[..., None])[..., 0], -30, 30)
-                done = np.max(np.abs(new - beta)) < 1e-8
-                beta = new
-                if done:
+                moved = np.max(np.abs(new - beta), axis=1) >= 1e-8
+                beta = np.where(open_[:, None], new, beta)
+                open_ &= moved
+                if not open_.any():
                     break
             mu = np.exp(np.clip(beta @ x.T + offset, -30, 30))
             xtwx = np.einsum("gs,si,sj->gij", mu / (1 + alpha * mu), x, x) + ridge
@@ -280,54 +284,54 @@ def row_zscore(vst: DataFrame) -> DataFrame:
 def sample_pca(vst: DataFrame, ntop: int = 500, components: int = 2) -> DataFrame:
     """sample_id, pc, score, percent_var from the ``ntop`` most variable genes.
 
-    Each task sums its genes into a samples x samples product matrix; only the
-    sum of those small matrices meets in one place for the eigenvectors.
+    Each task sums its samples into a genes x genes product matrix, so the number of samples is free; ``ntop`` bounds what is
+    held. A component's sign makes its largest score positive.
     """
-    names = sample_ids(vst)
-    n = len(names)
-    if n > 5000:
-        raise ValueError("sample_pca holds a samples x samples matrix; more than 5000 samples do not fit")
-    position = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))])
-    top = top_variable_genes(vst, ntop).select("gene_id")
-    cells = F.sort_array(F.collect_list(F.struct(F.try_element_at(position, F.col("sample_id")).alias("i"), "vst")))
-    genes = vst.join(top, "gene_id", "left_semi").groupBy("gene_id").agg(cells.alias("cells"))
+    top = top_variable_genes(vst, ntop).select("gene_id").coalesce(1).sortWithinPartitions("gene_id")
+    order = materialize(top.withColumn("i", F.monotonically_increasing_id()))  # at most ntop rows
+    chosen = lookup_join(vst, order, ["gene_id"], "inner")
+    means = chosen.groupBy("gene_id").agg(F.avg("vst").alias("m"))
+    centred = materialize(lookup_join(chosen, means, ["gene_id"], "inner").select("sample_id", "i", (F.col("vst") - F.col("m")).alias("x")))
+    n = order.count()
+    cells = centred.groupBy("sample_id").agg(F.collect_list(F.struct("i", "x")).alias("cells"))
 
     def products(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        gram, seen = np.zeros((n, n)), False
+        gram = np.zeros((n, n))
         for pdf in batches:
-            for cells in pdf["cells"]:
-                row = np.zeros(n)
-                for c in cells:
-                    row[c["i"]] = c["vst"]
-                row -= row.mean()
-                gram += np.outer(row, row)
-                seen = True
-        if seen:
-            i, j = np.indices((n, n))
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "x": gram.ravel()})
-
-    total = genes.mapInPandas(products, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
-
-    def eigen(pdf):
-        import numpy as np
-        import pandas as pd
+            rows = np.zeros((len(pdf), n))
+            at, x = np.concatenate([*pdf["i"], []]).astype(int), np.concatenate([*pdf["x"], []])
+            rows[np.repeat(np.arange(len(pdf)), pdf["i"].map(len)), at] = x
+            gram += rows.T @ rows
+        i, j = np.nonzero(gram)
+        yield pd.DataFrame({"i": i, "j": j, "x": gram[i, j]})
+
+    parts = cells.select(F.col("cells.i").alias("i"), F.col("cells.x").alias("x")).mapInPandas(products, "i int, j int, x double")
+    loadings, shares = _axes(parts.groupBy("i", "j").agg(F.sum("x").alias("x")), n, components)
+    spark = vst.sparkSession
+    table = spark.createDataFrame([(g, k + 1, float(w)) for k, v in enumerate(loadings) for g, w in enumerate(v)], "i long, pc int, w double")
+    share = spark.createDataFrame([(k + 1, s) for k, s in enumerate(shares)], "pc int, percent_var double")
+    scores = centred.join(F.broadcast(table), "i").groupBy("sample_id", "pc").agg(F.sum(F.col("x") * F.col("w")).alias("raw"))
+    scores = materialize(scores)
+    sign = scores.groupBy("pc").agg(F.max(F.struct(F.round(F.abs("raw"), 9).alias("a"), F.signum("raw").alias("s"))).alias("top"))
+    sign = sign.select("pc", F.when(F.col("top.s") < 0, -1.0).otherwise(1.0).alias("sign"))
+    return scores.join(F.broadcast(sign), "pc").join(F.broadcast(share), "pc").select("sample_id", "pc", (F.col("raw") * F.col("sign")).alias("score"), "percent_var")
+
+
+def _axes(gram: DataFrame, n: int, components: int) -> tuple[list, list[float]]:
+    """Leading eigenvectors of an n x n product matrix and the percentages of variance along them."""
+    import numpy as np
 
-        gram = np.zeros((n, n))
-        gram[pdf["i"], pdf["j"]] = pdf["x"]
-        values, vectors = np.linalg.eigh(gram)
-        values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
-        out = []
-        for k in range(min(components, n)):
-            v = vectors[:, k] * (1 if vectors[np.argmax(np.abs(vectors[:, k])), k] > 0 else -1)
-            share = round(100 * values[k] / values.sum()) if values.sum() > 0 else 0
-            out.append(pd.DataFrame({"sample_id": names, "pc": k + 1, "score": v * math.sqrt(values[k]), "percent_var": float(share)}))
-        return pd.concat(out)
-
-    # one group of n x n numbers, n checked above
-    return total.groupBy().applyInPandas(eigen, "sample_id string, pc int, score double, percent_var double")
+    total = np.zeros((n, n))
+    for r in gram.toLocalIterator():
+        total[r["i"], r["j"]] = r["x"]
+    values, vectors = np.linalg.eigh(total) if n else (np.zeros(0), np.zeros((0, 0)))
+    values, vectors = np.clip(values[::-1], 0, None), vectors[:, ::-1]
+    whole = values.sum()
+    keep = range(min(components, n))
+    return [vectors[:, k] for k in keep], [float(round(100 * values[k] / whole)) if whole > 0 else 0.0 for k in keep]
 
 
 def ma_table(results: DataFrame) -> DataFrame:

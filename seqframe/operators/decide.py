@@ -143,8 +143,17 @@ def normalize_verdict(text: Column) -> Column:
     )
 
 
-def parse_verdicts(verdicts: DataFrame, raw: str = "raw") -> DataFrame:
-    """Reviewer answers (free text around one JSON object) as columns; unusable ones give NULL."""
+def _cut(text: Column, most: int | None) -> Column:
+    return text if most is None else F.substring(text, 1, most)
+
+
+def parse_verdicts(
+    verdicts: DataFrame, raw: str = "raw", most_reasoning: int | None = None, most_summary: int | None = None
+) -> DataFrame:
+    """Reviewer answers (free text around one JSON object) as columns; unusable ones give NULL.
+
+    Texts stay whole unless a greatest length is asked for.
+    """
     blob = F.nullif(F.regexp_extract(raw, r"\{[\s\S]*\}", 0), F.lit(""))
     parsed = F.from_json(blob, "map<string,string>")
     fields = verdicts.withColumn("_m", parsed)
@@ -159,8 +168,8 @@ def parse_verdicts(verdicts: DataFrame, raw: str = "raw") -> DataFrame:
         F.when(
             F.col("ext_verdict").isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)), 3)
         ).alias("ext_confidence"),
-        F.substring(F.try_element_at("_m", F.lit("reasoning")), 1, 1200).alias("ext_reasoning"),
-        F.substring(F.try_element_at("_m", F.lit("quality_summary")), 1, 500).alias("ext_summary"),
+        _cut(F.try_element_at("_m", F.lit("reasoning")), most_reasoning).alias("ext_reasoning"),
+        _cut(F.try_element_at("_m", F.lit("quality_summary")), most_summary).alias("ext_summary"),
     )
 
 
@@ -216,5 +225,6 @@ def coverage_gate(depths: DataFrame, keys: Sequence[str] = ("sample_id",), thres
 
 
 def attach_params(reads: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Trim parameters of each read's sample."""
-    return lookup_join(reads, decisions.select("sample_id", *PARAMS), ["sample_id"], "inner")
+    """Trim parameters of each read's sample; the defaults where it has none."""
+    joined = lookup_join(reads, decisions.select("sample_id", *PARAMS), ["sample_id"], "left")
+    return joined.withColumns({n: F.coalesce(n, F.lit(v)) for n, v in zip(PARAMS, DEFAULT_TRIM)})

@@ -51,8 +51,8 @@ class Limits:
     duplicated: tuple[float, float] = (20, 50)
     overrepresented: tuple[float, float] = (0.1, 1)
     adapter: tuple[float, float] = (5, 10)
-    #: positions seen in this many reads or fewer do not count for base quality
-    min_reads: int = 100
+    #: positions seen in this many reads or fewer do not count for base quality; all count unless asked otherwise
+    min_reads: int = 0
 
 
 def _above(value: Column, limits: tuple[float, float]) -> Column:

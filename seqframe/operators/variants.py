@@ -52,9 +52,14 @@ def annotation_fields(variants: DataFrame) -> DataFrame:
 
 
 def variants_table(variants: DataFrame) -> DataFrame:
-    """The ten report columns (after any key columns), by chromosome as text and position."""
+    """The ten report columns (after any key columns). In no order: :func:`in_report_order` sorts what is written out."""
     extra = [c for c in variants.columns if c not in COLUMNS]
-    return annotation_fields(variants).select(*extra, *COLUMNS).orderBy("chrom", "pos")
+    return annotation_fields(variants).select(*extra, *COLUMNS)
+
+
+def in_report_order(table: DataFrame) -> DataFrame:
+    """By chromosome as text and position."""
+    return table.orderBy("chrom", "pos")
 
 
 # The row that stands for an empty variant table.
@@ -92,13 +97,15 @@ def variant_summary(table: DataFrame) -> DataFrame:
 
 # Region classes from most to least severe.
 SEVERITY = ("CDS", "UTR", "exon", "intron", "upstream", "downstream", "intergenic")
+UTRS = ("UTR", "five_prime_utr", "three_prime_utr")
 FLANK = 5000
 
 
 def gene_regions(features: DataFrame, flank: int = FLANK) -> DataFrame:
     """Spans with a region class: features as given, gene bodies as introns, and the flanks of genes."""
-    given = features.filter(F.col("feature").isin("CDS", "UTR", "exon")).select(
-        "chrom", "gene_id", F.col("feature").alias("region"), "start_pos", "end_pos"
+    kind = F.when(F.col("feature").isin(*UTRS), "UTR").otherwise(F.col("feature"))
+    given = features.select("chrom", "gene_id", kind.alias("region"), "start_pos", "end_pos").filter(
+        F.col("region").isin("CDS", "UTR", "exon")
     )
     genes = features.groupBy("chrom", "gene_id").agg(
         F.min("start_pos").alias("g0"), F.max("end_pos").alias("g1"), F.min("strand").alias("strand")
@@ -158,13 +165,18 @@ def reverse_complement(bases: Column) -> Column:
     return F.reverse(complement(bases))
 
 
-def coding_sites(features: DataFrame, reference: DataFrame, chunk: int, unit: str = "gene_id") -> DataFrame:
+def _unit(features: DataFrame, unit: str | None) -> str:
+    return unit or ("transcript_id" if "transcript_id" in features.columns else "gene_id")
+
+
+def coding_sites(features: DataFrame, reference: DataFrame, chunk: int, unit: str | None = None) -> DataFrame:
     """chrom, pos, unit, strand, phase, codon of every coding base: a table of the size of the annotation.
 
     A base's place in the coding sequence is a running sum over the CDS spans of
     its unit (gene or transcript) from the 5' end. Spans meet the reference chunk
     by chunk and are taken apart only after that join.
     """
+    unit = _unit(features, unit)
     cds = features.filter("feature = 'CDS'").select("chrom", unit, "start_pos", "end_pos", "strand").distinct()
     forward = F.col("strand") != "-"
     order = F.when(forward, F.col("start_pos")).otherwise(-F.col("end_pos"))
@@ -191,9 +203,13 @@ def coding_sites(features: DataFrame, reference: DataFrame, chunk: int, unit: st
 
 
 def coding_changes(
-    variants: DataFrame, features: DataFrame, reference: DataFrame, chunk: int = 65536, unit: str = "gene_id"
+    variants: DataFrame, features: DataFrame, reference: DataFrame, chunk: int = 65536, unit: str | None = None
 ) -> DataFrame:
-    """synonymous, missense, stop_gained or stop_lost for single-base variants inside CDS features."""
+    """synonymous, missense, stop_gained or stop_lost for single-base variants inside CDS features.
+
+    One row a unit: each transcript if the features name them, else each gene.
+    """
+    unit = _unit(features, unit)
     snvs = variants.filter((F.length("ref") == 1) & (F.length("alt") == 1)).select("chrom", "pos", "ref", "alt").distinct()
     hits = snvs.join(coding_sites(features, reference, chunk, unit), ["chrom", "pos"])
     new = F.when(F.col("strand") != "-", F.col("alt")).otherwise(complement(F.col("alt")))

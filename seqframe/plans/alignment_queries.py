@@ -41,7 +41,7 @@ def _assigned(v):
 
 def _coverage(v):
     rows = v("alignments")
-    return cv.region_mean_depth(cv.depth(rows), v("panel"), ct.sample_ids(rows))
+    return cv.region_mean_depth(cv.depth(rows), v("panel"), rows)
 
 
 @query("mapping_rate", "alignments", """select sample_id, round(100.0*count(*) filter (flag&4=0)/count(*),2) mapping_rate
@@ -136,7 +136,7 @@ def _(v):
 @query("feature_counts", "alignments exons", f"""with {ASSIGN} select g.gene_id, s.sample_id, count(a.gene_id) cnt from (select distinct gene_id from exons) g
  cross join (select distinct sample_id from alignments) s left join assigned a on a.gene_id=g.gene_id and a.sample_id=s.sample_id group by 1,2""")
 def feature_counts(v):
-    return ct.feature_counts(_assigned(v), v("exons"), ct.sample_ids(v("alignments")))
+    return ct.feature_counts(_assigned(v), v("exons"), v("alignments"))
 
 
 @query("assignment_summary", "alignments exons", f"""with {ASSIGN} select sample_id, count(*) filter (status='Assigned') assigned, count(*) filter (status='Unassigned_Unmapped') unmapped,

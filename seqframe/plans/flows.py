@@ -31,8 +31,8 @@ class Run:
 
     def store(self, stage: str, table: DataFrame) -> DataFrame:
         write_run(table, self.base, self.run_id, stage)
-        stored = table.sparkSession.read.parquet(f"{self.base}/stage={stage}")
-        return stored.filter(F.col("run_id") == self.run_id).select(*[c for c in table.columns if c != "run_id"])
+        plain = table.drop("run_id")
+        return table.sparkSession.read.schema(plain.schema).parquet(f"{self.base}/stage={stage}/run_id={self.run_id}")
 
 
 def read_stages(run: Run, reads: DataFrame) -> dict[str, DataFrame]:
@@ -104,7 +104,6 @@ def run_dna(
     samples: DataFrame,
     reference: DataFrame,
     chunk: int,
-    overlap: int,
     mapper: Mapper,
     known_sites: DataFrame | None = None,
     panel: DataFrame | None = None,
@@ -119,7 +118,7 @@ def run_dna(
     out["duplication"] = al.duplication_metrics(marked)
     table = None
     if known_sites is not None:
-        table = run.store("bqsr", recalibrate.base_recalibration_table(marked, reference, known_sites, chunk, overlap))
+        table = run.store("bqsr", recalibrate.base_recalibration_table(marked, reference, known_sites, chunk))
     final = run.store("final", recalibrate.apply_recalibration(marked, table))
     calls = run.store("call", pileup.call_variants(pileup.pileup(final), reference, chunk))
     rows = calls.select(
@@ -135,7 +134,7 @@ def run_dna(
     halts = samples.limit(0).select("sample_id", F.lit("").alias("stage"), F.lit("").alias("reason"))
     extra = {}
     if panel is not None:
-        coverage = run.store("coverage", cv.region_mean_depth(cv.depth(final.withColumn("aln_id", F.col("read_id"))), panel, ct.sample_ids(samples)))
+        coverage = run.store("coverage", cv.region_mean_depth(cv.depth(final.withColumn("aln_id", F.col("read_id"))), panel, samples))
         checked = decide.coverage_gate(cv.panel_mean_depth(coverage), threshold=threshold)
         halts = checked.filter("halt").select("sample_id", F.lit("coverage_agent").alias("stage"), F.col("halt_reason").alias("reason"))
         extra["coverage"] = checked

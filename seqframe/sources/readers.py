@@ -103,8 +103,9 @@ def _columns(spark: SparkSession, path: str | list[str], comment: str, least: in
 
 def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Annotation features with their attributes as a map (the last of repeated keys wins)."""
-    keys = F.regexp_extract_all(F.get("c", F.lit(8)), F.lit(r'(\w+)\s+"?([^";]*)"?\s*;?'), F.lit(1))
-    values = F.regexp_extract_all(F.get("c", F.lit(8)), F.lit(r'(\w+)\s+"?([^";]*)"?\s*;?'), F.lit(2))
+    pair = F.lit(r'(\w+)\s+("[^"]*"|[^";]*)\s*;?')  # a quoted value may hold a semicolon
+    keys = F.regexp_extract_all(F.get("c", F.lit(8)), pair, F.lit(1))
+    values = F.transform(F.regexp_extract_all(F.get("c", F.lit(8)), pair, F.lit(2)), lambda v: F.trim(F.translate(v, '"', "")))
     rows = _columns(spark, path, "#", 9).withColumn("attrs", last_wins(F.arrays_zip(keys.alias("k"), values.alias("v"))))
     return rows.select(
         F.get("c", F.lit(0)).alias("chrom"),
@@ -117,6 +118,7 @@ def read_gtf(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.get("c", F.lit(7)).alias("frame"),
         "attrs",
         F.try_element_at("attrs", F.lit("gene_id")).alias("gene_id"),
+        F.try_element_at("attrs", F.lit("transcript_id")).alias("transcript_id"),
     )
 
 

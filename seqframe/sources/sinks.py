@@ -57,10 +57,8 @@ def write_table_csv(table: DataFrame, path: str, null: str = "NA") -> None:
 
 
 def write_run(table: DataFrame, base: str, run_id: str, stage: str) -> None:
-    """Stage output under base/stage=<stage>/run_id=<run_id>; a rerun replaces its own partition only."""
-    out = table.drop("run_id").withColumn("run_id", F.lit(run_id))
-    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("run_id").parquet(f"{base}/stage={stage}")
+    """Stage output in the folder base/stage=<stage>/run_id=<run_id>; a rerun replaces its own folder only, also by no rows."""
+    table.drop("run_id").write.mode("overwrite").parquet(f"{base}/stage={stage}/run_id={run_id}")
 
 
 def write_summary_json(record: DataFrame, path: str) -> None:

@@ -301,7 +301,7 @@ def test_rna_and_dna_flows(spark, tmp_path):
     assert rna["counts"].agg(F.sum("cnt")).first()[0] > 1000
     panel = spark.createDataFrame([("c1", 2000, 2200, "hot")], "chrom string, start0 bigint, end0 bigint, name string")
     known = spark.createDataFrame([("c1", 17)], "chrom string, pos bigint")
-    dna = flows.run_dna(str(tmp_path), "dna1", reads, samples, reference, chunk, overlap, mapper, known, panel, features, threshold=5)
+    dna = flows.run_dna(str(tmp_path), "dna1", reads, samples, reference, chunk, mapper, known, panel, features, threshold=5)
     called = [(r["sample_id"], r["pos"], r["gt"]) for r in dna["calls"].collect()]
     assert called == [("S0", variant + 1, "1/1")]
     assert dna["variants"].first()["gene"] == "G4"
