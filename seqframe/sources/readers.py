@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqframe import schemas
 from seqframe.functions.quality import decode_phred33
+from seqframe.functions.skew import lookup_join
 from seqframe.sources.lines import SPLIT, file_name, number_rows, read_rows
 
 # ---------------------------------------------------------------- FASTQ
@@ -31,9 +32,9 @@ def _well_formed() -> Column:
 
 
 def read_fastq(
-    spark: SparkSession, path: str | list[str], sample_id: str | None = None, mate: int = 0
+    spark: SparkSession, path: str | list[str], sample_id: str | None = None, mate: int = 0, with_file: bool = False
 ) -> DataFrame:
-    """Reads of one or many FASTQ files, numbered in file order.
+    """Reads of one or many FASTQ files, numbered in file order from 0 in each file.
 
     Without ``sample_id`` the file name up to its first dot names the sample.
     Records that are cut short or malformed are listed by ``malformed_fastq``.
@@ -45,6 +46,7 @@ def read_fastq(
         .select(
             sample.alias("sample_id"),
             F.lit(mate).alias("mate"),
+            *(["file"] if with_file else []),
             "read_idx",
             F.split_part(F.substr("l0", F.lit(2)), F.lit(" "), F.lit(1)).alias("read_id"),
             F.col("l1").alias("seq"),
@@ -68,16 +70,30 @@ def malformed_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_fastq_pairs(spark: SparkSession, r1: str, r2: str, sample_id: str) -> DataFrame:
-    """Mates 1 and 2 of the records both files have, matched by record order."""
-    both = read_fastq(spark, r1, sample_id, 1).unionByName(read_fastq(spark, r2, sample_id, 2))
-    mates = F.count(F.lit(1)).over(W.partitionBy("sample_id", "read_idx"))
-    return both.withColumn("_mates", mates).filter("_mates = 2").drop("_mates")
+def read_lanes(spark: SparkSession, path: str | list[str], sample_id: str, mate: int) -> DataFrame:
+    """Reads of the files of one mate with ``lane``, the place of the file in name order, from 0."""
+    reads = read_fastq(spark, path, sample_id, mate, with_file=True)
+    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    # one row a file
+    lanes = files.withColumn("lane", F.row_number().over(W.orderBy(file_name(F.col("file")), "file")) - 1)
+    return lookup_join(reads, lanes, ["file"], "inner").drop("file")
+
+
+def read_fastq_pairs(spark: SparkSession, r1: str | list[str], r2: str | list[str], sample_id: str) -> DataFrame:
+    """Mates 1 and 2 of the records both files have, matched by record order; several files a mate are lanes in name order."""
+    both = read_lanes(spark, r1, sample_id, 1).unionByName(read_lanes(spark, r2, sample_id, 2))
+    pair = W.partitionBy(*pair_keys(both))
+    return both.withColumn("_both", F.min("mate").over(pair) != F.max("mate").over(pair)).filter("_both").drop("_both")
+
+
+def pair_keys(reads: DataFrame) -> list[str]:
+    """What the mates of a pair share: read_idx counts from 0 in each lane."""
+    return ["sample_id", *(["lane"] if "lane" in reads.columns else []), "read_idx"]
 
 
 def pair_report(r1: DataFrame, r2: DataFrame) -> DataFrame:
     """Per sample: records of each mate file, pairs, and whether the files fit."""
-    keys = ["sample_id", "read_idx"]
+    keys = pair_keys(r1)
     one, two = r1.select(*keys, F.lit(1).alias("m1")), r2.select(*keys, F.lit(1).alias("m2"))
     return (
         one.join(two, keys, "full")

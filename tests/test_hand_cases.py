@@ -10,6 +10,7 @@ from seqframe.operators import coverage as cv
 from seqframe.operators import de, decide, enrich, qc, runs, trim
 from seqframe.operators import samples as sm
 from seqframe.operators import variants as vr
+from seqframe.plans import flows
 from seqframe.sources import readers
 
 
@@ -220,3 +221,54 @@ def test_term_cycle_is_finite_and_closure(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")], "child string, parent string")
     got = {(r["term"], r["ancestor"]) for r in enrich.term_closure(edges).collect()}
     assert got == {(x, y) for x in "abcd" for y in "abcd" if x <= y}
+
+
+def test_lanes_of_pairs(spark, tmp_path):
+    for mate in (1, 2):
+        for lane, n in ((1, 3), (2, 2 + mate % 2)):
+            text = "".join(f"@l{lane}r{i}/{mate}\nACGT\n+\nIIII\n" for i in range(n))
+            (tmp_path / f"R{mate}").mkdir(exist_ok=True)
+            (tmp_path / f"R{mate}" / f"s_L00{lane}_R{mate}.fastq").write_text(text)
+    one, two = (readers.read_lanes(spark, str(tmp_path / f"R{m}"), "S", m) for m in (1, 2))
+    pairs = readers.read_fastq_pairs(spark, str(tmp_path / "R1"), str(tmp_path / "R2"), "S")
+    assert pairs.count() == 10 and {(r.lane, r.read_idx) for r in pairs.collect()} == {(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)}
+    assert tuple(readers.pair_report(one, two).first()) == ("S", 6, 5, 5, False)
+    assert {r.fate for r in trim.split_pairs(one).collect()} == {"unpaired"}
+
+
+def test_reads_without_params_get_the_defaults(spark):
+    reads = spark.createDataFrame([("A", 1, 0, "r", "ACGT" * 12, [40] * 48), ("B", 1, 0, "r", "ACGT" * 12, [40] * 48)], "sample_id string, mate int, read_idx long, read_id string, seq string, quals array<int>")
+    params = trim.trim_reads(reads, spark.createDataFrame([("A", 3, 3, "4:20", 36)], "sample_id string, leading_q int, trailing_q int, sliding string, min_len int"))
+    assert {r.sample_id for r in params.collect()} == {"A", "B"}
+
+
+def test_null_keys(spark):
+    rows = [("S", None, f"q{i}", 0, "c", 100 * i + 1, "10M", "A" * 10, [30] * 10) for i in range(3)]
+    table = spark.createDataFrame(rows, "sample_id string, library string, qname string, flag int, chrom string, pos long, cigar string, seq string, quals array<int>")
+    table = table.withColumns({"rnext": F.lit("*"), "pnext": F.lit(0)})
+    assert {r.flag for r in al.mark_duplicates(table).collect()} == {0}
+    runs_ = spark.createDataFrame([("S", "c", 1, 10, 2)], "sample_id string, chrom string, start_pos long, end_pos long, depth long")
+    regions = spark.createDataFrame([("c", 0, 10, None)], "chrom string, start0 long, end0 long, name string")
+    assert cv.region_mean_depth(runs_, regions).first().mean_depth == 2.0
+
+
+def test_empty_rerun_replaces_its_own_rows(spark, tmp_path):
+    run = flows.Run(str(tmp_path), "r1")
+    table = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert run.store("s", table.limit(0)).count() == 0
+    assert run.store("s", table).count() == 1
+    assert flows.Run(str(tmp_path), "r2").store("s", table).count() == 1
+    assert run.store("s", table.limit(0)).count() == 0
+    assert spark.read.parquet(f"{tmp_path}/stage=s").count() == 1
+
+
+def test_gtf_values_with_semicolons(spark, tmp_path):
+    (tmp_path / "a.gtf").write_text('c\ts\tCDS\t1\t9\t.\t+\t0\tgene_id "a"; note "x; gene_id b"; transcript_id "t1"; level 2;\n')
+    row = readers.read_gtf(spark, str(tmp_path / "a.gtf")).first()
+    assert (row.gene_id, row.transcript_id, row.attrs["level"], row.attrs["note"]) == ("a", "t1", "2", "x; gene_id b")
+
+
+def test_size_factors_need_a_gene_counted_everywhere(spark):
+    counts = spark.createDataFrame([("g", "a", 1), ("g", "b", 0), ("h", "a", 0), ("h", "b", 2)], "gene_id string, sample_id string, cnt long")
+    with pytest.raises(Exception, match="size factors are undefined"):
+        de.size_factors(counts).collect()
