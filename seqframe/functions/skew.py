@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 #: A lookup side is broadcast only after it was counted to hold at most this many rows.
 BROADCAST_ROWS = 200_000
 
+#: And this many bytes, so that a table of long values, such as reference chunks, is joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+
 #: Copies of the lookup side when it is too large to broadcast.
 SALTS = 16
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """True if ``df`` holds no more than ``rows`` rows (reads at most one more)."""
-    return df.limit(rows + 1).count() <= rows
+def at_most(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` holds no more than ``rows`` rows and about ``size`` bytes, its values written as text (reads at most one row more)."""
+    written = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(written), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def salt_of(df: DataFrame, salts: int) -> Column:

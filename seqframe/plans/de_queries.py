@@ -16,6 +16,64 @@ DISP = f"""{FACTORS}, mom as (select gene_id, avg(x) mean, var_samp(x) v from no
  genes as (select gene_id, mean, greatest((v-(select avg(1/size_factor) from factors)*mean)/(mean*mean),1e-8) dg from mom),
  trend as (select greatest(coalesce(regr_intercept(dg,1/mean),0),1e-4) a0, greatest(coalesce(regr_slope(dg,1/mean),0),0) a1 from genes where dg>1e-7)"""
 VST = f"""{DISP}, vst as (select gene_id, sample_id, log2((1+a1+2*a0*x+2*sqrt(a0*x*(1+a1+a0*x)))/(4*a0)) vst from norm, trend)"""
+# The first two axes by power iteration, the second after the first is taken out; the larger end of an axis is positive.
+PCA = """tops as (select gene_id from vst group by 1 order by var_samp(vst) desc nulls last, gene_id limit 500),
+ cen as (select sample_id, gene_id, vst-avg(vst) over (partition by gene_id) c from vst join tops using (gene_id)),
+ ord as (select sample_id, row_number() over (order by sample_id) i from (select distinct sample_id from cen)),
+ cell as (select i, gene_id, c from cen join ord using (sample_id)),
+ gram as (select a.i, b.i j, sum(a.c*b.c) x from cell a join cell b using (gene_id) group by 1,2),
+ mat as (select list(r order by i) m, list_sum(list(r[i] order by i)) whole from (select i, list(x order by j) r from gram group by 1)),
+ pow1 as (select 0 k, list_transform(range(1,len(m)+1), lambda i: sin(i)) v from mat
+  union all select k+1, list_transform(list_transform(m, lambda r: list_dot_product(r,v)), lambda y: y/sqrt(list_sum(list_transform(m, lambda r: pow(list_dot_product(r,v),2))))) from pow1, mat where k<2000),
+ ax1 as (select v, sqrt(list_sum(list_transform(m, lambda r: pow(list_dot_product(r,v),2)))) l from pow1, mat where k=2000),
+ mat2 as (select list_transform(range(1,len(m)+1), lambda i: list_transform(range(1,len(m)+1), lambda j: m[i][j]-l*v[i]*v[j])) m from mat, ax1),
+ pow2 as (select 0 k, list_transform(range(1,len(m)+1), lambda i: cos(i)) v from mat2
+  union all select k+1, list_transform(list_transform(m, lambda r: list_dot_product(r,v)), lambda y: y/sqrt(list_sum(list_transform(m, lambda r: pow(list_dot_product(r,v),2))))) from pow2, mat2 where k<2000),
+ ax2 as (select v, sqrt(list_sum(list_transform(m, lambda r: pow(list_dot_product(r,v),2)))) l from pow2, mat2 where k=2000),
+ axes as (select cast(1 as int) pc, v, l from ax1 union all select 2, v, l from ax2),
+ pca as (select sample_id, pc, v[i]*sqrt(l)*case when list_max(v)>=-list_min(v) then 1 else -1 end score, round(100*l/whole) percent_var from axes, mat, ord)"""
+
+
+def _det(a, b, c, d, e, f, g, h, i):
+    return f"({a}*({e}*{i}-{f}*{h})-{b}*({d}*{i}-{f}*{g})+{c}*({d}*{h}-{e}*{g}))"
+
+
+def _equations(w, z):
+    """Weighted normal equations of the design (1, batch, condition) over the samples of a gene."""
+    total = lambda e: f"list_sum(list_transform(range(1,len(y)+1), lambda s: {e}))"
+    terms = {"a11": w, "a12": f"{w}*xb[s]", "a13": f"{w}*xc[s]", "a22": f"{w}*xb[s]*xb[s]", "a23": f"{w}*xb[s]*xc[s]", "a33": f"{w}*xc[s]*xc[s]"}
+    terms |= {"c1": f"{w}*{z}", "c2": f"{w}*{z}*xb[s]", "c3": f"{w}*{z}*xc[s]"}
+    return ", ".join(f"{total(e)}{'+1e-6' if n in ('a11', 'a22', 'a33') else ''} {n}" for n, e in terms.items())
+
+
+_DET = _det("a11", "a12", "a13", "a12", "a22", "a23", "a13", "a23", "a33")
+_SOLVED = [
+    _det("c1", "a12", "a13", "c2", "a22", "a23", "c3", "a23", "a33"),
+    _det("a11", "c1", "a13", "a12", "c2", "a23", "a13", "c3", "a33"),
+    _det("a11", "a12", "c1", "a12", "a22", "c2", "a13", "a23", "c3"),
+]
+_MU = "list_transform(range(1,len(y)+1), lambda s: exp(greatest(-30, least(30, b1+b2*xb[s]+b3*xc[s]+off[s])))) m"
+_BETA = ", ".join(f"{b}/{_DET} b{i + 1}" for i, b in enumerate(_SOLVED))
+_CLIPPED = ", ".join(f"greatest(-30, least(30, {b}/{_DET}))" for b in _SOLVED)
+_TRIGAMMA = repr(de.trigamma(2.0))
+
+# Fifty rounds of reweighted least squares for each gene; the normal tail is a series.
+WALD = f"""fd as (select gene_id, mean, dg, a1/mean+a0 dt from genes, trend),
+ pr as (select greatest(coalesce(var_samp(ln(dg)-ln(dt)),0)-{_TRIGAMMA}, 0.25) prior from fd where dg>1e-7),
+ dis as (select gene_id, mean, exp(prior/(prior+{_TRIGAMMA})*ln(dg)+(1-prior/(prior+{_TRIGAMMA}))*ln(dt)) a from fd, pr),
+ grid as (select d.gene_id, s.sample_id, coalesce(c.cnt,0)*1e0 y, ln(f.size_factor) o, case when s.batch='b2' then 1e0 else 0e0 end b, case when s.condition='treated' then 1e0 else 0e0 end t
+  from dis d cross join samples s join factors f using (sample_id) left join counts c on c.gene_id=d.gene_id and c.sample_id=s.sample_id),
+ obs as (select gene_id, any_value(mean) mean, any_value(a) a, list(y order by sample_id) y, list(o order by sample_id) off, list(b order by sample_id) xb, list(t order by sample_id) xc
+  from grid join dis using (gene_id) group by 1),
+ begun as (select *, {_equations("1.0", "ln(y[s]/exp(off[s])+0.1)")} from obs),
+ irls as (select gene_id, 0 k, {_BETA} from begun union all select gene_id, k+1, {_CLIPPED} from (
+  select gene_id, k, {_equations("(m[s]/(1+a*m[s]))", "(b1+b2*xb[s]+b3*xc[s]+(y[s]-m[s])/m[s])")} from (select *, {_MU} from irls join obs using (gene_id) where k<50))),
+ fitted as (select gene_id gene, mean baseMean, b3/ln(2) log2FoldChange, sqrt((a11*a22-a12*a12)/{_DET})/ln(2) lfcSE from (
+  select *, {_equations("(m[s]/(1+a*m[s]))", "0.0")} from (select *, {_MU} from irls join obs using (gene_id) where k=50))),
+ st as (select *, log2FoldChange/lfcSE stat, abs(log2FoldChange/lfcSE)/sqrt(2) x from fitted),
+ wald as (select *, case when x>5.5 then 0 when x=0 then 1 else 1-2/sqrt(pi())*exp(-x*x)*list_sum(list_transform(range(0,150), lambda n: exp(2*n*ln(2)+(2*n+1)*ln(x)+lgamma(n+1)-lgamma(2*n+2)))) end pvalue from st),
+ rw as (select *, row_number() over (order by pvalue) rk, count(*) over () n from wald),
+ tested as (select *, least(1.0, min(pvalue*n/rk) over (order by pvalue desc, rk desc rows between unbounded preceding and current row)) padj from rw)"""
 BH = """ranked as (select *, row_number() over (order by pvalue) rk, count(*) over () n from de_raw where pvalue is not null),
  adj as (select gene, least(1.0, min(pvalue*n/rk) over (order by pvalue desc, rk desc rows between unbounded preceding and current row)) padj from ranked),
  res as (select d.*, adj.padj from de_raw d left join adj using (gene))"""
@@ -91,12 +149,14 @@ def _(v):
     return _vst(v).select("gene_id", "sample_id", F.round("vst", 6).alias("vst"))
 
 
-@query("nb_wald_test")
+@query("nb_wald_test", "counts samples", f"""with recursive {DISP}, {WALD} select gene, round(baseMean,6) baseMean, round(log2FoldChange,5) log2FoldChange, round(lfcSE,5) lfcSE,
+ round(stat,5) stat, round(pvalue,6) pvalue, round(padj,6) padj from tested""")
 def _(v):
-    return de.differential_expression(v("counts"), v("samples"))
+    out = de.differential_expression(v("counts"), v("samples"))
+    return out.withColumns(_r("baseMean", "pvalue", "padj") | _r("log2FoldChange", "lfcSE", "stat", digits=5))
 
 
-@query("sample_pca")
+@query("sample_pca", "counts", f"with recursive {VST}, {PCA} select sample_id, pc, round(score,6) score, percent_var from pca")
 def _(v):
     return de.sample_pca(_vst(v)).withColumns(_r("score"))
 
@@ -133,7 +193,9 @@ def _(v):
     return de.de_summary(_results(v))
 
 
-@query("pc1_warning")
+@query("pc1_warning", "de_raw counts", f"""with recursive {BH}, {VST}, {PCA} select count(*) n_genes_tested, count(*) filter (padj<0.05) n_sig, count(*) filter (padj<0.05 and log2FoldChange>0) n_up,
+ count(*) filter (padj<0.05 and log2FoldChange<0) n_down, (select max(percent_var) from pca where pc=1) pc1_variance,
+ case when (select max(percent_var) from pca where pc=1)<50 then ['PC1 variance below 50%'] else cast([] as varchar[]) end warnings from res""")
 def _(v):
     return de.de_summary(_results(v), de.sample_pca(_vst(v)))
 
