@@ -18,13 +18,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    from seqframe.functions.scratch import materialize
+    from seqframe.functions.scratch import materialize, shared_dir
     from seqframe.fixtures import view
     from seqframe.operators import alignments as al
     from seqframe.operators import counts as ct
     from seqframe.operators import coverage as cv
-    from seqframe.operators import de, decide, pileup, qc, trim
+    from seqframe.operators import de, decide, mapping, pileup, qc, recalibrate, trim
     from seqframe.operators import variants as vr
+    from seqframe.plans.base_queries import CHUNK, chunks, known_sites
+    from seqframe.sources import readers, sinks
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -42,13 +44,17 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     start = time.time()
-    names = ("reads", "alignments", "exons", "panel", "variants", "counts", "samples", "contig_reads")
+    names = ("reads", "alignments", "exons", "panel", "variants", "counts", "samples", "contig_reads", "contigs")
     v = {n: materialize(view(spark, sf_dir, n).repartition(2 * int(cpus))) for n in names}
     stage_views = round(time.time() - start, 3)
     rows = {n: v[n].count() for n in names}
 
-    reads, rows_in = v["reads"], v["alignments"]
-    names = ct.sample_ids(v["samples"])
+    reads, rows_in, names = v["reads"], v["alignments"], v["samples"]
+    fastq = shared_dir(spark)
+    sinks.write_fastq(reads, fastq, compression="none")
+    reference, long_reference = materialize(chunks(v.get, CHUNK)), materialize(chunks(v.get, 1000, 256))
+    known = materialize(known_sites(v.get))
+    table = materialize(recalibrate.base_recalibration_table(v["contig_reads"], reference, known, CHUNK))
     runs = {
         "per_base_quality": ("reads", lambda: qc.per_base_quality(qc.base_profile(reads))),
         "qc_verdict": ("reads", lambda: decide.qc_verdict(qc.qc_flags(reads))),
@@ -65,6 +71,11 @@ def main() -> None:
         "variants_table": ("variants", lambda: vr.variants_table(v["variants"])),
         "size_factors": ("counts", lambda: de.size_factors(v["counts"])),
         "differential_expression": ("counts", lambda: de.differential_expression(v["counts"], v["samples"])),
+        "read_fastq": ("reads", lambda: readers.read_fastq(spark, fastq, "run")),
+        "map_reads": ("reads", lambda: mapping.map_reads(reads, long_reference, k=20, max_mismatch=2, chunk=1000, overlap=256)),
+        "base_recalibration_table": ("contig_reads", lambda: recalibrate.base_recalibration_table(v["contig_reads"], reference, known, CHUNK)),
+        "apply_recalibration": ("contig_reads", lambda: recalibrate.apply_recalibration(v["contig_reads"], table)),
+        "call_variants": ("contig_reads", lambda: pileup.call_variants(pileup.pileup(v["contig_reads"]), reference, CHUNK)),
         "pileup": ("contig_reads", lambda: pileup.pileup(v["contig_reads"])),
     }
     seconds, per_second = {}, {}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import sub
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,10 +86,34 @@ def trigamma(x: float) -> float:
     return total + 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7)
 
 
-def gene_dispersions(normalized: DataFrame, factors: DataFrame, floor: float = 1e-8) -> DataFrame:
-    """Mean, variance and method-of-moments dispersion of each gene with a count."""
+def _residual_basis(samples: DataFrame | None) -> tuple[list[str], list[list[float]]]:
+    """Sample order and orthonormal columns that span the design; none where no sample is left over to judge the spread."""
+    import numpy as np
+
+    if samples is None:
+        return [], []
+    names, design, _ = _design(samples, None)
+    u, s, _ = np.linalg.svd(design, full_matrices=False)
+    basis = u[:, s > 1e-9 * s[0]]
+    return (names, basis.T.tolist()) if basis.shape[1] < len(names) else ([], [])
+
+
+def gene_dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame | None = None, floor: float = 1e-8) -> DataFrame:
+    """Mean, variance and method-of-moments dispersion of each gene with a count.
+
+    With a sheet the variance is what conditions and batches leave unexplained, over the samples less the rank of the design;
+    a missing count is zero. Without one, or without replicates, it is that over all samples.
+    """
     xi = factors.agg(F.avg(1 / F.col("size_factor")).alias("xi"))
-    moments = normalized.groupBy("gene_id").agg(F.avg("norm").alias("mean"), F.var_samp("norm").alias("var")).filter("mean > 0")
+    names, basis = _residual_basis(samples)
+    rows, variance = normalized, F.var_samp("norm")
+    if basis:
+        parts = [f"_q{k}" for k in range(len(basis))]
+        table = normalized.sparkSession.createDataFrame([(n, *(b[i] for b in basis)) for i, n in enumerate(names)], ", ".join(["sample_id string", *(f"{p} double" for p in parts)]))
+        rows = lookup_join(normalized, table, ["sample_id"], "inner")
+        left = reduce(sub, [F.pow(F.sum(F.col(p) * F.col("norm")), F.lit(2)) for p in parts], F.sum(F.col("norm") * F.col("norm")))
+        variance = F.greatest(left, F.lit(0.0)) / (len(names) - len(basis))
+    moments = rows.groupBy("gene_id").agg(F.avg("norm").alias("mean"), variance.alias("var")).filter("mean > 0")
     mean = F.col("mean")
     raw = (F.col("var") - F.col("xi") * mean) / (mean * mean)
     return moments.join(F.broadcast(xi)).select("gene_id", "mean", "var", F.greatest(raw, F.lit(floor)).alias("disp_gene"))
@@ -105,15 +131,16 @@ def dispersion_trend(genes: DataFrame, floor: float = 1e-8) -> DataFrame:
     )
 
 
-def dispersions(normalized: DataFrame, factors: DataFrame, n_coef: int = 2) -> DataFrame:
+def dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """Gene-wise, trend and shrunken dispersion per gene.
 
     The log dispersion of a gene is drawn towards the trend; the pull is the
     sampling variance of a log dispersion against the spread seen around the trend.
     """
-    n = len(sample_ids(factors))
-    sampling = trigamma(max(n - n_coef, 1) / 2)
-    genes = materialize(gene_dispersions(normalized, factors))
+    names, basis = _residual_basis(samples)
+    free = len(names) - len(basis) if basis else len(sample_ids(factors)) - 1
+    sampling = trigamma(max(free, 1) / 2)
+    genes = materialize(gene_dispersions(normalized, factors, samples))
     trend = dispersion_trend(genes)
     fitted = genes.join(F.broadcast(trend)).withColumn("disp_trend", F.col("a1") / F.col("mean") + F.col("a0"))
     off = F.log("disp_gene") - F.log("disp_trend")
@@ -225,7 +252,7 @@ def differential_expression(counts: DataFrame, samples: DataFrame, contrast: tup
     cnt, sheet = align_design(counts, samples)
     cnt = materialize(cnt)
     factors = materialize(size_factors(cnt))
-    disp = dispersions(normalize_counts(cnt, factors), factors)
+    disp = dispersions(normalize_counts(cnt, factors), factors, sheet)
     return de_results(materialize(nb_wald_test(cnt, sheet, factors, disp, contrast)))
 
 

@@ -55,9 +55,15 @@ _SOLVED = [
 _MU = "list_transform(range(1,len(y)+1), lambda s: exp(greatest(-30, least(30, b1+b2*xb[s]+b3*xc[s]+off[s])))) m"
 _BETA = ", ".join(f"{b}/{_DET} b{i + 1}" for i, b in enumerate(_SOLVED))
 _CLIPPED = ", ".join(f"greatest(-30, least(30, {b}/{_DET}))" for b in _SOLVED)
-_TRIGAMMA = repr(de.trigamma(2.0))
+_TRIGAMMA = repr(de.trigamma(1.5))  # six samples less intercept, batch and condition
 
 # Fifty rounds of reweighted least squares for each gene; the normal tail is a series.
+DESIGN = f"""{FACTORS}, seen as (select gene_id, list(x order by sample_id) y, list(case when batch='b2' then 1e0 else 0e0 end order by sample_id) xb,
+  list(case when condition='treated' then 1e0 else 0e0 end order by sample_id) xc from norm join samples using (sample_id) group by 1),
+ plain as (select gene_id, y, xb, xc, {_BETA} from (select *, {_equations("1.0", "y[s]").replace("+1e-6", "")} from seen)),
+ mom as (select gene_id, list_avg(y) mean, list_sum(list_transform(range(1,len(y)+1), lambda s: pow(y[s]-b1-b2*xb[s]-b3*xc[s],2)))/(len(y)-3) v from plain where list_avg(y)>0),
+ genes as (select gene_id, mean, greatest((v-(select avg(1/size_factor) from factors)*mean)/(mean*mean),1e-8) dg from mom),
+ trend as (select greatest(coalesce(regr_intercept(dg,1/mean),0),1e-4) a0, greatest(coalesce(regr_slope(dg,1/mean),0),0) a1 from genes where dg>1e-7)"""
 WALD = f"""fd as (select gene_id, mean, dg, a1/mean+a0 dt from genes, trend),
  pr as (select greatest(coalesce(var_samp(ln(dg)-ln(dt)),0)-{_TRIGAMMA}, 0.25) prior from fd where dg>1e-7),
  dis as (select gene_id, mean, exp(prior/(prior+{_TRIGAMMA})*ln(dg)+(1-prior/(prior+{_TRIGAMMA}))*ln(dt)) a from fd, pr),
@@ -136,12 +142,12 @@ def _(v):
     return de.base_mean(_normalized(v)[0]).withColumns(_r("baseMean"))
 
 
-@query("dispersions", "counts", f"""with {DISP}, f as (select gene_id, mean, dg, a1/mean+a0 dt from genes, trend),
- s as (select greatest(coalesce(var_samp(ln(dg)-ln(dt)),0)-{de.trigamma(2.0)!r}, 0.25) prior from f where dg>1e-7)
+@query("dispersions", "counts samples", f"""with {DESIGN}, f as (select gene_id, mean, dg, a1/mean+a0 dt from genes, trend),
+ s as (select greatest(coalesce(var_samp(ln(dg)-ln(dt)),0)-{_TRIGAMMA}, 0.25) prior from f where dg>1e-7)
  select gene_id, round(mean,6) mean, round(dg,6) disp_gene, round(dt,6) disp_trend,
- round(exp(prior/(prior+{de.trigamma(2.0)!r})*ln(dg)+(1-prior/(prior+{de.trigamma(2.0)!r}))*ln(dt)),6) dispersion from f, s""")
+ round(exp(prior/(prior+{_TRIGAMMA})*ln(dg)+(1-prior/(prior+{_TRIGAMMA}))*ln(dt)),6) dispersion from f, s""")
 def _(v):
-    return de.dispersions(*_normalized(v)).withColumns(_r("mean", "disp_gene", "disp_trend", "dispersion"))
+    return de.dispersions(*_normalized(v), v("samples")).withColumns(_r("mean", "disp_gene", "disp_trend", "dispersion"))
 
 
 @query("variance_stabilize", "counts", f"with {VST} select gene_id, sample_id, round(vst,6) vst from vst")
@@ -149,7 +155,7 @@ def _(v):
     return _vst(v).select("gene_id", "sample_id", F.round("vst", 6).alias("vst"))
 
 
-@query("nb_wald_test", "counts samples", f"""with recursive {DISP}, {WALD} select gene, round(baseMean,6) baseMean, round(log2FoldChange,5) log2FoldChange, round(lfcSE,5) lfcSE,
+@query("nb_wald_test", "counts samples", f"""with recursive {DESIGN}, {WALD} select gene, round(baseMean,6) baseMean, round(log2FoldChange,5) log2FoldChange, round(lfcSE,5) lfcSE,
  round(stat,5) stat, round(pvalue,6) pvalue, round(padj,6) padj from tested""")
 def _(v):
     out = de.differential_expression(v("counts"), v("samples"))
