@@ -17,14 +17,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.functions.scratch import materialize
+from seqframe.functions.scratch import materialize, release
 from seqframe.llm.suffix import common_prefixes, suffix_array
 from seqframe.llm.text import blocks, mix, row_of, running, sliding_min, span_hash
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 40
 
 #: Different neighbourhoods of one hash in a shard, and bytes of a suffix array.
-SHARD, ARRAY = 2048, 1 << 20
+SHARD, ARRAY = 2048, 1 << 21
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,13 +246,15 @@ def remove_repeats(
 
     again = rows.select("text").mapInArrow(_count_anchors(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     again = materialize(again)
+    release(docs.sparkSession)
     anchors = rows.select(*keys, "text").mapInArrow(_place_anchors(length), "doc long, th long, h long, at long")
     lists = anchors.join(again, "h", "left_semi").groupBy(*keys).agg(F.collect_set(F.col("at")).alias("ats"))
-    marked = materialize(rows.join(lists, keys, "left"))
-    some = marked.where("ats is not null")
+    some = materialize(rows.join(lists, keys))
+    release(docs.sparkSession)
 
     near = some.dropDuplicates(keys).select(*keys, "text", "ats").mapInArrow(_describe(length), "doc long, th long, h long, f long, start long, end long")
     near = materialize(near)
+    release(docs.sparkSession)
     place = F.struct("doc", "th", "start")
     equal = materialize(near.groupBy("h", "f").agg(F.min(F.struct("doc", "th", "start", "end")).alias("first"), F.count("*").alias("n")))
     copies = near.join(equal.where("n > 1"), ["h", "f"]).where(place != F.struct("first.doc", "first.th", "first.start"))
@@ -265,6 +267,7 @@ def remove_repeats(
     pieces = some.select(*keys, "text").join(wanted, keys).dropDuplicates(keys).select(*keys, "text", "parts")
     pieces = pieces.mapInArrow(_cut_out, "h long, sub long, split boolean, doc long, th long, start long, bytes binary")
     pieces = pieces.repartition(parts, "h", "sub").sortWithinPartitions("h", "sub")
+    release(docs.sparkSession)
     sorted_ = materialize(pieces.mapInArrow(_shards(length, array_bytes), "doc long, th long, start long, end long, w long, w2 long, open boolean"))
     open_ = sorted_.where("open").select(*keys, "start", "end", "w", "w2")
     first = open_.groupBy("w", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -275,9 +278,11 @@ def remove_repeats(
     empty = F.expr("array()").cast("array<struct<start:long,end:long>>")
     touched = some.join(spans, keys, "left").select("id", "text", F.coalesce("spans", empty).alias("spans"))
     touched = touched.mapInArrow(_finish, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
-    whole = marked.where("ats is null").select(
-        F.col("id").alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"), F.sha2("text", 256).alias("sha")
-    )
+    kept = F.col("text") if with_bytes else F.lit(None).cast("binary")
+    none = F.lit(0).cast("long")
+    whole = rows.select(*keys, "id", F.octet_length("text").cast("long").alias("n_bytes"), kept.alias("kept"), F.sha2("text", 256).alias("sha"))
+    whole = whole.join(some.select(*keys).distinct(), keys, "left_anti")
+    whole = whole.select(F.col("id").alias("doc"), "n_bytes", none.alias("n_removed"), none.alias("n_spans"), "kept", "sha")
     out = touched.unionByName(whole)
     kept = F.col("kept") if with_bytes else F.lit(None).cast("binary")
     return out.select(F.col("doc").alias(id_col), "n_bytes", "n_removed", "n_spans", kept.alias("kept"), F.col("sha").alias("kept_sha256"))

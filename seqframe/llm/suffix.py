@@ -10,6 +10,24 @@ from __future__ import annotations
 import numpy as np
 
 
+def _starts(char: np.ndarray) -> np.ndarray:
+    """Where a new character begins."""
+    new = np.empty(len(char), bool)
+    new[:1] = True
+    np.not_equal(char[1:], char[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
+def _by_char(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of a run's characters, and the characters so ordered."""
+    if char.dtype == np.uint16:
+        order = np.argsort(char, kind="stable")
+        return order, char[order]
+    key = (char << 18) | np.arange(len(char))  # a run is shorter than 2**18, and this sorts faster than positions do
+    key.sort()
+    return key & ((1 << 18) - 1), key >> 18
+
+
 def _induce(text: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
     """Fill ``sa``, which holds leftmost S suffixes at their places, with all suffixes."""
     n = len(text)
@@ -23,19 +41,16 @@ def _induce(text: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarr
         if len(at):
             j = seg[at] - 1
             char = text[j]
-            order = np.argsort(char, kind="stable")
-            char = char[order]
-            new = np.r_[True, char[1:] != char[:-1]]
-            first = np.flatnonzero(new)
-            target = head[char] + np.arange(len(char)) - np.repeat(first, np.diff(np.r_[first, len(char)]))
+            order, char = _by_char(char)
+            first = _starts(char)
+            target = head[char] + np.arange(len(char)) - np.repeat(first, np.diff(first, append=len(char)))
             low = int(target.min())
             if low < e:
                 e = low
                 keep = at[order] < e - i
                 order, char, target = order[keep], char[keep], target[keep]
             sa[target] = j[order]
-            last = np.flatnonzero(np.r_[char[1:] != char[:-1], True]) if len(char) else np.zeros(0, np.int64)
-            head[char[last]] = target[last] + 1
+            head[char] = target + 1  # of equal characters the last one counts
         step = min(max(64, 2 * (e - i)), 1 << 17)
         i = e
     filled = np.flatnonzero(sa >= 0)
@@ -51,18 +66,16 @@ def _induce(text: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarr
         if len(at):
             j = seg[at] - 1
             char = text[j]
-            order = np.argsort(char, kind="stable")
-            char = char[order]
-            first = np.flatnonzero(np.r_[True, char[1:] != char[:-1]])
-            target = tail[char] - 1 - (np.arange(len(char)) - np.repeat(first, np.diff(np.r_[first, len(char)])))
+            order, char = _by_char(char)
+            first = _starts(char)
+            target = tail[char] - 1 - (np.arange(len(char)) - np.repeat(first, np.diff(first, append=len(char))))
             high = int(target.max())
             if high >= s:
                 s = high + 1
                 keep = at[order] < i - s
                 order, char, target = order[keep], char[keep], target[keep]
             sa[target] = j[order]
-            last = np.flatnonzero(np.r_[char[1:] != char[:-1], True]) if len(char) else np.zeros(0, np.int64)
-            tail[char[last]] = target[last]
+            tail[char] = target  # of equal characters the last one counts
         step = min(max(64, 2 * (i - s)), 1 << 17)
         i = s
 
