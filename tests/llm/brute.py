@@ -103,6 +103,7 @@ def vectors(rows, threshold=0.93):
             by[lab, len(x)].append(k)
     for members in by.values():
         m = np.array([rows[k][1] for k in members], float)
+        m /= np.abs(m).max(axis=1, keepdims=True)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
         for a, b in zip(*np.nonzero(np.triu(m @ m.T >= threshold, 1))):
             links[members[a]] += 1

@@ -140,8 +140,8 @@ def test_near_pairs_of_a_group_grow_with_its_size():
     import pyarrow as pa
 
     rng = np.random.default_rng(0)
-    base = rng.integers(0, 1 << 16, 64)
-    sig = np.where(rng.random((800, 64)) < 0.9, base, rng.integers(0, 1 << 16, (800, 64))).astype(np.uint16)
+    base = rng.integers(0, 1 << 8, 192)
+    sig = np.where(rng.random((800, 192)) < 0.92, base, rng.integers(0, 1 << 8, (800, 192))).astype(np.uint8)
     batch = pa.RecordBatch.from_arrays(
         [pa.array([7] * 800), pa.array([f"{i:04}".encode() for i in range(800)]), pa.array([s.tobytes() for s in sig]), pa.array([False] * 800), pa.array([7] * 800)],
         ["slot", "copy", "tiny", "big", "bucket"],
