@@ -24,6 +24,10 @@ WORDS, THRESHOLD = 5, 0.8
 #: BANDS * ROWS samples: a pair at the threshold shares a band with probability 1 - (1 - 0.8**4)**16 > 0.9997.
 BANDS, ROWS = 16, 4
 
+#: Samples drawn, of which the first are banded and all estimate the similarity of a candidate pair: the deviation is below 0.03 at
+#: the threshold, so LIKELY lies three deviations under it.
+SAMPLES = 192
+
 #: Document frequencies are kept in a count-min sketch of this fixed size, so tasks hold 8 * DEPTH * WIDTH bytes whatever the input.
 DEPTH, WIDTH = 2, 1 << 20
 
@@ -32,7 +36,7 @@ CHUNK, LEVELS = 1024, 4
 
 #: Sample agreement below which a pair is not verified; from which a text counts as attached to a bucket's leader; and from which
 #: one leader is enough. A text attached to ATTACH leaders does not lead itself.
-LIKELY, ALIKE, SAME, ATTACH = 0.6, 0.8, 0.9, 2
+LIKELY, ALIKE, SAME, ATTACH = 0.71, 0.8, 0.88, 2
 
 #: Random variates of the sampling come from this many drawn values for each sample.
 _POOL = 4096
@@ -179,7 +183,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def work(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         bucket = table.column(0).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint16).reshape(len(bucket), -1)
+        sig = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(bucket), -1)
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         stop = np.r_[edge[1:], len(bucket)]
         begin = edge
@@ -325,21 +329,21 @@ def near_duplicates(
     spark = docs.sparkSession
     sketch, n = frequency_sketch(docs, text_col, k)
     shared = spark.sparkContext.broadcast(sketch)
-    variates = _variates(BANDS * ROWS)
+    variates = _variates(SAMPLES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in _small(batch.column(2)):
                 row, shingle, count = _shingles(buf, offsets, k)
-                sig = sample(row, shingle, count * idf(shingle, shared.value, n), b - a, BANDS * ROWS, variates)
+                sig = sample(row, shingle, count * idf(shingle, shared.value, n), b - a, SAMPLES, variates)
                 has = np.bincount(row, minlength=b - a) > 0
-                values = sig.reshape(b - a, BANDS, ROWS).astype(np.uint64)
+                values = sig[:, : BANDS * ROWS].reshape(b - a, BANDS, ROWS).astype(np.uint64)
                 keys = np.zeros((b - a, BANDS), np.uint64)
                 for i in range(ROWS):
                     keys = mix(keys + values[:, :, i] + np.uint64(1))
                 keys = mix(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                tiny = pa.array([x.tobytes() for x in (sig & 0xFFFF).astype(np.uint16)], pa.binary())
+                tiny = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(has), lists, tiny], ["doc", "copy", "has", "keys", "tiny"]
                 )
