@@ -48,8 +48,8 @@ _MASKS = [((0x9E3779B97F4A7C15 * (i + 1)) % 2**64) - 2**63 for i in range(BANDS
 
 def _shingles(text: Column) -> Column:
     """Hashes of all ``WORDS`` consecutive words; a text of fewer words, but not none, has one of all its words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
-    return F.transform(F.array(words), _hashes)[0]
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), "")
+    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), _hashes)[0]
 
 
 def _hashes(words: Column) -> Column:
