@@ -24,13 +24,13 @@ from seqframe.llm.text import LOWER, NOT_SPACE, blocks, mix, running, span_hash,
 K = 5
 
 #: Bytes of text in a batch, which one task turns into word numbers with the words of that batch alone.
-BATCH = 24_000_000
+BATCH = 12_000_000
 
 #: Pairs and histories at least this frequent are held by tasks: at most FREQUENT and HOT of them, since frequencies add up to one.
 FREQUENT, HOT = 1 << 20, 1 << 16
 
 #: Tokens that a task sorts at a time, and tokens for each bucket of the pair table.
-FLUSH, PER_BUCKET = 2_000_000, 2_000_000
+FLUSH, PER_BUCKET = 1_000_000, 1_000_000
 
 #: Different counts a word may have: their number is at most the root of twice the tokens, and the driver holds them.
 MAX_LEVELS = 10_000_000
@@ -92,7 +92,7 @@ class Model:
     factor: np.ndarray  # of pairs
     buckets: int
     hot: int  # words below this number are histories spread over all buckets
-    pairs: DataFrame  # bucket, h, w, n
+    pairs: DataFrame  # bucket, and arrays h, w, n ordered by h and w
     backoff: DataFrame  # bucket, h, total, alpha
 
 
@@ -198,7 +198,7 @@ def encode(rows: DataFrame, counted: DataFrame, table: DataFrame, unigrams: Unig
     numbered = counted.select("batch", "w").join(table.select("w", "id"), "w")
     schema = f"doc {kind}, train boolean, ids array<{'long' if wide else 'int'}>, n_known long, base double"
     coded = rows.groupBy("batch").cogroup(numbered.groupBy("batch")).applyInArrow(run, schema)
-    return materialize(coded.withColumn("rid", F.monotonically_increasing_id()))
+    return materialize(coded.withColumn("rid", F.monotonically_increasing_id()), "zstd")
 
 
 def _history(ids: np.ndarray, to: np.ndarray, v: int) -> np.ndarray:
@@ -216,8 +216,8 @@ def _bucket(h: np.ndarray, w: np.ndarray, v: int, hot: int, buckets: int) -> np.
     return (code % np.uint64(buckets)).astype(np.int64)
 
 
-def _flushes(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row ids' start, tokens and offsets of runs of texts with consecutive row ids and about FLUSH tokens."""
+def _flushes(batches: Iterator[pa.RecordBatch], most_rows: int, consecutive: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row ids' start, tokens and offsets of runs of texts, with consecutive row ids if asked, and of about FLUSH tokens."""
     for batch in batches:
         rid = batch.column(0).to_numpy()
         lists = batch.column(1)
@@ -229,12 +229,19 @@ def _flushes(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[tupl
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + FLUSH, "right")) - 1)
             to = min(to, at + most_rows)
             jump = np.flatnonzero(np.diff(rid[at:to]) != 1)
-            if len(jump):
+            if consecutive and len(jump):
                 to = at + int(jump[0]) + 1
             yield int(rid[at]), ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
 
 
+def _flat(table: pa.Table, column: str) -> np.ndarray:
+    """All numbers of a column of lists."""
+    parts = [np.asarray(c.drop_null().flatten()) for c in table.column(column).chunks]
+    out = np.concatenate(parts) if parts else np.zeros(0)
+    return out.astype(np.float64 if column == "alpha" else np.int64)
+
+
 def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by bucket, and the start and end of each bucket."""
     order = np.argsort(bucket.astype(np.uint32), kind="stable")
@@ -250,42 +257,55 @@ def fit_pairs(encoded: DataFrame, unigrams: Unigrams, tokens: int) -> Model:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // PER_BUCKET + 1)
     hot = int(np.searchsorted(-unigrams.count, -max(1, unigrams.n // HOT), "right"))
     hot = int(np.r_[unigrams.first, v][hot])  # words at least that frequent
+    name, number, kind = ("int", np.int32, pa.int32()) if v + 2 < 2**31 else ("long", np.int64, pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, to in _flushes(batches, 1 << 30):
+        for _, ids, to in _flushes(batches, 1 << 30, consecutive=False):
             key = _history(ids, to, v) * (v + 2) + ids
             key.sort()
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             n, key = np.diff(np.r_[first, len(key)]), key[first]
-            order, low, high = _split(_bucket(key // (v + 2), key % (v + 2), v, hot, buckets))
-            bucket = _bucket(key // (v + 2), key % (v + 2), v, hot, buckets)[order[low]]
+            bucket = _bucket(key // (v + 2), key % (v + 2), v, hot, buckets)
+            order, low, _ = _split(bucket)
+            key, n = key[order], n[order]
             offsets = pa.array(np.r_[low, len(order)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.ListArray.from_arrays(offsets, pa.array(key[order])), pa.ListArray.from_arrays(offsets, pa.array(n[order].astype(np.int32)))],
-                ["bucket", "keys", "ns"],
-            )
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((key // (v + 2)).astype(number), (key % (v + 2)).astype(number), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[low]]), *arrays], ["bucket", "h", "w", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        key = np.asarray(pa.chunked_array([c.flatten() for c in table.column("keys").chunks], pa.int64()).combine_chunks())
-        n = np.asarray(pa.chunked_array([c.flatten() for c in table.column("ns").chunks], pa.int32()).combine_chunks()).astype(np.int64)
+        h, w, n = (_flat(table, c) for c in ("h", "w", "n"))
+        key = h * (v + 2) + w
         order = np.argsort(key, kind="stable")
         key, n = key[order], n[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         n, key = np.add.reduceat(n, first) if len(first) else n, key[first]
-        return pa.Table.from_arrays([pa.array(np.full(len(key), table.column("bucket")[0].as_py())), pa.array(key // (v + 2)), pa.array(key % (v + 2)), pa.array(n)], ["bucket", "h", "w", "n"])
+        arrays = [pa.array([x], pa.list_(kind)) for x in ((key // (v + 2)).astype(number), (key % (v + 2)).astype(number), n)]
+        return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), *arrays], ["bucket", "h", "w", "n"]).cast(stored)
+
+    schema = f"bucket long, h array<{name}>, w array<{name}>, n array<long>"
+    stored = pa.schema([("bucket", pa.int64()), ("h", pa.list_(kind)), ("w", pa.list_(kind)), ("n", pa.list_(pa.int64()))])
+    partial = encoded.where("train").select("rid", "ids").mapInArrow(count, schema)
+    pairs = materialize(partial.groupBy("bucket").applyInArrow(add, schema), "zstd")
+    release(spark)
+
+    def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(K + 2, np.int64)
+        for batch in batches:
+            n = np.asarray(batch.column(0).flatten())
+            seen += np.bincount(n[n <= K + 1], minlength=K + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(range(K + 2)), pa.array(seen)], ["n", "types"])
 
-    partial = encoded.where("train").select("rid", "ids").mapInArrow(count, "bucket long, keys array<long>, ns array<int>")
-    pairs = materialize(partial.groupBy("bucket").applyInArrow(add, "bucket long, h long, w long, n long"))
     of = np.zeros(K + 2)
-    for r in pairs.where(F.col("n") <= K + 1).groupBy("n").count().collect():
-        of[r["n"]] = r["count"]
+    for r in pairs.select("n").mapInArrow(types, "n long, types long").groupBy("n").agg(F.sum("types").alias("types")).collect():
+        of[r["n"]] = r["types"]
     factor = discounts(of)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bucket, h, w, n = (c.to_numpy() for c in batch.columns)
+            h, w, n = (np.asarray(c.flatten()).astype(np.int64) for c in batch.columns[1:])
+            bucket = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(batch.column(1).offsets)))
             d = np.where(n <= K, factor[np.minimum(n, K)], 1.0)
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]) if len(h) else np.zeros(0, np.int64)
             parts = [np.add.reduceat(x, first) if len(first) else x for x in (n, d * n, uni.value.probability(w))]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(h[first]), *map(pa.array, parts)], ["bucket", "h", "total", "kept", "lower"])
 
@@ -305,7 +325,15 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
     spark = encoded.sparkSession
     v, buckets, hot, factor, unigrams = model.unigrams.v, model.buckets, model.hot, model.factor, model.unigrams
     total = max(1, unigrams.n)
-    often = model.pairs.where(F.col("n") > total / FREQUENT).join(model.backoff, "h").select("h", "w", "n", "total").toPandas()
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, w, n = (np.asarray(c.flatten()).astype(np.int64) for c in batch.columns)
+            pick = n > total / FREQUENT
+            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (h, w, n)], ["h", "w", "n"])
+
+    often = model.pairs.select("h", "w", "n").mapInArrow(frequent, "h long, w long, n long")
+    often = often.join(model.backoff, "h").select("h", "w", "n", "total").toPandas()
     p = np.where(often["n"] <= K, factor[np.minimum(often["n"], K)], 1.0) * often["n"] / often["total"]
     key = often["h"].to_numpy(np.int64) * (v + 2) + often["w"].to_numpy(np.int64)
     order = np.argsort(key)
@@ -326,7 +354,7 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
             value[new] = np.log10(uni.probability(ids[new]))
             mine = np.bincount(row, weights=value, minlength=len(to) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rid % buckets]), pa.array([rid]), pa.array([[]], pa.list_(pa.int64())), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int16())), pa.array([mine], pa.list_(pa.float64()))],
+                [pa.array([rid % buckets]), pa.array([rid]), pa.array([[]], pa.list_(kind)), pa.array([[]], pa.list_(kind)), pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int16())), pa.array([mine], pa.list_(pa.float64()))],
                 names,
             )
             far = np.flatnonzero(~near & ~new)
@@ -340,21 +368,21 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
                 part, whose = key[order[a:b]], docs[order[a:b]]
                 first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(bucket[order[a]])]), pa.array([rid]), pa.array([part[first]], pa.list_(pa.int64())), pa.array([np.diff(np.r_[first, len(part)]).astype(np.int32)], pa.list_(pa.int32())), pa.array([whose], pa.list_(pa.int16())), pa.array([[]], pa.list_(pa.float64()))],
+                    [pa.array([int(bucket[order[a]])]), pa.array([rid]), pa.array([(part[first] // (v + 2)).astype(number)], pa.list_(kind)), pa.array([(part[first] % (v + 2)).astype(number)], pa.list_(kind)), pa.array([np.diff(np.r_[first, len(part)]).astype(np.int32)], pa.list_(pa.int32())), pa.array([whose], pa.list_(pa.int16())), pa.array([[]], pa.list_(pa.float64()))],
                     names,
                 )
 
-    names = ["bucket", "rid", "keys", "ns", "docs", "sums"]
+    name, number, kind = ("int", np.int32, pa.int32()) if v + 2 < 2**31 else ("long", np.int64, pa.int64())
+    names = ["bucket", "rid", "h", "w", "ns", "docs", "sums"]
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         _, _, hots, uni = held.value
-        h, w, n, totals, alphas = (known.column(c).to_numpy() for c in ("h", "w", "n", "total", "alpha"))
-        has = n > 0  # the other rows are histories with their weights
-        key = h[has] * (v + 2) + w[has]
+        h, w, n, own, totals, alphas = (_flat(known, c) for c in ("h", "w", "n", "own", "total", "alpha"))
+        key = h * (v + 2) + w
         order = np.argsort(key)
-        key, n = key[order], n[has][order]
-        histories = np.r_[h[~has], hots["h"].to_numpy(np.int64), v + 2]
-        totals, alphas = np.r_[totals[~has], hots["total"].to_numpy(np.int64), 1], np.r_[alphas[~has], hots["alpha"].to_numpy(float), 1.0]
+        key, n = key[order], n[order]
+        histories = np.r_[own, hots["h"].to_numpy(np.int64), v + 2]
+        totals, alphas = np.r_[totals, hots["total"].to_numpy(np.int64), 1], np.r_[alphas, hots["alpha"].to_numpy(float), 1.0]
         by = np.argsort(histories)
         histories, totals, alphas = histories[by], totals[by], alphas[by]
         rids, values = [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -365,7 +393,7 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
                 rids.append(rid + np.arange(len(done)))
                 values.append(done)
                 continue
-            want = np.asarray(asked.column("keys")[k].values)
+            want = np.asarray(asked.column("h")[k].values).astype(np.int64) * (v + 2) + np.asarray(asked.column("w")[k].values)
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             seen = key[at] == want if len(key) else np.zeros(len(want), bool)
             where = np.searchsorted(histories, want // (v + 2))
@@ -380,12 +408,10 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
             values.append(np.bincount(docs, weights=value)[used])
         return pa.Table.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(values))], ["rid", "score"])
 
-    asked = encoded.select("rid", "ids").mapInArrow(ask, "bucket long, rid long, keys array<long>, ns array<int>, docs array<short>, sums array<double>")
-    weights = model.backoff.where((F.col("h") >= hot) & (F.col("h") <= v))
-    none = F.lit(0).cast("long")
-    known = model.pairs.select("bucket", "h", "w", "n", none.alias("total"), F.lit(0.0).alias("alpha")).unionByName(
-        weights.select("bucket", "h", none.alias("w"), none.alias("n"), "total", "alpha")
-    )
+    asked = encoded.select("rid", "ids").mapInArrow(ask, f"bucket long, rid long, h array<{name}>, w array<{name}>, ns array<int>, docs array<short>, sums array<double>")
+    weights = model.backoff.where((F.col("h") >= hot) & (F.col("h") <= v)).groupBy("bucket").agg(F.collect_list(F.struct("h", "total", "alpha")).alias("x"))
+    weights = weights.select("bucket", F.col("x.h").alias("own"), F.col("x.total").alias("total"), F.col("x.alpha").alias("alpha"))
+    known = model.pairs.select("bucket", "h", "w", "n").unionByName(weights, allowMissingColumns=True)
     found = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "rid long, score double")
     return found.groupBy("rid").agg(F.sum("score").alias("score"))
 
