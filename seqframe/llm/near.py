@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,6 +285,83 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
 
 
+def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, copy, root, inner, left, tiny), those of a slot consecutive, to likely pairs (u > v, agree) of a left and a right text of different roots.
+
+    Inner texts are of their bucket's main root. The others stand left and right, so of two of them one order is compared.
+    """
+    kept: list[pa.RecordBatch] = []
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.combine_chunks()
+        slot = table.column(0).to_numpy()
+        copies = table.column(1).combine_chunks()
+        rank = pc.rank(copies, tiebreaker="dense").to_numpy()
+        root = pc.rank(table.column(2), tiebreaker="dense").to_numpy()
+        inner, left = table.column(3).to_numpy(), table.column(4).to_numpy()
+        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(slot), -1)
+        edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+        stop = np.r_[edge[1:], len(slot)]
+        which = np.repeat(np.arange(len(edge)), stop - edge)
+        lefts = np.flatnonzero(left)
+        step = max(1, (1 << 20) // int((stop - edge).max()))
+        for a in range(0, len(lefts), step):
+            own = lefts[a : a + step]
+            of, index = _spread(edge[which[own]], stop[which[own]])
+            of = own[of]
+            use = ~left[index] & (root[of] != root[index]) & (inner[index] | (rank[of] > rank[index]))
+            of, index = of[use], index[use]
+            for b in range(0, len(of), 1 << 17):
+                i, o = of[b : b + (1 << 17)], index[b : b + (1 << 17)]
+                agree = (sig[i] == sig[o]).mean(axis=1)
+                likely = agree >= LIKELY
+                i, o, agree = i[likely], o[likely], agree[likely]
+                high, low = np.where(rank[i] > rank[o], i, o), np.where(rank[i] > rank[o], o, i)
+                yield pa.RecordBatch.from_arrays([copies.take(pa.array(high)), copies.take(pa.array(low)), pa.array(agree)], ["u", "v", "agree"])
+
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= 8 * CHUNK:  # all whole slots; the last may go on in the next batch
+            table = pa.Table.from_batches(kept)
+            slot = table.column(0).to_numpy()
+            other = np.flatnonzero(slot != slot[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from work(table.slice(0, cut))
+                kept = table.slice(cut).to_batches()
+                size -= cut
+    if kept:
+        yield from work(pa.Table.from_batches(kept))
+
+
+def _unlinked(texts: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
+    """All likely pairs (u > v, agree) that share a bucket, are of different groups (node, root) and not in ``tried``.
+
+    In each bucket the texts outside its largest group are compared with all texts of other groups, in tiles of bounded size.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rooted = texts.select("copy", "keys", "tiny").join(groups.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    rooted = materialize(rooted)
+    keyed = rooted.select("copy", "root", F.explode("keys").alias("bucket"))
+    sizes = keyed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    sizes = sizes.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / CHUNK).alias("across"), F.ceil(F.col("size") / (4 * CHUNK)).alias("down"))
+    mine = lambda n: F.sequence(F.pmod(F.xxhash64("copy"), F.col(n)), F.pmod(F.xxhash64("copy"), F.col(n)))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    tiles = lambda i, j, left: F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j"), F.lit(left).alias("left")))))
+    right, left = tiles(every("across"), mine("down"), False), tiles(mine("across"), every("down"), True)
+    mixed = keyed.join(sizes, "bucket").withColumn("inner", F.col("root") == F.col("main"))
+    placed = mixed.select("copy", "root", "bucket", "inner", F.inline(F.when(F.col("inner"), right).otherwise(F.concat(right, left))))
+    slots = placed.select(F.xxhash64("bucket", "i", "j").alias("slot"), "copy", "root", "inner", "left").join(rooted.select("copy", "tiny"), "copy")
+    slots = slots.select("slot", "copy", "root", "inner", "left", "tiny").repartition(parts, "slot").sortWithinPartitions("slot")
+    found = slots.mapInArrow(_cross_pairs, "u binary, v binary, agree double").distinct()
+    return found.join(tried, ["u", "v"], "left_anti")
+
+
 def _similarity(k: int, sketch, n: int):
     """Rows (u, v, text of u, text of v) to (u, v, similarity)."""
 
@@ -353,14 +431,37 @@ def near_duplicates(
     scanned = materialize(rows.mapInArrow(scan, f"doc {kind}, copy binary, has boolean, keys array<long>, tiny binary"))
     real = scanned.where("has and doc is not null")
     texts = materialize(real.groupBy("copy").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("tiny").alias("tiny")))
+
+    def bodies_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("u").alias("copy")).union(pairs.select("v")).distinct()
+        first = texts.join(wanted, "copy", "left_semi").select("copy", F.col("first").alias("doc"))
+        return materialize(rows.where("doc is not null").join(first, ["copy", "doc"]).dropDuplicates(["copy"]).select("copy", "text"))
+
+    def verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+        both = pairs.join(bodies.select(F.col("copy").alias("u"), F.col("text").alias("tu")), "u").join(bodies.select(F.col("copy").alias("v"), F.col("text").alias("tv")), "v")
+        links = both.select("u", "v", "tu", "tv").mapInArrow(_similarity(k, shared, n), "u binary, v binary, similarity double").where(F.col("similarity") >= threshold)
+        return materialize(links).select("u", "v")
+
     pairs = materialize(_candidates(texts))
-    wanted = pairs.select(F.col("u").alias("copy")).union(pairs.select("v")).distinct()
-    bodies = materialize(
-        rows.where("doc is not null").join(texts.join(wanted, "copy", "left_semi").select("copy", F.col("first").alias("doc")), ["copy", "doc"]).dropDuplicates(["copy"]).select("copy", "text")
-    )
-    both = pairs.join(bodies.select(F.col("copy").alias("u"), F.col("text").alias("tu")), "u").join(bodies.select(F.col("copy").alias("v"), F.col("text").alias("tv")), "v")
-    links = both.select("u", "v", "tu", "tv").mapInArrow(_similarity(k, shared, n), "u binary, v binary, similarity double").where(F.col("similarity") >= threshold)
-    groups = components(materialize(links).select("u", "v"))
+    groups = components(verified(pairs, bodies_of(pairs)))
+    # leaders and chunks only save work: what they left apart is verified too, the likeliest pair of two groups first, then all
+    rest = materialize(_unlinked(texts, pairs, groups))
+    bodies = None if rest.isEmpty() else bodies_of(rest)
+    for last in (False, True):
+        if bodies is None:
+            break
+        root = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+        apart = rest.join(root("u"), "u", "left").join(root("v"), "v", "left").withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")}).where("ru != rv")
+        if last:
+            apart = apart.join(best, ["u", "v"], "left_anti")
+        else:
+            ends = [F.least("ru", "rv"), F.greatest("ru", "rv")]
+            apart = apart.groupBy(*ends).agg(F.max(F.struct("agree", "u", "v")).alias("best"))
+            apart = apart.select("best.u", "best.v")
+        best = materialize(apart.select("u", "v"))
+        links = verified(best, bodies)
+        if not links.isEmpty():
+            groups = components(links.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     member = texts.select("copy", "first", "n").join(groups.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     member = materialize(member)
     lowest = member.groupBy("root").agg(F.min("first").alias("component"))

@@ -135,6 +135,26 @@ def test_near_duplicates(spark, docs, monkeypatch):
     assert near.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_links_survive_false_attachments_and_chunks(spark, monkeypatch):
+    """Spread near copies, each a change or more away from an earlier one: groups are those of all links, whatever leaders and chunks take up first."""
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(150)] for _ in range(2)]
+    while len(texts) < 300:
+        w = list(rng.choice(texts[-40:]))
+        for _ in range(rng.choice([2, 3, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**9)}"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rng.shuffle(rows)
+    table = materialize(spark.createDataFrame(rows, "doc_id long, text string"))
+    sketch, n = near.frequency_sketch(table, "text")
+    want = near_groups(rows, sketch, n)
+    assert 2 < len(set(want.values())) < 290
+    for chunk in (near.CHUNK, 16):
+        monkeypatch.setattr(near, "CHUNK", chunk)
+        assert {r.doc_id: r.component for r in near.near_duplicates(table).collect()} == want
+
+
 def test_near_pairs_of_a_group_grow_with_its_size():
     """A slot of like texts gives a few pairs a text, not all pairs."""
     import pyarrow as pa
