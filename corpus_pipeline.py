@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without chunks of lines that stand earlier in the corpus; documents of which nothing is left go."""
-    done = lines.dedup_lines(docs, carry=tuple(docs.columns)).where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
+    """Texts without runs of two or more lines that stand earlier in the corpus; documents of which nothing is left go."""
+    done = lines.dedup_lines(docs, carry=tuple(docs.columns), runs=True).where((F.col("n_removed") == 0) | (F.trim("kept") != ""))
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -2,7 +2,8 @@
 
 Every line is hashed, and a rolling hash over the last ``ROLL`` line hashes decides whether a chunk ends after a line. The
 borders depend on nearby lines alone, so a passage is cut alike wherever it stands. A chunk of several lines that
-occurs again is removed there, once its bytes have been compared.
+occurs again is removed there, once its bytes have been compared. With ``runs`` the chunks are all pairs of consecutive
+lines instead: their union is every shared run of at least two lines, whatever stands around it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.functions.scratch import materialize
-from seqframe.llm.text import blocks, row_of, running, span_hash
+from seqframe.functions.scratch import discard, materialize
+from seqframe.llm.text import blocks, mix, row_of, running, span_hash
 
 #: Lines in the rolling hash, lines between borders on average, lines a removable chunk has at least.
 ROLL, EVERY, LEAST = 2, 3, 2
@@ -50,6 +51,26 @@ def _chunks(buf: np.ndarray, offsets: np.ndarray, roll: int, every: int):
     return row[last], start[begin], end[last], last - begin + 1, span_hash(sums, start[begin], end[last]), per, n
 
 
+def _pairs(buf: np.ndarray, offsets: np.ndarray):
+    """Row, first byte, byte after the last line, number of lines (2) and hash of every two consecutive lines."""
+    row, start, end, lines, code, _, _ = _chunks(buf, offsets, 1, 1)
+    on = np.flatnonzero(row[1:] == row[:-1])
+    return row[on], start[on], end[on + 1], lines[on] + lines[on + 1], mix(code[on] * np.uint64(3) + code[on + 1])
+
+
+def _merged(removed: list[dict], raw: bytes) -> list[dict]:
+    """Spans that share a line as one."""
+    out: list[dict] = []
+    for r in removed:
+        if out and r["start"] <= out[-1]["end"]:
+            out[-1]["end"] = r["end"]
+        else:
+            out.append(dict(r))
+    for r in out:
+        r["lines"] = raw.count(b"\n", r["start"], r["end"]) + 1
+    return out
+
+
 def dedup_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -59,6 +80,7 @@ def dedup_lines(
     roll: int = ROLL,
     every: int = EVERY,
     least: int = LEAST,
+    runs: bool = False,
 ) -> DataFrame:
     """Per row of ``docs``: the id, n_lines, n_removed (lines), n_chunks (removed) and ``kept``, the text without them.
 
@@ -67,6 +89,9 @@ def dedup_lines(
     by line breaks; ``kept`` is NULL only for NULL text. An empty text has one empty line, which is no chunk. Chunks of fewer
     than ``least`` lines are never removed. Columns named in ``carry`` come along as fields of ``row``; no other is read.
 
+    With ``runs`` every run of two or more lines that stands earlier goes, its first and last line too, and ``n_chunks`` counts runs;
+    ``roll``, ``every`` and ``least`` do not matter. Every line still stays where it stands first.
+
     Only hashes and offsets of chunks are shuffled until repeated ones are known; the bytes of those are compared by
     grouping on them, which combines on the map side, so a passage found in a third of all documents stays small.
     """
@@ -77,8 +102,12 @@ def dedup_lines(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in blocks(batch.column(2)):
-                row, start, end, lines, code, _, _ = _chunks(buf, offsets, roll, every)
-                use = lines >= least
+                if runs:
+                    row, start, end, lines, code = _pairs(buf, offsets)
+                    use = lines == 2
+                else:
+                    row, start, end, lines, code, _, _ = _chunks(buf, offsets, roll, every)
+                    use = lines >= least
                 row = row[use]
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(a, b - a).take(pa.array(row)) for c in batch.columns[:2]]
@@ -100,6 +129,7 @@ def dedup_lines(
     seen = marked.dropDuplicates(["doc", "h"]).select("doc", "h", bytes_of.alias("bytes"), F.explode("spans").alias("s"))
     seen = seen.select("doc", "h", "s.*", F.expr("substring(bytes, cast(s.start + 1 as int), cast(s.end - s.start as int))").alias("chunk"))
     seen = materialize(seen)
+    discard(chunks)  # and with it the shuffle of the texts that ends here
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "h", "start")
     firsts = seen.groupBy("code", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = (
@@ -117,6 +147,8 @@ def dedup_lines(
             kept, n_lines, n_removed, n_chunks = [], [], [], []
             for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = (text or "").encode("utf-8")
+                if runs:
+                    removed = _merged(removed, raw)
                 parts, at, gone = [], 0, False
                 for r in removed:
                     if r["start"] > at:

@@ -36,7 +36,7 @@ def katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    done = lines.dedup_lines(_table(spark, sf_dir, "documents"), runs=True)
     return done.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

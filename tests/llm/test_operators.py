@@ -82,6 +82,35 @@ def test_lines(spark, docs):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_remove_whole_planted_runs(spark, docs):
+    """Passages of 2 to 6 lines between foreign lines go whole; any text against a plain version."""
+    rng = random.Random(8)
+    planted = [(k, [f"passage {k} {i} {rng.random()}" for i in range(k)]) for k in range(2, 7) for _ in range(8)]
+    rows, shared = [], {}
+    for at, (k, lines_of) in enumerate(planted):
+        for copy in range(2):
+            near_by = [[f"own {at} {copy} {side} {rng.random()}" for _ in range(rng.randint(0, 3))] for side in range(2)]
+            rows.append((200_000 + 2 * at + copy, "\n".join([*near_by[0], *lines_of, *near_by[1]])))
+            shared[rows[-1][0]] = k * copy
+    rows += [(300_000, "a\na\na\na"), (300_001, "\n\n"), (300_002, "b\na\na\nc\nb\na"), (300_003, "c\nb"), (300_004, "c"), (300_005, "c\nb\n")]
+    table = docs.select("doc_id", "text", "h").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    seen, want = set(), {}
+    for i, t in sorted({(r.doc_id if r.doc_id is not None else 1 << 62, r.text or "") for r in table.collect()}):
+        parts = t.split("\n")
+        gone = set()
+        for k in range(len(parts) - 1):
+            two = parts[k], parts[k + 1]
+            gone |= {k, k + 1} if two in seen else set()
+            seen.add(two)
+        want[i, zlib.crc32(t.encode())] = len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(parts) if k not in gone).encode()).hexdigest()
+    found = lines.dedup_lines(table, carry=("text",), runs=True).collect()
+    for r in found:
+        key = r.doc_id if r.doc_id is not None else 1 << 62, zlib.crc32((r["row"].text or "").encode())
+        assert (r.n_removed, hashlib.sha256((r.kept or "").encode()).hexdigest()) == want[key]
+    assert len(found) == table.count()
+    assert {r.doc_id: r.n_removed for r in found if r.doc_id in shared} == shared
+
+
 def test_contamination(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     extra = [(900, "The and"), (901, ""), (902, None), (903, "Of was oran. Ha edble a"), (None, "qqq zzz1")]
