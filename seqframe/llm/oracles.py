@@ -105,3 +105,86 @@ select h.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_s
        sha256(case when n_spans is null then b else unhex(front || substr(x, 2 * last + 1)) end) as kept_sha256
 from h left join cut on h.doc_id = cut.doc_id
 """
+
+EXACT = """
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, sha256(t) as text_sha256
+from (select doc_id, coalesce(text, '') as t from documents)
+window same as (partition by t)
+"""
+
+
+
+def _edit(state: str, letter: str, cost: int | str, line: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {line}}}"
+
+
+def _insert(state: str, role: str) -> str:
+    return _edit(state, "I", 3, f"'{role}:' || chr(10)")
+
+
+def _stay(state: str, to: str | None, role: str, keep: bool = True) -> list[str]:
+    """Keeping and reroling a row in ``state``; ``to`` is the initial that Keep needs."""
+    kept = f"case when not must and initial = '{to}' then {_edit(state, 'K', 'cut', 'role || chr(58) || text || chr(10)')} end"
+    changed = f"case when not must then {_edit(state, 'R', '(3 + cut)', f"'{role}:' || text || chr(10)")} end"
+    return [kept] + [changed] * keep
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+#: CRC-32 from its polynomial, the damage, the faults, and the edits row by row: of each state the least (cost, audit), with the lines so far.
+#: States: nothing, after s, after u, after a; before a row (i2, i3) also by insertions.
+CONVERSATIONS = rf"""
+with recursive crc as (
+  select list(v order by i) as tab from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as v
+    from (select unnest(range(256)) as i))
+), keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), '') as k
+  from conversations
+), hashed as (
+  select conv_id, turn, role, text,
+         xor(list_reduce([4294967295] || list_transform(k, lambda x: cast(ascii(x) as bigint)), lambda c, b: xor(tab[cast(xor(c, b) & 255 as bigint) + 1], c >> 8)), 4294967295) % 20 as what
+  from keyed, crc
+), damaged as (
+  select conv_id, turn, case when what = 4 then 'user' else role end as role,
+         case what when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(case when what = 3 then [1, 2] else [1] end) as copy
+  from hashed where what <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as t, substr(role, 1, 1) as initial,
+         not regexp_matches(text, '[^\x20\x09-\x0D]') as blank, not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') as open
+  from damaged
+), judged as (
+  select *, not blank and row_number() over (partition by conv_id, role, text order by t) > 1 as again,
+         coalesce(lag(initial) over (partition by conv_id order by t) || initial not in ('su', 'ua', 'au'), false) as wrong
+  from placed
+), line as materialized (
+  select conv_id, turn, t, role, text, initial, blank, again, not blank and not again and open as trunc, wrong, blank or again as must,
+         case when open then 3 else 0 end as cut
+  from judged
+), counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (blank) as blank, count(*) filter (again) as duplicate,
+         count(*) filter (trunc) as truncated, count(*) filter (wrong) as illegal, max(t) as n
+  from line group by conv_id
+), state as (
+  select conv_id, cast(0 as bigint) as t, {{'c': cast(0 as bigint), 'a': '', 'r': ''}} as s0, {{'c': cast(1000000000 as bigint), 'a': '', 'r': ''}} as s1,
+         {{'c': cast(1000000000 as bigint), 'a': '', 'r': ''}} as s2, {{'c': cast(1000000000 as bigint), 'a': '', 'r': ''}} as s3
+  from counted
+  union all
+  select conv_id, t, {_edit("s0", "D", 4)}, {_least(_edit("s1", "D", 4), *_stay("s0", "s", "", False))},
+         {_least(_edit("i2", "D", 4), *_stay("s0", "u", "user"), *_stay("s1", "u", "user"), *_stay("i3", "u", "user"))},
+         {_least(_edit("i3", "D", 4), *_stay("i2", "a", "assistant"))}
+  from (select *, {_least("s3", _insert("i2", "assistant"))} as i3
+        from (select l.*, s0, s1, s2, s3, {_least("s2", _insert("s0", "user"), _insert("s1", "user"), _insert("s3", "user"))} as i2
+              from state s join line l on l.conv_id is not distinct from s.conv_id and l.t = s.t + 1))
+), ended as (
+  select conv_id, {_least("s0", "s3", _insert("s4", "assistant"))} as best
+  from (select s.*, {_least("s2", _insert("s1", "user"))} as s4 from state s join counted c on s.conv_id is not distinct from c.conv_id where t = n)
+)
+select i.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost, coalesce(best.a, '') as audit, sha256(coalesce(left(best.r, length(best.r) - 1), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i
+left join counted c on c.conv_id is not distinct from i.conv_id left join ended e on e.conv_id is not distinct from i.conv_id
+"""

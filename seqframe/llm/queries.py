@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, oracles, repeats, vectors, warc
+from seqframe.llm import decontaminate, exact, katz, language, licenses, lines, mixing, near, oracles, periodic, repeats, turns, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,24 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
     return mixed.select("doc_id", F.col("mix_source").alias("source"), "n_chars", "mix_block", "mix_slot", "mix_row")
+
+
+@query("op11_conversation_repair", oracles.CONVERSATIONS)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return turns.report(rows, turns.repair(turns.damage(rows)))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = periodic.repeat_words(F.col("text"), F.col("doc_id"))
+    return periodic.summary(periodic.collapse_runs(_table(spark, sf_dir, "documents"), text=text))
+
+
+@query("op13_exact_dedup", oracles.EXACT)
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in two batches: even hashes of the id first, then all others against their snapshot."""
+    docs = _table(spark, sf_dir, "documents")
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    done = exact.deduplicate([docs.where(early), docs.where(~early)])
+    return done.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
