@@ -212,12 +212,17 @@ def repeat_words(text: Column, doc_id: Column) -> Column:
     """
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
+
+    def damaged(found: Column) -> Column:
+        n = F.size(found)
+        a = g % F.greatest(n, F.lit(1))
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        moved = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(found, (moved(i) + 1).cast("int"))), " ")
+
     found = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
-    n = F.size(found)
-    a = g % F.greatest(n, F.lit(1))
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    new = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(found, (F.when(i < a, i).otherwise(a + (i - a) % p) + 1).cast("int")))
-    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), F.array_join(new, " ")).otherwise(text)
+    new = F.get(F.transform(F.array(found), damaged), 0)  # so that the words are found once a text, not once a word
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), new).otherwise(text)
 
 
 def summary(found: DataFrame) -> DataFrame:
