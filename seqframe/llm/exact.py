@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,8 @@ def _probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests that the filter before them lets pass; rows arrive by bucket and slice, its filter first."""
     where, test = None, None
     for batch in batches:
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "slice", "key")}
+        # a filter's own row has no key
+        cols = {c: pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False) for c in ("bucket", "slice", "key")}
         group = np.flatnonzero(np.diff(cols["bucket"]) | np.diff(cols["slice"])) + 1
         heads = np.flatnonzero(np.asarray(batch.column("cells").is_valid()))
         cuts = np.unique(np.r_[0, group, heads, heads + 1, batch.num_rows])
@@ -168,5 +170,6 @@ def deduplicate(batches: Sequence[DataFrame], *, text: str = "text", id_col: str
         rows = rows.withColumn("batch", F.lit(k))
         members = rows if members is None else members.unionByName(rows)
     groups = members.groupBy("class").agg(F.max(F.struct("id", "batch", "row")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups)  # so that both sides of the join are plain shuffles, of which Spark splits a hot one
     kept = (F.col("top.batch") == F.col("batch")) & (F.col("top.row") == F.col("row"))
     return members.join(groups, "class").select("id", F.col("top.id").alias("keep_id"), "group_size", kept.alias("kept"), "sha")
