@@ -39,6 +39,9 @@ CHUNK, LEVELS = 1024, 4
 #: one leader is enough. A text attached to ATTACH leaders does not lead itself.
 LIKELY, ALIKE, SAME, ATTACH = 0.71, 0.8, 0.88, 2
 
+#: Bytes of text on either side of a tile in which texts of different groups are verified.
+TILE_BYTES = 8 << 20
+
 #: Random variates of the sampling come from this many drawn values for each sample.
 _POOL = 4096
 _BITS = 12  # texts in a block; shingles keep the other bits
@@ -176,8 +179,9 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (slot, copy, tiny, big, bucket), those of a slot consecutive, to likely pairs (u, v) and the leaders of big slots.
 
-    The first text of a slot that is not yet attached to enough leaders becomes its next leader. It is paired with the texts still
-    looking for leaders, and if no leader attached it, with all others too. All slots of a slice advance together.
+    The first text of a slot that is not yet attached to enough leaders becomes its next leader. It is compared with the texts still
+    looking for leaders, and if no leader attached it, with all others too. All slots of a slice advance together. Of its likely
+    partners each text offers the likeliest alone, so a slot gives no more pairs than it has texts.
     """
     kept: list[pa.RecordBatch] = []
 
@@ -190,7 +194,7 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         begin = edge
         need = np.full(len(bucket), ATTACH, np.int64)
         led = np.zeros(len(bucket), bool)
-        u, v, leaders = [], [], []
+        best, whom, leaders = np.zeros(len(bucket)), np.full(len(bucket), -1), []
         while len(edge):
             rest, index = _spread(edge, stop)  # each slot's next leader: its first text in need
             lead = np.full(len(edge), -1)
@@ -210,9 +214,12 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for a in range(0, len(index), 1 << 17):
                 i, o = index[a : a + (1 << 17)], of[a : a + (1 << 17)]
                 agree = (sig[i] == sig[o]).mean(axis=1)
-                likely = agree >= LIKELY
-                u.append(i[likely])
-                v.append(o[likely])
+                better = agree > best[i]  # a text meets one leader at a time
+                best[i[better]], whom[i[better]] = agree[better], o[better]
+                order = np.lexsort((agree, o))
+                top = order[np.flatnonzero(np.r_[o[order][1:] != o[order][:-1], True])]  # and a leader its likeliest text
+                top = top[agree[top] > best[o[top]]]
+                best[o[top]], whom[o[top]] = agree[top], i[top]
                 need[i] -= (agree >= ALIKE).astype(np.int64) + (agree >= SAME) * (ATTACH - 1)
             edge = lead + 1
             go = edge < stop
@@ -220,9 +227,9 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         copies = table.column(1)
         lead = np.concatenate(leaders) if leaders else np.zeros(0, np.int64)
         big = lead[table.column(3).to_numpy()[lead]]
-        left = np.concatenate([*u, big]) if u else big
-        right = np.concatenate([*v, big]) if v else big
-        n = len(left) - len(big)
+        offers = np.flatnonzero(best >= LIKELY)
+        left, right = np.r_[offers, big], np.r_[whom[offers], big]
+        n = len(offers)
         return pa.RecordBatch.from_arrays(
             [copies.take(pa.array(left)).combine_chunks(), copies.take(pa.array(right)).combine_chunks(), table.column(4).take(pa.array(left)).combine_chunks(), pa.array(np.arange(len(left)) >= n)],
             ["u", "v", "origin", "leader"],
@@ -285,81 +292,156 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (slot, copy, root, inner, left, tiny), those of a slot consecutive, to likely pairs (u > v, agree) of a left and a right text of different roots.
-
-    Inner texts are of their bucket's main root. The others stand left and right, so of two of them one order is compared.
-    """
-    kept: list[pa.RecordBatch] = []
-
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = table.combine_chunks()
-        slot = table.column(0).to_numpy()
-        copies = table.column(1).combine_chunks()
-        rank = pc.rank(copies, tiebreaker="dense").to_numpy()
-        root = pc.rank(table.column(2), tiebreaker="dense").to_numpy()
-        inner, left = table.column(3).to_numpy(), table.column(4).to_numpy()
-        sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(slot), -1)
-        edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
-        stop = np.r_[edge[1:], len(slot)]
-        which = np.repeat(np.arange(len(edge)), stop - edge)
-        lefts = np.flatnonzero(left)
-        step = max(1, (1 << 20) // int((stop - edge).max()))
-        for a in range(0, len(lefts), step):
-            own = lefts[a : a + step]
-            of, index = _spread(edge[which[own]], stop[which[own]])
-            of = own[of]
-            use = ~left[index] & (root[of] != root[index]) & (inner[index] | (rank[of] > rank[index]))
-            of, index = of[use], index[use]
-            for b in range(0, len(of), 1 << 17):
-                i, o = of[b : b + (1 << 17)], index[b : b + (1 << 17)]
-                agree = (sig[i] == sig[o]).mean(axis=1)
-                likely = agree >= LIKELY
-                i, o, agree = i[likely], o[likely], agree[likely]
-                high, low = np.where(rank[i] > rank[o], i, o), np.where(rank[i] > rank[o], o, i)
-                yield pa.RecordBatch.from_arrays([copies.take(pa.array(high)), copies.take(pa.array(low)), pa.array(agree)], ["u", "v", "agree"])
-
-    size = 0
+def _whole_slots(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of whole slots (rows of a slot are consecutive, ``slot`` is the first column) of at least ``most`` bytes, or what is left."""
+    kept, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
-        size += batch.num_rows
-        if size >= 8 * CHUNK:  # all whole slots; the last may go on in the next batch
+        size += batch.nbytes
+        if size >= most:
             table = pa.Table.from_batches(kept)
             slot = table.column(0).to_numpy()
             other = np.flatnonzero(slot != slot[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
-                yield from work(table.slice(0, cut))
+                yield table.slice(0, cut).combine_chunks()
                 kept = table.slice(cut).to_batches()
-                size -= cut
+                size = sum(b.nbytes for b in kept)
     if kept:
-        yield from work(pa.Table.from_batches(kept))
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def _apart(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Likely pairs (one, other, agreement, by row) of a left and a right text of different roots, each in the first bucket that both share.
+
+    Columns: slot, bucket, copy, root, inner, left, keys, tiny. Inner texts are of their bucket's main root. The others stand left and
+    right, so of two of them one order is compared.
+    """
+    slot = table.column("slot").to_numpy()
+    rank = pc.rank(table.column("copy"), tiebreaker="dense").to_numpy()
+    root = pc.rank(table.column("root"), tiebreaker="dense").to_numpy()
+    inner, left = (table.column(c).to_numpy() for c in ("inner", "left"))
+    sig = np.frombuffer(b"".join(table.column("tiny").to_pylist()), np.uint8).reshape(len(slot), -1)
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(slot), -1)
+    band = np.argmax(keys == table.column("bucket").to_numpy()[:, None], axis=1)
+    edge = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    stop = np.r_[edge[1:], len(slot)]
+    which = np.repeat(np.arange(len(edge)), stop - edge)
+    lefts = np.flatnonzero(left)
+    step = max(1, (1 << 19) // int((stop - edge).max()))
+    for a in range(0, len(lefts), step):
+        own = lefts[a : a + step]
+        of, index = _spread(edge[which[own]], stop[which[own]])
+        of = own[of]
+        use = ~left[index] & (root[of] != root[index]) & (inner[index] | (rank[of] > rank[index]))
+        of, index = of[use], index[use]
+        for b in range(0, len(of), 1 << 17):
+            i, o = of[b : b + (1 << 17)], index[b : b + (1 << 17)]
+            agree = (sig[i] == sig[o]).mean(axis=1)
+            likely = agree >= LIKELY
+            i, o, agree = i[likely], o[likely], agree[likely]
+            new = np.argmax(keys[i] == keys[o], axis=1) == band[i]
+            yield i[new], o[new], agree[new]
+
+
+def _mark_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (slot, copy, left) that stand in a pair of :func:`_apart`: at most as many rows as came in."""
+    for table in _whole_slots(batches, 16 << 20):
+        seen = np.zeros(len(table), bool)
+        for i, o, _ in _apart(table):
+            seen[i] = seen[o] = True
+        yield from table.select(["slot", "copy", "left"]).filter(pa.array(seen)).to_batches()
+
+
+def _tile_links(k: int, sketch, n: int, threshold: float):
+    """Links (u, v) that join roots, among the pairs of :func:`_apart`, verified on the whole texts that the rows carry.
+
+    The likeliest pairs come first, and a pair whose roots are joined by then is not verified: a tile gives fewer links than it has texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_slots(batches, 16 << 20):
+            parts = [(row + s, shingle, count) for s, _, buf, offsets in _small(table.column("text")) for row, shingle, count in [_shingles(buf, offsets, k)]]
+            row, shingle, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            weight = count * idf(shingle, sketch.value, n)
+            whole = np.bincount(row, weights=weight, minlength=len(table))
+            first = np.searchsorted(row, np.arange(len(table) + 1))
+            _, number = np.unique(shingle, return_inverse=True)
+            width = int(number.max(initial=0)) + 1
+            root = pc.rank(table.column("root"), tiebreaker="dense").to_numpy().astype(np.int64)
+            joined = np.arange(int(root.max()) + 1)
+            u, v = [], []
+
+            def verified(i: np.ndarray, o: np.ndarray) -> np.ndarray:
+                sides = []
+                for x in (i, o):
+                    pair, at = _spread(first[x], first[x + 1])
+                    sides.append((pair * width + number[at], at))
+                (mine, at1), (theirs, at2) = sides
+                spot = np.minimum(np.searchsorted(theirs, mine), max(len(theirs) - 1, 0))
+                both = theirs[spot] == mine if len(theirs) else np.zeros(len(mine), bool)
+                low = np.minimum(count[at1[both]], count[at2[spot[both]]]) * (weight[at1[both]] / count[at1[both]])
+                shared = np.bincount(mine[both] // width, weights=low, minlength=len(i))
+                return shared / np.maximum(whole[i] + whole[o] - shared, 1e-300) >= threshold
+
+            for i, o, agree in _apart(table):
+                order = np.argsort(-agree, kind="stable")
+                i, o = i[order], o[order]
+                step = 256
+                while len(i):
+                    open_ = joined[root[i]] != joined[root[o]]
+                    i, o = i[open_], o[open_]
+                    now, i, later, o = i[:step], i[step:], o[:step], o[step:]
+                    ok = verified(now, later)
+                    for a, b in zip(now[ok].tolist(), later[ok].tolist(), strict=True):
+                        x, y = joined[root[a]], joined[root[b]]
+                        if x != y:
+                            joined[joined == max(x, y)] = min(x, y)
+                            u.append(a)
+                            v.append(b)
+            copies = table.column("copy")
+            yield from pa.table({"u": copies.take(pa.array(u, pa.int64())), "v": copies.take(pa.array(v, pa.int64()))}).combine_chunks().to_batches()
+
+    return run
 
 
-def _unlinked(texts: DataFrame, tried: DataFrame, groups: DataFrame) -> DataFrame:
-    """All likely pairs (u > v, agree) that share a bucket, are of different groups (node, root) and not in ``tried``.
+def _joining_links(texts: DataFrame, groups: DataFrame, bodies_of, link) -> DataFrame:
+    """Links (u, v) between all groups (node, root) that any likely pair of texts of one bucket joins.
 
-    In each bucket the texts outside its largest group are compared with all texts of other groups, in tiles of bounded size.
+    In each bucket the texts outside its largest group are compared with all texts of other groups, in tiles of bounded size. Texts of
+    a likely pair are then brought to the tile, where pairs are verified and what joins two groups comes out.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rooted = texts.select("copy", "keys", "tiny").join(groups.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
+    rooted = texts.select("copy", "keys", "tiny", "bytes").join(groups.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     rooted = materialize(rooted)
-    keyed = rooted.select("copy", "root", F.explode("keys").alias("bucket"))
-    sizes = keyed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    sizes = sizes.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / CHUNK).alias("across"), F.ceil(F.col("size") / (4 * CHUNK)).alias("down"))
+    keyed = rooted.select("copy", "root", "bytes", F.explode("keys").alias("bucket"))
+    sizes = keyed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("size"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    tiles_for = lambda rows, size: F.greatest(F.ceil(rows / CHUNK), F.ceil(size / TILE_BYTES), F.lit(1))
+    sizes = sizes.select(
+        "bucket",
+        F.col("main.root").alias("main"),
+        tiles_for(F.col("size") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("across"),
+        tiles_for(F.col("size") / 4, F.col("bytes")).alias("down"),
+    )
     mine = lambda n: F.sequence(F.pmod(F.xxhash64("copy"), F.col(n)), F.pmod(F.xxhash64("copy"), F.col(n)))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     tiles = lambda i, j, left: F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j"), F.lit(left).alias("left")))))
     right, left = tiles(every("across"), mine("down"), False), tiles(mine("across"), every("down"), True)
     mixed = keyed.join(sizes, "bucket").withColumn("inner", F.col("root") == F.col("main"))
-    placed = mixed.select("copy", "root", "bucket", "inner", F.inline(F.when(F.col("inner"), right).otherwise(F.concat(right, left))))
-    slots = placed.select(F.xxhash64("bucket", "i", "j").alias("slot"), "copy", "root", "inner", "left").join(rooted.select("copy", "tiny"), "copy")
-    slots = slots.select("slot", "copy", "root", "inner", "left", "tiny").repartition(parts, "slot").sortWithinPartitions("slot")
-    found = slots.mapInArrow(_cross_pairs, "u binary, v binary, agree double").distinct()
-    return found.join(tried, ["u", "v"], "left_anti")
+    placed = mixed.select("copy", "bucket", "inner", F.inline(F.when(F.col("inner"), right).otherwise(F.concat(right, left))))
+    slots = placed.select(F.xxhash64("bucket", "i", "j").alias("slot"), "bucket", "copy", "inner", "left").join(rooted.drop("bytes"), "copy")
+    columns = ["slot", "bucket", "copy", "root", "inner", "left", "keys", "tiny"]
+    slots = materialize(slots.select(*columns))
+    dealt = lambda df: df.repartition(parts, "slot").sortWithinPartitions("slot")
+    marked = materialize(dealt(slots).mapInArrow(_mark_apart, "slot long, copy binary, left boolean"))
+    if marked.isEmpty():
+        return marked.select(F.col("copy").alias("u"), F.col("copy").alias("v"))
+    bodies = bodies_of(marked.select("copy"))
+    full = slots.join(marked, ["slot", "copy", "left"], "left_semi").join(bodies, "copy").select(*columns, "text")
+    return materialize(dealt(full).mapInArrow(link, "u binary, v binary"))
 
 
 def _similarity(k: int, sketch, n: int):
@@ -423,17 +505,17 @@ def near_duplicates(
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 tiny = pa.array([x.tobytes() for x in (sig & 0xFF).astype(np.uint8)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(has), lists, tiny], ["doc", "copy", "has", "keys", "tiny"]
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(has), lists, tiny, pa.array(np.diff(offsets))], ["doc", "copy", "has", "keys", "tiny", "bytes"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.unhex(F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).alias("copy"), F.col(text_col).alias("text"))
-    scanned = materialize(rows.mapInArrow(scan, f"doc {kind}, copy binary, has boolean, keys array<long>, tiny binary"))
+    scanned = materialize(rows.mapInArrow(scan, f"doc {kind}, copy binary, has boolean, keys array<long>, tiny binary, bytes long"))
     real = scanned.where("has and doc is not null")
-    texts = materialize(real.groupBy("copy").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("tiny").alias("tiny")))
+    texts = materialize(real.groupBy("copy").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("tiny").alias("tiny"), F.first("bytes").alias("bytes")))
 
-    def bodies_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("u").alias("copy")).union(pairs.select("v")).distinct()
+    def bodies_of(wanted: DataFrame) -> DataFrame:
+        wanted = wanted.distinct()
         first = texts.join(wanted, "copy", "left_semi").select("copy", F.col("first").alias("doc"))
         return materialize(rows.where("doc is not null").join(first, ["copy", "doc"]).dropDuplicates(["copy"]).select("copy", "text"))
 
@@ -443,25 +525,11 @@ def near_duplicates(
         return materialize(links).select("u", "v")
 
     pairs = materialize(_candidates(texts))
-    groups = components(verified(pairs, bodies_of(pairs)))
-    # leaders and chunks only save work: what they left apart is verified too, the likeliest pair of two groups first, then all
-    rest = materialize(_unlinked(texts, pairs, groups))
-    bodies = None if rest.isEmpty() else bodies_of(rest)
-    for last in (False, True):
-        if bodies is None:
-            break
-        root = lambda x: groups.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
-        apart = rest.join(root("u"), "u", "left").join(root("v"), "v", "left").withColumns({"ru": F.coalesce("ru", "u"), "rv": F.coalesce("rv", "v")}).where("ru != rv")
-        if last:
-            apart = apart.join(best, ["u", "v"], "left_anti")
-        else:
-            ends = [F.least("ru", "rv"), F.greatest("ru", "rv")]
-            apart = apart.groupBy(*ends).agg(F.max(F.struct("agree", "u", "v")).alias("best"))
-            apart = apart.select("best.u", "best.v")
-        best = materialize(apart.select("u", "v"))
-        links = verified(best, bodies)
-        if not links.isEmpty():
-            groups = components(links.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    groups = components(verified(pairs, bodies_of(pairs.select(F.col("u").alias("copy")).union(pairs.select("v")))))
+    # leaders and chunks only save work: all likely pairs that they left apart are verified in their tiles
+    links = _joining_links(texts, groups, bodies_of, _tile_links(k, shared, n, threshold))
+    if not links.isEmpty():
+        groups = components(links.unionByName(groups.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     member = texts.select("copy", "first", "n").join(groups.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
     member = materialize(member)
     lowest = member.groupBy("root").agg(F.min("first").alias("component"))
