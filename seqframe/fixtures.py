@@ -103,14 +103,14 @@ _TEXT = {
 }
 
 
-def _windows(engine: str, stride: int, dna: bool) -> str:
-    """All windows of up to 100 letters, every ``stride`` letters, of every text."""
+def _windows(engine: str, stride: int, dna: bool, width: int = 100) -> str:
+    """All windows of up to ``width`` letters, every ``stride`` letters, of every text."""
     text = _TEXT[engine]
     t = f"translate(t,'{LETTERS}','{BASES}')" if dna else "t"
     if engine == "spark":
         return f"""select doc_id, source, i, t from (select doc_id, source, {t} letters from ({text}) q where length(t)>0) d
- lateral view posexplode(regexp_extract_all(letters, '(?=(.{{1,100}})).{{1,{stride}}}', 1)) x as i, t"""
-    return f"""select doc_id, source, cast(i as int) i, substr({t}, cast(i as int)*{stride}+1, 100) t from (select * from ({text}) q where length(t)>0) d,
+ lateral view posexplode(regexp_extract_all(letters, '(?=(.{{1,{width}}})).{{1,{stride}}}', 1)) x as i, t"""
+    return f"""select doc_id, source, cast(i as int) i, substr({t}, cast(i as int)*{stride}+1, {width}) t from (select * from ({text}) q where length(t)>0) d,
  unnest(range(0, cast(floor((length(t)-1)/{stride}) as int)+1)) x(i)"""
 
 
@@ -152,14 +152,49 @@ def _contig_reads(engine: str) -> str:
  from ({_windows(engine, 50, True)}) w{_once(engine, seq, "seq")}{_once(engine, quals, "quals")}"""
 
 
-BUILT = {"reads": _reads, "contigs": _contigs, "contig_reads": _contig_reads}
+def _paired(engine: str) -> str:
+    """Mates from both ends of fragments of some 270 to 300 letters: some swapped, some alone, some second mates with an error
+    every 17 letters, some that fit nowhere."""
+    join = "array_join" if engine == "spark" else "array_to_string"
+    frag = "substr(t,1,cast(length(t)-(i*13+doc_id)%31*(case when length(t)>200 then 1 else 0 end) as int))"
+    back = "reverse(translate(t,'ACGTN','TGCAN'))"
+    wrong = f"{join}({_map(engine, f'case when p%17=5 then {_ALT} else substr(t,p,1) end')},'')"
+    return f"""select sample_id, read_idx, cast(mate as int) mate, concat(read_idx,'/',mate) read_id, case when near then substr({wrong},1,90) else substr(t,1,90) end seq
+ from (select sample_id, read_idx, mate, mate=2 and i%7=3 near, case when mate=2 and i%11=5 then reverse(t) when (mate=1)=(i%13=7) then {back} else t end t
+ from (select concat('S',doc_id%6+1) sample_id, cast(doc_id*1000000+i as bigint) read_idx, i, {frag} t from ({_windows(engine, 150, True, 300)}) w) f,
+ (values (1),(2)) m(mate) where i%17<>9 or mate=1) y"""
+
+
+_DEEP_BASE = "substr('ACGT', cast((x*7 + floor(x/3))%4 as int)+1, 1)"
+
+
+def _deep_contigs(engine: str) -> str:
+    join = "array_join" if engine == "spark" else "array_to_string"
+    bases = _map(engine, _DEEP_BASE.replace("x", "p")).replace("length(t)", "140")
+    return f"select concat('d',k) chrom, {join}({bases},'') bases from (select distinct l_suppkey%4 k from lineitem) c"
+
+
+def _deep_reads(engine: str) -> str:
+    """Reads of 40 bases piled up on four short contigs: sites of two other alleles, of one, and errors."""
+    join = "array_join" if engine == "spark" else "array_to_string"
+    shift = "case when x%11=3 then 1+a when x%13=5 then a when x%17=4 then 2 when (l_orderkey+x)%53=0 then 3 else 0 end"
+    letter = f"substr('ACGT', cast((x*7 + floor(x/3) + {shift})%4 as int)+1, 1)"
+    seq = f"{join}({_map(engine, letter.replace('x', '(pos+p-1)')).replace('length(t)', '40')},'')"
+    quals = _map(engine, "cast(20+(p+l_linenumber)%17 as int)").replace("length(t)", "40")
+    return f"""select concat('z',l_orderkey,'_',l_linenumber) read_id, concat('S',l_orderkey%3) sample_id, cast(case when l_linenumber%2=0 then 0 else 16 end as int) flag,
+ concat('d',l_suppkey%4) chrom, pos, cast(60 as int) mapq, '40M' cigar, {_column(engine, seq, "seq")}, {_column(engine, quals, "quals")}
+ from (select *, cast(l_partkey%100+1 as bigint) pos, cast(floor(l_extendedprice) as bigint)%2 a from lineitem) w{_once(engine, seq, "seq")}{_once(engine, quals, "quals")}"""
+
+
+BUILT = {"deep_contigs": _deep_contigs, "deep_reads": _deep_reads, "paired": _paired, "reads": _reads, "contigs": _contigs, "contig_reads": _contig_reads}
 
 TABLES = {
     "alignments": "lineitem", "exons": "part", "panel": "supplier", "variants": "orders", "counts": "lineitem",
     "samples": "lineitem", "sheet": "customer", "gene_terms": "part", "term_edges": "part", "idmap": "part",
     "de_raw": "part", "known_sites": "orders", "known_variants": "orders", "stage_results": "events",
     "module_flags": "events", "verdict_json": "documents", "trim_requests": "part", "reads": "documents",
-    "contigs": "documents", "contig_reads": "documents",
+    "contigs": "documents", "contig_reads": "documents", "paired": "documents",
+    "deep_contigs": "lineitem", "deep_reads": "lineitem",
 }
 
 

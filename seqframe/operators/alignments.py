@@ -82,16 +82,43 @@ def parse_region(region: str) -> tuple[str, int | None, int | None]:
     return hit[1], int(hit[2].replace(",", "")), int(hit[3].replace(",", ""))
 
 
+#: Positions in a window of the linear index.
+INDEX_WINDOW = 16_384
+
+
+def linear_index(alignments: DataFrame) -> DataFrame:
+    """chrom, window, first_pos: the least start of the mapped reads that reach into each window of positions. One additive aggregate."""
+    spans = alignments.filter(none_of(UNMAPPED)).select("chrom", "pos", (F.col("pos") + F.greatest(cg.reference_length(F.col("cigar")), F.lit(1)) - 1).alias("last"))
+    window = F.explode(F.expr(f"sequence(pos div {INDEX_WINDOW}, last div {INDEX_WINDOW})"))
+    return spans.select("chrom", "pos", window.alias("window")).groupBy("chrom", "window").agg(F.min("pos").alias("first_pos"))
+
+
+def first_start(index: DataFrame, region: str) -> int | None:
+    """The least start of a read that reaches into the region's windows (a look into a stored index), None if there is no such read."""
+    chrom, start, end = parse_region(region)
+    rows = index.filter(F.col("chrom") == chrom)
+    if start is not None:
+        rows = rows.filter(F.col("window").between(start // INDEX_WINDOW, end // INDEX_WINDOW))
+    return rows.agg(F.min("first_pos")).first()[0]
+
+
 def view(
-    alignments: DataFrame, region: str | None = None, require: int = 0, exclude: int = 0, min_mapq: int = 0
+    alignments: DataFrame, region: str | None = None, require: int = 0, exclude: int = 0, min_mapq: int = 0, index: DataFrame | None = None
 ) -> DataFrame:
-    """Flag, mapping quality and region filter; plain predicates, so they reach the scan."""
+    """Flag, mapping quality and region filter; plain predicates, so they reach the scan.
+
+    With the table's ``index`` both ends of a region bound the starts that are read: without it a long gapped read may begin anywhere
+    before the region. Unmapped reads are viewed by their place as long as they are no index's concern, so leave it out for them.
+    """
     out = alignments
     if region is not None:
         chrom, start, end = parse_region(region)
         out = out.filter(F.col("chrom") == chrom)
         if start is not None:
-            # the exact test needs the CIGAR; the first one prunes row groups
+            # the exact test needs the CIGAR; the others prune row groups
+            if index is not None:
+                lowest = first_start(index, region)
+                out = out.filter(none_of(UNMAPPED)).filter(F.col("pos") >= F.lit(end + 1 if lowest is None else lowest).cast("bigint"))
             out = out.filter(F.col("pos") <= end).filter(F.col("pos") + cg.reference_length(F.col("cigar")) - 1 >= start)
     if require:
         out = out.filter(has(require))

@@ -24,15 +24,15 @@ def align_design(counts: DataFrame, samples: DataFrame) -> tuple[DataFrame, Data
     """Counts and samples both have, counts rounded, missing batch filled; errors if no test is possible."""
     missing = [c for c in ("sample_id", "condition") if c not in samples.columns]
     if missing:
-        raise ValueError("sample_sheet must include sample_id and condition columns")
+        raise ValueError("differential expression needs a sheet with sample_id and condition")
     batch = F.coalesce("batch", F.lit("batch1")) if "batch" in samples.columns else F.lit("batch1")
     sheet = samples.select("sample_id", "condition", batch.alias("batch"))
     common = sheet.join(counts.select("sample_id").distinct(), "sample_id", "left_semi")
     seen = common.agg(F.countDistinct("sample_id").alias("n"), F.countDistinct("condition").alias("c")).first()
     if seen["n"] < 2:
-        raise ValueError("Count matrix and sample sheet do not overlap enough")
+        raise ValueError("fewer than two samples are both counted and listed")
     if seen["c"] < 2:
-        raise ValueError("Need at least two conditions")
+        raise ValueError("all samples are of one condition")
     rounded = counts.withColumn("cnt", F.bround(F.col("cnt").cast("double")).cast("bigint"))
     return lookup_join(rounded, common.select("sample_id").distinct(), ["sample_id"], "left_semi"), common
 

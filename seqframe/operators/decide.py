@@ -43,7 +43,7 @@ def qc_verdict(flags: DataFrame) -> DataFrame:
         F.when(fails >= 2, "fail").when((fails > 0) | (warns >= 3), "trim_required").otherwise("pass").alias("verdict"),
         F.round(_confidence(), 3).alias("confidence"),
         F.format_string("%d failures, %d warnings in FastQC modules.", fails, warns).alias("quality_summary"),
-        F.format_string("Heuristic from FastQC summary flags: FAIL=%d, WARN=%d.", fails, warns).alias("reasoning"),
+        F.format_string("judged by module flags alone: %d failed, %d raised a warning", fails, warns).alias("reasoning"),
     )
 
 

@@ -104,14 +104,14 @@ def verify_artifacts(expected: DataFrame, outcomes: DataFrame) -> DataFrame:
     errors = failed.select(
         "run_id",
         F.lit("error").alias("severity"),
-        F.format_string("Step %s failed with return code %d.", "step", "returncode").alias("message"),
+        F.format_string("step %s ended with exit code %d", "step", "returncode").alias("message"),
     )
     produced = outcomes.filter("artifact is not null").select("run_id", "artifact").distinct()
     missing = expected.select("run_id", "artifact").distinct().join(produced, ["run_id", "artifact"], "left_anti")
     warnings = missing.select(
         "run_id",
         F.lit("warning").alias("severity"),
-        F.format_string("Expected artifact not observed: %s", "artifact").alias("message"),
+        F.format_string("no step produced %s", "artifact").alias("message"),
     )
     return errors.unionByName(warnings)
 

@@ -36,13 +36,13 @@ def validate_samples(
     spark: SparkSession = samples.sparkSession
     row = F.col("row_no")
     rules: list[tuple[str, Column, Column]] = [
-        ("sample_id", _blank("sample_id"), F.format_string("Row %d: missing sample_id", row))
+        ("sample_id", _blank("sample_id"), F.format_string("row %d has no sample_id", row))
     ]
     if paired:
         wrong = _blank("fastq_r1") | _blank("fastq_r2")
-        rules.append(("fastq", wrong, F.format_string("Row %d: missing fastq_r1 or fastq_r2 for paired mode", row)))
+        rules.append(("fastq", wrong, F.format_string("row %d lacks a file of its read pair", row)))
     else:
-        rules.append(("fastq", _blank("fastq"), F.format_string("Row %d: missing fastq for single mode", row)))
+        rules.append(("fastq", _blank("fastq"), F.format_string("row %d names no FASTQ file", row)))
     found = [
         F.when(wrong, F.struct(F.lit(rule).alias("rule"), message.alias("message"))) for rule, wrong, message in rules
     ]
@@ -52,7 +52,7 @@ def validate_samples(
         F.lit(0).cast("bigint").alias("row_no"),
         "sample_id",
         F.lit("duplicate").alias("rule"),
-        F.format_string("Sample IDs must be unique. Found %d times: %s", "n", "sample_id").alias("message"),
+        F.format_string("%d rows are named %s", "n", "sample_id").alias("message"),
     )
     out = out.unionByName(repeated)
 
@@ -61,7 +61,7 @@ def validate_samples(
         listed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("path")) for c in columns])
         wanted = samples.select("row_no", "sample_id", F.inline(listed)).filter(~_blank("path"))
         absent = wanted.join(paths.select("path").distinct(), "path", "left_anti")
-        message = F.format_string("Row %d %s does not exist or is not a file: %s", "row_no", "column", "path")
+        message = F.format_string("row %d: nothing to read at %s, %s", "row_no", "column", "path")
         out = out.unionByName(absent.select("row_no", "sample_id", F.lit("path").alias("rule"), message.alias("message")))
 
     run_level = []
@@ -70,9 +70,9 @@ def validate_samples(
     if organism not in ORGANISMS:
         run_level.append(("organism", f"unknown organism {organism}"))
     if experiment == "RNA-Seq" and not gtf:
-        run_level.append(("gtf", "RNA-Seq requires --gtf"))
+        run_level.append(("gtf", "an RNA run needs gene features (gtf)"))
     if experiment in ("WGS", "WES") and not reference_fasta:
-        run_level.append(("reference_fasta", "DNA-Seq analysis requires --reference-fasta"))
+        run_level.append(("reference_fasta", "a DNA run needs a reference sequence (reference_fasta)"))
     if run_level:
         rows = [(0, None, rule, message) for rule, message in run_level]
         out = out.unionByName(spark.createDataFrame(rows, "row_no bigint, sample_id string, rule string, message string"))
@@ -82,7 +82,7 @@ def validate_samples(
             F.lit(0).cast("bigint").alias("row_no"),
             F.lit(None).cast("string").alias("sample_id"),
             F.lit("empty").alias("rule"),
-            F.lit("Sample sheet is empty").alias("message"),
+            F.lit("the sheet holds no sample").alias("message"),
         )
     )
 

@@ -226,3 +226,25 @@ def coding_changes(
     return hits.select(
         "chrom", "pos", "ref", "alt", unit, "codon", changed.alias("new_codon"), was.alias("aa_ref"), now.alias("aa_alt"), change.alias("change")
     )
+
+
+# Coding changes from most to least severe.
+CHANGES = ("stop_gained", "stop_lost", "missense", "synonymous")
+
+
+def consequences(variants: DataFrame, features: DataFrame, reference: DataFrame, chunk: int = 65536) -> DataFrame:
+    """Add ``change``, the most severe coding change of each variant over all units, and ``change_unit``, the first unit that has it (NULL outside CDS)."""
+    unit = _unit(features, None)
+    rank = F.array_position(F.array(*[F.lit(c) for c in CHANGES]), F.col("change")).cast("int")
+    keys = ["chrom", "pos", "ref", "alt"]
+    found = coding_changes(variants, features, reference, chunk, unit).filter("change is not null")
+    worst = found.groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), F.col(unit).alias("unit"))).alias("worst"))
+    worst = worst.select(*keys, F.get(F.array(*[F.lit(c) for c in CHANGES]), F.col("worst.rank") - 1).alias("change"), F.col("worst.unit").alias("change_unit"))
+    return lookup_join(variants, worst, keys, "left")
+
+
+def sample_variants(variants: DataFrame) -> DataFrame:
+    """Variants, distinct genes and variants by effect class of each sample, for the run report: sample_id, n_variants, n_genes, n_protein_changing."""
+    changing = F.col("effect").isin("stop_gained", "stop_lost", "missense")
+    gene = F.when(~F.col("gene").isin("NA", ""), F.col("gene"))
+    return variants.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_variants"), F.countDistinct(gene).alias("n_genes"), F.count_if(changing).alias("n_protein_changing"))

@@ -123,16 +123,17 @@ def run_dna(
     calls = run.store("call", pileup.call_variants(pileup.pileup(final), reference, chunk))
     rows = calls.select(
         "sample_id", "chrom", "pos", "ref", "alt", F.round("qual", 2).cast("string").alias("qual"), F.lit("PASS").alias("filter"),
-        F.format_string("DP=%d;GT=%s", "dp", "gt").alias("info"),
+        F.format_string("DP=%d;GT=%s;ALTS=%s", "dp", "gt", "alts").alias("info"),
     )
     variants = vr.annotation_fields(rows)
     if features is not None:
         placed = vr.annotate_regions(variants, features)
-        variants = placed.withColumns({"gene": F.coalesce("region_gene", "gene"), "effect": F.col("region")}).drop("region", "region_gene")
+        placed = vr.consequences(placed, features, reference, chunk)
+        variants = placed.withColumns({"gene": F.coalesce("region_gene", "gene"), "effect": F.coalesce("change", "region")}).drop("region", "region_gene", "change", "change_unit")
     out |= {"alignments": final, "calls": calls, "variants": run.store("variants", variants.select("sample_id", *vr.COLUMNS))}
     gate = decide.alignment_gate(al.mapping_rate(final, digits=None), minimum=0.0)
     halts = samples.limit(0).select("sample_id", F.lit("").alias("stage"), F.lit("").alias("reason"))
-    extra = {}
+    extra = {"variants": vr.sample_variants(out["variants"])}
     if panel is not None:
         coverage = run.store("coverage", cv.region_mean_depth(cv.depth(final.withColumn("aln_id", F.col("read_id"))), panel, samples))
         checked = decide.coverage_gate(cv.panel_mean_depth(coverage), threshold=threshold)

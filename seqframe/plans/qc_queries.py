@@ -147,7 +147,7 @@ FLAGS = f"""everyone as (select distinct sample_id from reads), {BASES}, {PER_RE
 VERDICT = """select sample_id, fails, warns, case when fails>=2 then 'fail' when fails>0 or warns>=3 then 'trim_required' else 'pass' end verdict,
  round(least(0.95e0,0.55e0+least(0.4e0,0.1e0*fails+0.03e0*warns)),3) confidence,
  concat(fails,' failures, ',warns,' warnings in FastQC modules.') quality_summary,
- concat('Heuristic from FastQC summary flags: FAIL=',fails,', WARN=',warns,'.') reasoning"""
+ concat('judged by module flags alone: ',fails,' failed, ',warns,' raised a warning') reasoning"""
 
 
 @query("qc_flags", "reads", f"with {FLAGS} select * from flags")
@@ -224,7 +224,7 @@ def _(v):
   when contains(w,'trim') then 'trim_required' when w in ('pass','passed','good','ok','okay','accept','accepted') then 'pass' end ev, c, j from w)
  select h.doc_id, coalesce(ev, case when fails>=2 then 'fail' when fails>0 then 'trim_required' else 'pass' end) verdict,
  case when ev is not null then round(greatest(0.0,least(1.0,c)),3) else round(0.55e0+0.1e0*fails,3) end confidence,
- case when ev is not null then j->>'reasoning' else concat('Heuristic from FastQC summary flags: FAIL=',fails,', WARN=0.') end reasoning,
+ case when ev is not null then j->>'reasoning' else concat('judged by module flags alone: ',fails,' failed, 0 raised a warning') end reasoning,
  case when ev is not null then j->>'quality_summary' else concat(fails,' failures, 0 warnings in FastQC modules.') end quality_summary,
  case when ev is not null then 'external' else 'heuristic' end source from h left join e using (doc_id)""")
 def _(v):

@@ -47,17 +47,17 @@ def _validation(paired: bool) -> str:
     fastq = (
         "coalesce(fastq_r1,'')='' or coalesce(fastq_r2,'')=''" if paired else "coalesce(fastq,'')=''"
     )
-    text = "missing fastq_r1 or fastq_r2 for paired mode" if paired else "missing fastq for single mode"
+    text = "lacks a file of its read pair" if paired else "names no FASTQ file"
     columns = ("fastq_r1", "fastq_r2") if paired else ("fastq",)
     paths = " union all ".join(
-        f"select row_no, sample_id, 'path', concat('Row ',row_no,' {c} does not exist or is not a file: ',{c}) from sheet where coalesce({c},'')<>'' and {c} not in (select path from present)"
+        f"select row_no, sample_id, 'path', concat('row ',row_no,': nothing to read at {c}, ',{c}) from sheet where coalesce({c},'')<>'' and {c} not in (select path from present)"
         for c in columns
     )
-    run = ("'gtf','RNA-Seq requires --gtf'" if paired else "'reference_fasta','DNA-Seq analysis requires --reference-fasta'")
+    run = ("'gtf','an RNA run needs gene features (gtf)'" if paired else "'reference_fasta','a DNA run needs a reference sequence (reference_fasta)'")
     return f"""with present as (select concat(c_name,suffix) path from customer, (values ('.fastq'),('_1.fastq'),('_2.fastq')) s(suffix) where c_acctbal>=0)
- select row_no, sample_id, 'sample_id' as "rule", concat('Row ',row_no,': missing sample_id') message from sheet where coalesce(sample_id,'')=''
- union all select row_no, sample_id, 'fastq', concat('Row ',row_no,': {text}') from sheet where {fastq}
- union all select 0, sample_id, 'duplicate', concat('Sample IDs must be unique. Found ',count(*),' times: ',sample_id) from sheet group by sample_id having count(*)>1
+ select row_no, sample_id, 'sample_id' as "rule", concat('row ',row_no,' has no sample_id') message from sheet where coalesce(sample_id,'')=''
+ union all select row_no, sample_id, 'fastq', concat('row ',row_no,' {text}') from sheet where {fastq}
+ union all select 0, sample_id, 'duplicate', concat(count(*),' rows are named ',sample_id) from sheet group by sample_id having count(*)>1
  union all {paths} union all select 0, null, {run}"""
 
 
@@ -77,7 +77,7 @@ def _(v):
     return sm.validate_samples(v("sheet"), paired=False, experiment="WES", organism="mouse", paths=_present(v))
 
 
-@query("validate_samples_empty_sheet", "", "select cast(0 as bigint) row_no, 'Sample sheet is empty' message")
+@query("validate_samples_empty_sheet", "", "select cast(0 as bigint) row_no, 'the sheet holds no sample' message")
 def _(v):
     none = v("sheet").filter("row_no < 0")
     out = sm.validate_samples(none, paired=False, organism="mouse", gtf="genes.gtf")
@@ -145,8 +145,8 @@ def _verification(v):
     return expected, outcomes
 
 
-@query("verify_artifacts", "", f"""with {VERIFY} select distinct run_id, 'error' severity, concat('Step ',step,' failed with return code ',returncode,'.') message from outcomes where returncode<>0
- union all select run_id, 'warning', concat('Expected artifact not observed: ',artifact) from (select run_id, artifact from expected except select run_id, artifact from outcomes)""")
+@query("verify_artifacts", "", f"""with {VERIFY} select distinct run_id, 'error' severity, concat('step ',step,' ended with exit code ',returncode) message from outcomes where returncode<>0
+ union all select run_id, 'warning', concat('no step produced ',artifact) from (select run_id, artifact from expected except select run_id, artifact from outcomes)""")
 def _(v):
     return runs.verify_artifacts(*_verification(v))
 

@@ -9,7 +9,7 @@ from seqframe.functions.scratch import shared_dir
 from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import trim
-from seqframe.plans.alignment_queries import ASSIGN, REGION, _assigned, _coverage
+from seqframe.plans.alignment_queries import ASSIGN, FRAGMENTS, REGION, _assigned, _coverage
 from seqframe.plans.registry import query
 from seqframe.sources import readers, sinks
 
@@ -25,23 +25,33 @@ def _tabs(*columns):
     return F.concat_ws("\t", *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns])
 
 
-@query("read_fastq", "reads", f"select sample_id, read_id, seq, {QSTR} from reads")
+def _one_file(reads, path, compression="none"):
+    """A FASTQ file of all reads by mate and number, as one part."""
+    order = ["mate", "read_idx", "read_id"]
+    ordered = reads.repartitionByRange(1, *order).sortWithinPartitions(*order)
+    ordered.select(sinks._fastq_text(ordered)).write.option("compression", compression).text(path)
+
+
+@query("read_fastq", "reads", f"select sample_id, mate, read_id, seq, {QSTR}, cast(row_number() over (order by mate, read_idx, read_id)-1 as bigint) read_idx from reads")
 def _(v):
     base = shared_dir(v.spark)
+    # the sample and the mate travel in the header comment
     reads = v("reads").withColumn("read_id", F.concat_ws(" ", "read_id", "sample_id"))
-    # one folder of several files; the sample travels in the header comment
-    sinks.write_fastq(reads, f"{base}/all", compression="none")
-    back = readers.read_fastq(v.spark, f"{base}/all", "run")
+    _one_file(reads, base)
+    back = readers.read_fastq(v.spark, base, "run")
+    part = F.split_part("read_id", F.lit("."), F.lit(2)).cast("bigint")
     sample = F.expr("concat('S', cast(split_part(substr(read_id, 2), '.', 1) as bigint) % 6 + 1)")
-    return back.select(sample.alias("sample_id"), "read_id", "seq", encode_phred33(F.col("quals")).alias("qual"))
+    return back.select(sample.alias("sample_id"), (part % 2 + 1).cast("int").alias("mate"), "read_id", "seq", encode_phred33(F.col("quals")).alias("qual"), "read_idx")
 
 
-@query("read_fastq_gzip_order", "reads", """select read_id, seq, cast(row_number() over (order by read_idx, read_id)-1 as bigint) read_idx
- from reads where mate=1""")
+@query("read_fastq_gzip_order", "reads", """select mate, read_id, seq, cast(row_number() over (partition by mate order by read_idx, read_id)-1 as bigint) read_idx from reads""")
 def _(v):
-    base = shared_dir(v.spark)
-    sinks.write_fastq(v("reads").filter("mate = 1"), f"{base}/one", compression="gzip", partitions=1)
-    return readers.read_fastq(v.spark, f"{base}/one", "S", 1).select("read_id", "seq", "read_idx")
+    base, out = shared_dir(v.spark), None
+    for mate in (1, 2):
+        _one_file(v("reads").filter(F.col("mate") == mate), f"{base}/{mate}", "gzip")
+        part = readers.read_fastq(v.spark, f"{base}/{mate}", "S", mate).select("mate", "read_id", "seq", "read_idx")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("read_fastq_malformed", "reads", """select count(*) n_bad, min(reason) first_reason, max(reason) last_reason from
@@ -64,7 +74,7 @@ def _(v):
 def _(v):
     base, reads = shared_dir(v.spark), v("reads")
     for mate in (1, 2):
-        sinks.write_fastq(reads.filter(F.col("mate") == mate), f"{base}/R{mate}", partitions=1)
+        _one_file(reads.filter(F.col("mate") == mate), f"{base}/R{mate}")
     pairs = readers.read_fastq_pairs(v.spark, f"{base}/R1", f"{base}/R2", "S")
     seq = [F.max(F.when(F.col("mate") == m, F.col("seq"))).alias(f"seq{m}") for m in (1, 2)]
     return pairs.groupBy("read_idx").agg(*seq)
@@ -126,6 +136,32 @@ def _(v):
     return back.select("qname", "flag", "chrom", "pos", "mapq", "cigar", "rnext", "pnext", nh, lb)
 
 
+def _sam_files(v):
+    """The alignments as two SAM files with read groups in their headers, read back in one scan."""
+    base = shared_dir(v.spark)
+    rows = v("alignments").withColumns({"part": F.expr("cast(substr(sample_id, 2) as int) % 2"), "order": F.lit(1)})
+    group = F.concat(F.lit("RG:Z:"), "sample_id", F.lit("-"), "library")
+    tags = [F.concat(F.lit("NH:i:"), F.col("nh").cast("string")), group, F.concat(F.lit("QS:i:"), F.col("qual_sum").cast("string"))]
+    text = _tabs("qname", "flag", "chrom", "pos", "mapq", "cigar", "rnext", "pnext", F.lit("0"), F.lit("*"), F.lit("*"), *tags)
+    head = _tabs(F.lit("@RG"), F.concat(F.lit("ID:"), "sample_id", F.lit("-"), "library"), F.concat(F.lit("LB:"), "library"), F.concat(F.lit("SM:"), "sample_id"))
+    groups = rows.select("part", "sample_id", "library").distinct().select("part", F.lit(0).alias("order"), head.alias("value"))
+    lines = groups.unionByName(rows.select("part", "order", text.alias("value")))
+    lines.repartition("part").sortWithinPartitions("part", "order").select("part", "value").write.partitionBy("part").text(base)
+    return readers.read_sam(v.spark, f"{base}/*")
+
+
+@query("read_sam_assign", "alignments exons", f"with {ASSIGN} select sample_id, status, gene_id, count(*) n from assigned group by 1,2,3")
+def _(v):
+    assigned = ct.assign_reads(_sam_files(v), v("exons"))
+    return assigned.groupBy("sample_id", "status", "gene_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_sam_duplicates", "alignments", f"with {FRAGMENTS} select sample_id, library, qname, chrom, pos, cast(mflag as int) flag from marked")
+def _(v):
+    marked = al.mark_duplicates(_sam_files(v), F.col("tags")["QS"].cast("bigint"))
+    return marked.select("sample_id", "library", "qname", "chrom", "pos", "flag")
+
+
 @query("read_sam_contigs", "contigs", """select chrom, cast(row_number() over (order by cast(substr(chrom,2) as bigint))-1 as int) contig_idx, cast(length(bases) as bigint) length from contigs""")
 def _(v):
     rows = v("contigs").orderBy(F.expr("cast(substr(chrom, 2) as bigint)")).coalesce(1)
@@ -201,23 +237,41 @@ def _(v):
 
 
 @query("write_fastq_pairs", "reads", """with t as (select *, case when count(*) over (partition by sample_id, read_idx)>=2 then 'paired' else 'unpaired' end fate from reads where length(seq)>=60)
- select read_id, seq, concat('R',mate,'.',fate) output from t""")
+ select sample_id, cast(read_idx//1000000%2 as int) lane, mate, fate, read_id, seq from t""")
 def _(v):
     base = shared_dir(v.spark)
-    sinks.write_fastq_pairs(trim.split_pairs(trim.filter_min_length(v("reads"), 60)), base)
-    out = None
-    for name in ("R1.paired", "R1.unpaired", "R2.paired", "R2.unpaired"):
-        part = readers.read_fastq(v.spark, f"{base}/{name}", "S").select("read_id", "seq", F.lit(name).alias("output"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    reads = v("reads").withColumn("lane", F.expr("cast(read_idx div 1000000 % 2 as int)"))
+    sinks.write_fastq_pairs(trim.split_pairs(trim.filter_min_length(reads, 60)), base)
+    return readers.read_fastq_tree(v.spark, base).select("sample_id", "lane", "mate", "fate", "read_id", "seq")
 
 
-@query("write_alignments", "alignments", """select sample_id, qname, chrom, pos, flag, mapq from alignments where chrom='chr3' and pos between 1000 and 40000""")
+@query("write_fastq_order", "reads", """select sample_id, read_idx%2 lane, mate, string_agg(read_id, ',' order by read_idx, read_id) ids from reads group by 1,2,3""")
+def _(v):
+    base = shared_dir(v.spark)
+    reads = v("reads").withColumn("lane", F.col("read_idx") % 2)
+    sinks.write_fastq(reads, base, compression="none")
+    lines = v.spark.read.text(f"{base}/*/*/*/*").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mid"), "value")
+    level = lambda c: F.regexp_extract("file", f"/{c}=([^/]*)/", 1)
+    # headers by part file name and place: the order in which the files of a folder are read one after another
+    heads = lines.filter(F.col("value").startswith("@r")).select(level("sample_id").alias("sample_id"), level("lane").cast("bigint").alias("lane"), level("mate").cast("int").alias("mate"), F.struct(readers.file_name(F.col("file")), "at", "mid", F.substr("value", F.lit(2)).alias("id")).alias("x"))
+    ids = heads.groupBy("sample_id", "lane", "mate").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return ids.select("sample_id", "lane", "mate", F.array_join("x.id", ",").alias("ids"))
+
+
+@query("write_alignments", "alignments", """select sample_id, qname, chrom, pos, flag, mapq, cigar, rnext, pnext, nh, library from alignments""")
 def _(v):
     base = shared_dir(v.spark)
     sinks.write_alignments(v("alignments"), base)
-    stored = v.spark.read.parquet(base)
-    return stored.filter("chrom = 'chr3' and pos between 1000 and 40000").select("sample_id", "qname", "chrom", "pos", "flag", "mapq")
+    return v.spark.read.parquet(base).select("sample_id", "qname", "chrom", "pos", "flag", "mapq", "cigar", "rnext", "pnext", "nh", "library")
+
+
+@query("view_stored", "alignments", r"""select sample_id, qname, chrom, pos, flag, mapq, cigar from alignments where chrom='chr2' and pos<=60000 and flag&4=0
+ and pos+list_sum(list_transform(regexp_extract_all(cigar,'(\d+)[MDN=X]',1), lambda x: cast(x as bigint)))-1>=5000""")
+def _(v):
+    base = shared_dir(v.spark)
+    sinks.write_alignments(v("alignments"), base)
+    stored, index = sinks.read_alignments(v.spark, base)
+    return al.view(stored, "chr2:5,000-60,000", index=index).select("sample_id", "qname", "chrom", "pos", "flag", "mapq", "cigar")
 
 
 @query("write_count_matrix", "alignments exons", f"""with {ASSIGN}, c as (select g.gene_id, s.sample_id, count(a.gene_id) cnt from (select distinct gene_id from exons) g
@@ -241,19 +295,14 @@ def _(v):
     return v.spark.read.option("header", True).csv(base, schema="sample_id string, gene string, region string, mean_depth double")
 
 
-@query("write_run", "", """select run_id, stage, count(*) n, cast(sum(returncode) as bigint) failed from
- (select concat('run',user_id%7) run_id, case event_type when 'view' then 'qc' when 'purchase' then 'align' end stage, case when event_id%17=0 then 1 else 0 end returncode
- from events where event_type in ('view','purchase')) group by 1,2""")
+@query("write_run", "stage_results", """select run_id, stage, count(*) n, cast(sum(returncode) as bigint) failed from stage_results group by 1,2""")
 def _(v):
-    base, rows = shared_dir(v.spark), v("stage_results").filter("stage in ('qc', 'align')")
-    runs = [f"run{i}" for i in range(7)]  # the run ids of the view
-    for stage in ("qc", "align"):
+    base, rows = shared_dir(v.spark), v("stage_results")
+    for stage in ("ingest", "qc", "trim", "align", "count"):
         part = rows.filter(F.col("stage") == stage).drop("stage")
-        for run in runs[:2]:
-            sinks.write_run(part.filter(F.col("run_id") == run), base, run, stage)
-        sinks.write_run(part.filter(F.col("run_id") == runs[0]), base, runs[0], stage)  # a rerun
-        for run in runs[2:]:
+        for run in [f"run{i}" for i in range(7)]:  # the run ids of the view
             sinks.write_run(part.filter(F.col("run_id") == run), base, run, stage)
+        sinks.write_run(part.filter("run_id = 'run0'"), base, "run0", stage)  # a rerun
     stored = v.spark.read.parquet(base)
     return stored.groupBy("run_id", "stage").agg(F.count(F.lit(1)).alias("n"), F.sum("returncode").cast("bigint").alias("failed"))
 

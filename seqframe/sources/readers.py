@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqframe import schemas
 from seqframe.functions.quality import decode_phred33
-from seqframe.functions.skew import lookup_join
-from seqframe.sources.lines import SPLIT, file_name, number_rows, read_rows
+from seqframe.functions.scratch import materialize
+from seqframe.functions.skew import at_most, lookup_join
+from seqframe.sources.lines import MAX_SPLIT_BYTES, MAX_SPLITS, SPLIT, file_name, read_rows, stack_lines
 
 # ---------------------------------------------------------------- FASTQ
 
 
 def _fastq_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Four-line records with their number in the file: file, read_idx, l0..l3."""
-    lines = number_rows(read_rows(spark, path))
-    nth = F.expr("line % 4")
-    return lines.groupBy("file", F.expr("line div 4").alias("read_idx")).agg(
-        *[F.max(F.when(nth == k, F.regexp_replace("value", "\r$", ""))).alias(f"l{k}") for k in range(4)]
-    )
+    rows = read_rows(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return stack_lines(rows, 4).withColumnRenamed("record", "read_idx")
 
 
 def _well_formed() -> Column:
@@ -86,6 +87,14 @@ def read_fastq_pairs(spark: SparkSession, r1: str | list[str], r2: str | list[st
     return both.withColumn("_both", F.min("mate").over(pair) != F.max("mate").over(pair)).filter("_both").drop("_both")
 
 
+def read_fastq_tree(spark: SparkSession, path: str) -> DataFrame:
+    """Reads below ``path`` as :func:`~seqframe.sources.sinks.write_fastq` lays them out: sample, lane, mate and fate come from the folders."""
+    level = lambda c: F.regexp_extract("file", f"/{c}=([^/]*)/", 1)
+    reads = read_fastq(spark, f"{path}/*/*/*/*", "", with_file=True).drop("sample_id", "mate")
+    sample = F.url_decode(F.replace(level("sample_id"), F.lit("+"), F.lit("%2B")))
+    return reads.select(sample.alias("sample_id"), level("lane").cast("int").alias("lane"), level("mate").cast("int").alias("mate"), level("fate").alias("fate"), "read_id", "seq", "quals")
+
+
 def pair_keys(reads: DataFrame) -> list[str]:
     """What the mates of a pair share: read_idx counts from 0 in each lane."""
     return ["sample_id", *(["lane"] if "lane" in reads.columns else []), "read_idx"]
@@ -171,15 +180,31 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_sam(spark: SparkSession, path: str | list[str], sample_id: str) -> DataFrame:
-    """Alignment rows of SAM text; tags keep their type letter out of the value."""
+def read_sam(spark: SparkSession, path: str | list[str], sample_id: str | None = None) -> DataFrame:
+    """Alignment rows of one or many SAM files with the columns that the alignment operators read; tags keep their type letter out of the value.
+
+    The read group of a row is its RG tag; the sample and the library are those of that group in the header of the same
+    file. Without ``sample_id`` a row of no known group belongs to the sample that the file name up to its first dot names. ``nh`` is
+    1 where the tag is absent, ``quals`` NULL where none are stored, ``aln_id`` unique in the table.
+    """
     c = [F.get("c", F.lit(i)) for i in range(11)]
     tag = lambda t: F.struct(
         F.substring(t, 1, 2).alias("k"), F.substr(t, F.lit(6)).alias("v")
     )
     tags = F.transform(F.slice("c", F.lit(12), F.greatest(F.size("c") - 11, F.lit(0))), tag)
-    return _columns(spark, path, "@", 11).select(
-        F.lit(sample_id).alias("sample_id"),
+    value = F.regexp_replace("value", r"[\r ]+$", "")
+    lines = read_rows(spark, path).select("file", "mid", value.alias("value"), F.split(value, "\t").alias("c"))
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("@") & (F.size("c") >= 11))
+    rows = rows.withColumn("tags", last_wins(tags)).withColumn("read_group", F.try_element_at("tags", F.lit("RG")))
+    field = lambda k: F.nullif(F.regexp_extract("value", f"\t{k}:([^\t]*)", 1), F.lit(""))
+    # a header has a row for each lane of a sample
+    groups = lines.filter(F.col("value").startswith("@RG")).select("file", field("ID").alias("read_group"), field("SM").alias("_sample"), field("LB").alias("library"))
+    groups = groups.groupBy("file", "read_group").agg(F.max("_sample").alias("_sample"), F.max("library").alias("library"))
+    placed = lookup_join(rows, materialize(groups), ["file", "read_group"], "left")
+    named = F.coalesce("_sample", F.split_part(file_name(F.col("file")), F.lit("."), F.lit(1)))
+    return placed.select(
+        F.col("mid").alias("aln_id"),
+        (F.lit(sample_id) if sample_id is not None else named).alias("sample_id"),
         c[0].alias("qname"),
         c[1].cast("int").alias("flag"),
         c[2].alias("chrom"),
@@ -191,7 +216,11 @@ def read_sam(spark: SparkSession, path: str | list[str], sample_id: str) -> Data
         c[8].cast("bigint").alias("tlen"),
         c[9].alias("seq"),
         c[10].alias("qual"),
-        last_wins(tags).alias("tags"),
+        F.when(c[10] != "*", decode_phred33(c[10])).alias("quals"),
+        F.coalesce(F.try_element_at("tags", F.lit("NH")).try_cast("int"), F.lit(1)).alias("nh"),
+        "read_group",
+        "library",
+        "tags",
     )
 
 
@@ -211,43 +240,90 @@ def read_sam_contigs(spark: SparkSession, path: str | list[str]) -> DataFrame:
 # ---------------------------------------------------------------- FASTA
 
 
+def _lines_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Starts of the stretches of one split, the lines, which of them are headers, and their bases."""
+    cut = np.ones(batch.num_rows, bool)
+    split, file = batch.column("split").to_numpy(zero_copy_only=False), batch.column("file").to_pylist()
+    cut[1:] = (split[1:] != split[:-1]) | np.array([a != b for a, b in pairwise(file)], bool)
+    lines = batch.column("value").to_pylist()
+    header = np.array([x.startswith(">") for x in lines], bool)
+    size = np.where(header, 0, np.array([len(x) for x in lines], np.int64))
+    return np.flatnonzero(cut), lines, header, size
+
+
+def _name(line: str) -> str:
+    return (line[1:].split() or [""])[0] if not line[1:2].isspace() else ""
+
+
+def _fasta_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each file split: the contig open at its end (NULL if none began in it), its bases, and those since that contig began."""
+    now, done = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, lines, header, size = _lines_of(batch)
+        for lo, hi in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
+            key = (batch.column("file")[lo].as_py(), batch.column("split")[lo].as_py())
+            if now is None or now[0] != key:
+                done += [now] if now else []
+                now = [key, None, 0, 0]
+            heads = np.flatnonzero(header[lo:hi])
+            total = int(size[lo:hi].sum())
+            now[2] += total
+            if len(heads):
+                now[1], now[3] = _name(lines[lo + heads[-1]]), int(size[lo + heads[-1] : hi].sum())
+            else:
+                now[3] += total
+    done += [now] if now else []
+    cols = [[d[0][0] for d in done], [d[0][1] for d in done], *([d[i] for d in done] for i in (1, 2, 3))]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file", "split", "open", "total", "tail"])
+
+
+def _fasta_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contig and offset of every line of bases, from the contig and offset at the start of its split."""
+    key, contig, at = None, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, lines, header, size = _lines_of(batch)
+        chrom, offset = [], []
+        edges = np.unique(np.r_[starts, np.flatnonzero(header), batch.num_rows])
+        for lo, hi in pairwise(edges.tolist()):  # stretches of one contig in one split
+            here = (batch.column("file")[lo].as_py(), batch.column("split")[lo].as_py())
+            if here != key:
+                key, contig, at = here, batch.column("contig")[lo].as_py(), batch.column("bases")[lo].as_py()
+            if header[lo]:
+                contig, at = _name(lines[lo]), 0
+            upto = np.cumsum(size[lo:hi])
+            chrom += [contig] * (hi - lo)
+            offset.append(at + upto - size[lo:hi])
+            at += int(upto[-1])
+        keep = pa.array(size > 0)
+        columns = [pa.array(chrom, pa.string()), pa.array(np.concatenate(offset)), batch.column("value")]
+        yield pa.record_batch([x.filter(keep) for x in columns], names=["chrom", "offset", "bases"])
+
+
 def read_fasta(spark: SparkSession, path: str | list[str], chunk: int = 65536, overlap: int = 256) -> DataFrame:
     """Reference bases in chunks: chrom, start0, bases. Chunk k starts at k*chunk and runs ``overlap`` past its end."""
-    rows = read_rows(spark, path)
-    header = F.col("value").startswith(">")
-    name = F.when(header, F.regexp_extract("value", r"^>(\S+)", 1))
-    bases = F.regexp_replace("value", r"\s+$", "")
-    size = F.when(header, 0).otherwise(F.length(bases))
-    rows = rows.withColumns({"name": name, "bases": bases, "size": size.cast("bigint")})
-
-    # inside a split: contig of each line and bases since the contig or the split began
-    inside = W.partitionBy(*SPLIT).orderBy("mid").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({"contig": F.last("name", True).over(inside), "upto": F.sum("size").over(inside)})
-    head_upto = F.last(F.when(F.col("name").isNotNull(), F.col("upto")), True).over(inside)
-    rows = rows.withColumn("local", F.col("upto") - F.col("size") - F.coalesce(head_upto, F.lit(0)))
-    # across splits: the contig still open at the end of each split and its bases so far
-    ends = rows.groupBy(*SPLIT).agg(
-        F.max_by("contig", "mid").alias("open"),
-        F.sum("size").alias("total"),
-        F.max_by(F.col("local") + F.col("size"), F.col("mid")).alias("tail"),
-    )
+    value = F.regexp_replace("value", r"\s+$", "")
+    rows = read_rows(spark, path).withColumn("value", value)
+    # per split: the contig open at its end, and the bases since that began
+    ends = rows.select(*SPLIT, "value").mapInArrow(_fasta_ends, "file string, split long, open string, total long, tail long")
     before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
     upto_split = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, 0)
     ends = ends.withColumn("all_upto", F.sum("total").over(upto_split))
     ends = ends.withColumn("mark", F.when(F.col("open").isNotNull(), F.col("all_upto") - F.col("tail")))
     ends = ends.select(
         *SPLIT,
-        F.last("open", True).over(before).alias("prev_contig"),
-        (F.col("all_upto") - F.col("total") - F.last("mark", True).over(before)).alias("prev_bases"),
-    )
-    placed = rows.filter("size > 0").join(ends, SPLIT)
-    carried = F.col("contig").isNull()
-    placed = placed.select(
-        F.coalesce("contig", "prev_contig").alias("chrom"),
-        (F.col("local") + F.when(carried, F.coalesce("prev_bases", F.lit(0))).otherwise(0)).alias("offset"),
-        "bases",
-        "size",
+        F.last("open", True).over(before).alias("contig"),
+        F.coalesce(F.col("all_upto") - F.col("total") - F.last("mark", True).over(before), F.lit(0)).alias("bases"),
     )
+    ends = materialize(ends)
+    if not at_most(ends, MAX_SPLITS, MAX_SPLIT_BYTES):
+        raise ValueError("too many file splits for their table to be handed to every task; use larger ones")
+    opened = rows.join(F.broadcast(ends), SPLIT).select(*SPLIT, "contig", "bases", "value")
+    placed = opened.mapInArrow(_fasta_places, "chrom string, offset long, bases string").withColumn("size", F.length("bases").cast("long"))
     # cut each line at chunk borders and put the pieces of a chunk together (a group of fixed size)
     first = F.greatest(F.lit(0), F.expr(f"(offset - {overlap} + {chunk} - 1) div {chunk} - 1"))
     last = F.expr(f"(offset + size - 1) div {chunk}")

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.quality import encode_phred33
+from seqframe.operators.alignments import linear_index
+
+#: Folder of the linear index below stored alignments.
+INDEX = "_index"
 
 
 def _fastq_text(reads: DataFrame):
@@ -15,26 +19,70 @@ def _fastq_text(reads: DataFrame):
     return F.concat_ws("\n", F.concat(F.lit("@"), "read_id"), "seq", F.lit("+"), quals).alias("value")
 
 
+FASTQ_LEVELS = {"sample_id": "unknown", "lane": 0, "mate": 0, "fate": "all"}
+
+
 def write_fastq(reads: DataFrame, path: str, compression: str = "gzip", partitions: int | None = None) -> None:
-    """Records in read order: range-partitioned, so the part files in name order are the file in order."""
-    n = [partitions] if partitions else []
-    ordered = reads.repartitionByRange(*n, "read_idx", "read_id").sortWithinPartitions("read_idx", "read_id")
-    ordered.select(_fastq_text(reads)).write.mode("overwrite").option("compression", compression).text(path)
+    """Records in read order, in one folder ``sample_id=/lane=/mate=/fate=`` each; a column that ``reads`` lacks has one value there.
+
+    One job, range-partitioned by folder and read: a large sample is spread over part files, whose name order is the order of
+    the records, and samples of any number are written side by side.
+    """
+    levels = {c: F.coalesce(F.col(c).cast("string"), F.lit(str(v))) if c in reads.columns else F.lit(str(v)) for c, v in FASTQ_LEVELS.items()}
+    order = [*FASTQ_LEVELS, "read_idx", "read_id"]
+    rows = reads.select("read_idx", "read_id", "seq", "quals", *[c.alias(k) for k, c in levels.items()])
+    rows = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    text = rows.select(_fastq_text(rows), *FASTQ_LEVELS)
+    text.write.mode("overwrite").option("compression", compression).partitionBy(*FASTQ_LEVELS).text(path)
 
 
 def write_fastq_pairs(fated: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Four outputs below ``path``: R1/R2 x paired/unpaired, from reads marked by ``split_pairs``."""
-    for mate in (1, 2):
-        for fate in ("paired", "unpaired"):
-            part = fated.filter((F.col("mate") == mate) & (F.col("fate") == fate))
-            write_fastq(part, f"{path}/R{mate}.{fate}", compression)
+    """Reads marked by ``split_pairs`` in folders of sample, lane, mate and fate (paired or unpaired), in one job."""
+    write_fastq(fated, path, compression)
 
 
 def write_alignments(alignments: DataFrame, path: str) -> None:
-    """Coordinate-sorted Parquet by contig; footers and row-group statistics take the place of an index file."""
+    """Coordinate-sorted Parquet by contig, and below it a linear index that bounds where the reads of a region begin.
+
+    Row-group statistics find the rows from there. Readers of the table don't see the index, as its name begins with ``_``.
+    """
     keys = ["chrom", "pos"]
     ordered = alignments.repartitionByRange(*keys, "qname").sortWithinPartitions(*keys)
     ordered.write.mode("overwrite").partitionBy("chrom").parquet(path)
+    stored = alignments.sparkSession.read.schema(alignments.schema).parquet(path)
+    linear_index(stored).repartitionByRange("chrom", "window").write.mode("overwrite").parquet(f"{path}/{INDEX}")
+
+
+def read_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The stored alignments and their linear index."""
+    return spark.read.parquet(path), spark.read.parquet(f"{path}/{INDEX}")
+
+
+def write_vcf(calls: DataFrame, contigs: DataFrame, path: str, compression: str = "none") -> None:
+    """VCF text of each sample in the folder ``sample_id=``: header first, then sites in contig order, all alternatives of a site in one row.
+
+    ``calls`` as :func:`~seqframe.operators.pileup.call_variants` gives them; ``contigs`` has chrom and contig_idx. One job,
+    range-partitioned, so the part files of a sample in name order are its VCF.
+    """
+    ads = F.sort_array(F.collect_list(F.struct("alt", F.col("ad_alt").cast("string").alias("ad"))))  # one to three alternatives
+    sites = calls.groupBy("sample_id", "chrom", "pos", "ref", "alts", "qual", "gt", "dp", "ad_ref").agg(ads.alias("a"))
+    sites = sites.join(contigs.select("chrom", "contig_idx"), "chrom", "left")
+    depth = F.concat_ws(",", F.col("ad_ref").cast("string"), F.col("a.ad"))
+    columns = ["chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alts", F.format_string("%.2f", F.round("qual", 2)), F.lit("PASS"), F.concat(F.lit("DP="), "dp"), F.lit("GT:DP:AD")]
+    rows = sites.select("sample_id", F.coalesce("contig_idx", F.lit(2147483647)).alias("k"), "chrom", "pos", F.concat_ws("\t", *columns, F.concat_ws(":", "gt", F.col("dp").cast("string"), depth)).alias("value"))
+    names = F.concat_ws("\t", F.lit("#CHROM"), *[F.lit(c) for c in ("POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT")], "sample_id")
+    lines = [
+        "##fileformat=VCFv4.2",
+        '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">',
+        '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+        '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">',
+        '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Reads of each allele">',
+    ]
+    head = calls.select("sample_id").distinct().select("sample_id", F.posexplode(F.array(*[F.lit(x) for x in lines], names)).alias("pos", "value"))
+    head = head.select("sample_id", F.lit(-1).alias("k"), F.lit("").alias("chrom"), F.col("pos").cast("long").alias("pos"), "value")
+    order = ["sample_id", "k", "chrom", "pos", "value"]
+    text = head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order).select("sample_id", "value")
+    text.write.mode("overwrite").option("compression", compression).partitionBy("sample_id").text(path)
 
 
 def widen_counts(counts: DataFrame, samples: Sequence[str]) -> DataFrame:

@@ -1,13 +1,15 @@
 """Plan shapes that matter at scale."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import coverage as cv
-from seqframe.operators import trim
+from seqframe.operators import recalibrate, trim
 from seqframe.plans.registry import Views
-from seqframe.sources import sinks
+from seqframe.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,6 +24,10 @@ def test_region_view_prunes_the_scan(spark, tmp_path):
     text = plan(al.view(stored, "chr2:5,000-30,000", min_mapq=10).select("qname", "pos"))
     assert "PartitionFilters: [isnotnull(chrom" in text and "LessThanOrEqual(pos,30000)" in text
     assert "pnext" not in text and "library" not in text
+    stored, index = sinks.read_alignments(spark, str(tmp_path))
+    text = plan(al.view(stored, "chr2:20,000-30,000", index=index).select("qname", "pos"))
+    low = int(re.search(r"PushedFilters: [^\n]*GreaterThanOrEqual\(pos,(\d+)\)", text)[1])
+    assert 19_000 < low <= 20_000 - 20_000 % al.INDEX_WINDOW + al.INDEX_WINDOW and "LessThanOrEqual(pos,30000)" in text
 
 
 def test_trimming_needs_no_shuffle(spark, tmp_path):
@@ -42,3 +48,20 @@ def test_flagstat_is_one_shuffle(spark):
     text = plan(al.flagstat(Views(spark, SF)("alignments").filter(F.col("mapq") > 0)))
     # the aggregation's own exchange and the one that spreads the single test file
     assert text.count("Exchange") <= 2
+
+
+def test_reading_fastq_shuffles_only_cut_records(spark, tmp_path):
+    reads = Views(spark, SF)("reads").limit(2000)
+    sinks.write_fastq(reads, str(tmp_path), compression="none")
+    text = plan(readers.read_fastq(spark, str(tmp_path), "S"))
+    before, after = text.split("MapInArrow", 1)
+    assert "Exchange hashpartitioning" not in after.split("Union")[0].split("Filter", 1)[0]
+    assert text.count("Exchange hashpartitioning") == 1 and "+- Union" in text or "Union" in text
+
+
+def test_recalibration_needs_no_python(spark):
+    v = Views(spark, SF)
+    reads = v("contig_reads")
+    table = spark.createDataFrame([("rg0", 30, "quality", "", 10, 1, 25.0)], "read_group string, q int, kind string, value string, observations long, mismatches long, empirical double")
+    text = plan(recalibrate.apply_recalibration(reads, table))
+    assert "Python" not in text and "Arrow" not in text

@@ -79,9 +79,8 @@ def test_depth_brute_force_across_bins(spark, monkeypatch):
     assert all(a["depth"] != b["depth"] or a["end_pos"] + 1 < b["start_pos"] for a, b in zip(runs, runs[1:]))
 
 
-def test_pileup_with_hot_bins(spark, monkeypatch):
-    """Crowded bins are spread and merged without changing a number; gapped reads are placed right."""
-    monkeypatch.setattr(pileup, "PILE_BIN", 32)
+def test_pileup_of_a_hot_locus(spark):
+    """A locus of equal reads is spread over tasks and merged without changing a number; gapped reads are placed right."""
     rng = random.Random(13)
     rows, expected = [], {}
     for i in range(400):
@@ -100,11 +99,21 @@ def test_pileup_with_hot_bins(spark, monkeypatch):
                 at += op in "MDN"
                 read += op in "MIS"
     aln = spark.createDataFrame(rows, "sample_id string, chrom string, flag int, pos bigint, cigar string, seq string, quals array<int>")
-    tables = [pileup.pileup(aln, hot_reads=h).collect() for h in (25, 1000000)]
+    tables = [pileup.pileup(x).collect() for x in (aln.coalesce(1), aln.repartition(7))]
     for table in tables:
         assert {(r["pos"], r["base"]): [r["n_fwd"], r["n_rev"], r["q_sum"]] for r in table} == expected
     sums = [{(r["pos"], r["base"]): round(r["ln_half"], 6) for r in t} for t in tables]
     assert sums[0] == sums[1]
+    same = aln.filter("pos = 40").limit(1).crossJoin(spark.range(4000)).drop("id")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        dealt = same.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange("sample_id", "chrom", "pos", "_row")
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert len(sizes) == 8 and max(sizes) < 1000
+    assert {r["n_fwd"] + r["n_rev"] for r in pileup.pileup(same).collect() if r["base"] != "*"} == {4000}
 
 
 READS = "sample_id string, mate int, read_idx bigint, read_id string, seq string, quals array<int>"
