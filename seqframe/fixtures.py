@@ -86,6 +86,13 @@ SHARED = {
  case when value<5 then cast(null as string) when event_id%10=0 then 'warn' else 'ok' end status,
  case when value<2 then cast(null as string) else concat(event_type,' done') end reasoning,
  event_id%50=0 halt, case when event_id%100=0 then 'Coverage below threshold' else '' end halt_reason,
+ case when event_id%17=0 then 1 else 0 end returncode from events""",
+    # the same results by user, some of whom never halt
+    "user_results": """select concat('run',user_id%7) run_id, concat('U',user_id) sample_id, event_id,
+ case event_type when 'signup' then 'ingest' when 'view' then 'qc' when 'click' then 'trim' when 'purchase' then 'align' else 'count' end stage,
+ case when value<5 then cast(null as string) when event_id%10=0 then 'warn' else 'ok' end status,
+ case when value<2 then cast(null as string) else concat(event_type,' done') end reasoning,
+ event_id%50=0 halt, case when event_id%100=0 then 'Coverage below threshold' else '' end halt_reason,
  case when event_id%17=0 then 1 else 0 end returncode from events""",
     "module_flags": """select concat('U',user_id) sample_id, concat('module ',event_type) module,
  case when value<1 then 'FAIL' when value<4 then 'WARN' else 'PASS' end status from events""",
@@ -191,7 +198,7 @@ BUILT = {"deep_contigs": _deep_contigs, "deep_reads": _deep_reads, "paired": _pa
 TABLES = {
     "alignments": "lineitem", "exons": "part", "panel": "supplier", "variants": "orders", "counts": "lineitem",
     "samples": "lineitem", "sheet": "customer", "gene_terms": "part", "term_edges": "part", "idmap": "part",
-    "de_raw": "part", "known_sites": "orders", "known_variants": "orders", "stage_results": "events",
+    "de_raw": "part", "known_sites": "orders", "known_variants": "orders", "stage_results": "events", "user_results": "events",
     "module_flags": "events", "verdict_json": "documents", "trim_requests": "part", "reads": "documents",
     "contigs": "documents", "contig_reads": "documents", "paired": "documents",
     "deep_contigs": "lineitem", "deep_reads": "lineitem",

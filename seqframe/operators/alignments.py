@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 import re
 from collections.abc import Sequence
 
@@ -173,13 +170,15 @@ def mark_duplicates(alignments: DataFrame, score: Column | None = None) -> DataF
     Reads without a library are of one library of their own.
     """
     keys = ["sample_id", "library", "qname"]
-    kept = kept_fragments(alignments, score).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_kept"))
+    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys}  # no name holds that
+    kept = kept_fragments(alignments, score).select(*[c.alias(k) for k, c in named.items()], F.lit(True).alias("_kept"))
     cleared = F.col("flag").bitwiseAND(~DUPLICATE)
     repeats = F.col("_kept").isNull() & none_of(UNMAPPED | SECONDARY | SUPPLEMENTARY)
     return (
-        alignments.join(kept, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+        alignments.withColumns(named)
+        .join(kept, list(named), "left")
         .withColumn("flag", F.when(repeats, cleared.bitwiseOR(DUPLICATE)).otherwise(cleared))
-        .drop("_kept", *[f"_{k}" for k in keys])
+        .drop("_kept", *named)
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seqframe.functions.ordering import bh_adjust, exact_median
 from seqframe.functions.scratch import materialize
 from seqframe.functions.skew import lookup_join
-from seqframe.operators.counts import sample_ids
+from seqframe.operators.counts import for_each_sample
 
 ALPHA = 0.05
 MIN_LFC = 1.0
@@ -58,13 +58,11 @@ def size_factors(counts: DataFrame) -> DataFrame:
         .join(F.broadcast(n_samples), F.col("seen") == F.col("n_samples"))  # a one-row side
         .select("gene_id", "log_mean")
     )
+    log_mean = materialize(log_mean)
+    if log_mean.isEmpty():  # dropping every sample would hide that
+        raise ValueError(NO_GENE)
     ratios = counts.join(log_mean, "gene_id").select("sample_id", (F.log("cnt") - F.col("log_mean")).alias("ratio"))
-    # without a usable gene there is no factor, and dropping every sample would hide that
-    used = F.broadcast(log_mean.agg(F.count(F.lit(1)).alias("used")))  # one row
-    none = counts.select("sample_id").distinct().join(used).filter("used = 0")
-    failed = none.select("sample_id", F.raise_error(F.lit(NO_GENE)).cast("double").alias("size_factor"))
-    factors = exact_median(ratios, ["sample_id"], "ratio", "m").select("sample_id", F.exp("m").alias("size_factor"))
-    return factors.unionByName(failed)
+    return exact_median(ratios, ["sample_id"], "ratio", "m").select("sample_id", F.exp("m").alias("size_factor"))
 
 
 def normalize_counts(counts: DataFrame, factors: DataFrame) -> DataFrame:
@@ -86,34 +84,71 @@ def trigamma(x: float) -> float:
     return total + 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7)
 
 
-def _residual_basis(samples: DataFrame | None) -> tuple[list[str], list[list[float]]]:
-    """Sample order and orthonormal columns that span the design; none where no sample is left over to judge the spread."""
+#: Combinations of condition and batch that a design may have: its columns, of which the model solves a dense system a gene.
+MAX_CELLS = 4096
+
+
+def design_cells(samples: DataFrame, contrast: tuple[str, str] | None = None):
+    """The design by cells, the combinations of condition and batch: samples of a cell share a row of it.
+
+    Returns the sheet with the ``cell`` of each sample, samples a cell, design rows (intercept, batches, conditions against the base level)
+    and the column tested. Only the cells come to the driver, however many samples there are.
+    """
+    import numpy as np
+
+    sheet = samples.select("sample_id", "condition", "batch").dropDuplicates(["sample_id"])
+    rows = sheet.groupBy("condition", "batch").count().limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"the design has more than {MAX_CELLS} combinations of condition and batch")
+    rows.sort(key=lambda r: (r["condition"], r["batch"]))
+    levels = sorted({r["condition"] for r in rows})
+    test, base = contrast or (levels[1], levels[0])
+    batches = sorted({r["batch"] for r in rows})[1:]
+    others = [test] + [c for c in levels if c not in (test, base)]
+    x = np.array([[1.0, *(float(r["batch"] == b) for b in batches), *(float(r["condition"] == c) for c in others)] for r in rows])
+    table = samples.sparkSession.createDataFrame([(i, r["condition"], r["batch"]) for i, r in enumerate(rows)], "cell int, condition string, batch string")
+    placed = sheet.join(F.broadcast(table), ["condition", "batch"])  # at most MAX_CELLS rows
+    return placed.select("sample_id", "cell"), np.array([r["count"] for r in rows], float), x, 1 + len(batches)
+
+
+def _residual_basis(samples: DataFrame | None):
+    """Cell of each sample, and by cell the orthonormal columns that span the design; nothing where no sample is left over to judge the spread.
+
+    A column of the design is constant in a cell of n samples, so the basis is found among cells weighted by n. Also returns
+    the number of samples.
+    """
     import numpy as np
 
     if samples is None:
-        return [], []
-    names, design, _ = _design(samples, None)
-    u, s, _ = np.linalg.svd(design, full_matrices=False)
-    basis = u[:, s > 1e-9 * s[0]]
-    return (names, basis.T.tolist()) if basis.shape[1] < len(names) else ([], [])
+        return None, [], 0
+    cells, n, x, _ = design_cells(samples)
+    u, s, _ = np.linalg.svd(x * np.sqrt(n)[:, None], full_matrices=False)
+    basis = (u / np.sqrt(n)[:, None])[:, s > 1e-9 * s[0]]
+    total = int(n.sum())
+    return (cells, basis.tolist(), total) if basis.shape[1] < total else (None, [], total)
 
 
-def gene_dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame | None = None, floor: float = 1e-8) -> DataFrame:
+def gene_dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame | None = None, floor: float = 1e-8, basis=None) -> DataFrame:
     """Mean, variance and method-of-moments dispersion of each gene with a count.
 
     With a sheet the variance is what conditions and batches leave unexplained, over the samples less the rank of the design;
     a missing count is zero. Without one, or without replicates, it is that over all samples.
     """
     xi = factors.agg(F.avg(1 / F.col("size_factor")).alias("xi"))
-    names, basis = _residual_basis(samples)
+    cells, columns, total = _residual_basis(samples) if basis is None else basis
     rows, variance = normalized, F.var_samp("norm")
-    if basis:
-        parts = [f"_q{k}" for k in range(len(basis))]
-        table = normalized.sparkSession.createDataFrame([(n, *(b[i] for b in basis)) for i, n in enumerate(names)], ", ".join(["sample_id string", *(f"{p} double" for p in parts)]))
-        rows = lookup_join(normalized, table, ["sample_id"], "inner")
-        left = reduce(sub, [F.pow(F.sum(F.col(p) * F.col("norm")), F.lit(2)) for p in parts], F.sum(F.col("norm") * F.col("norm")))
-        variance = F.greatest(left, F.lit(0.0)) / (len(names) - len(basis))
-    moments = rows.groupBy("gene_id").agg(F.avg("norm").alias("mean"), variance.alias("var")).filter("mean > 0")
+    if columns:
+        # sums of each gene and cell first, then products of those with the basis
+        sums = lookup_join(normalized, cells, ["sample_id"], "inner").groupBy("gene_id", "cell").agg(
+            F.sum("norm").alias("sum"), F.sum(F.col("norm") * F.col("norm")).alias("squares"), F.count(F.lit(1)).alias("n")
+        )
+        table = normalized.sparkSession.createDataFrame(list(enumerate(columns)), "cell int, q array<double>")
+        rows = sums.join(F.broadcast(table), "cell")  # at most MAX_CELLS rows
+        explained = [F.pow(F.sum(F.col("q")[k] * F.col("sum")), F.lit(2)) for k in range(len(columns[0]))]
+        variance = F.greatest(reduce(sub, explained, F.sum("squares")), F.lit(0.0)) / (total - len(columns[0]))
+        moments = rows.groupBy("gene_id").agg((F.sum("sum") / F.sum("n")).alias("mean"), variance.alias("var")).filter("mean > 0")
+    else:
+        moments = rows.groupBy("gene_id").agg(F.avg("norm").alias("mean"), variance.alias("var")).filter("mean > 0")
     mean = F.col("mean")
     raw = (F.col("var") - F.col("xi") * mean) / (mean * mean)
     return moments.join(F.broadcast(xi)).select("gene_id", "mean", "var", F.greatest(raw, F.lit(floor)).alias("disp_gene"))
@@ -137,10 +172,10 @@ def dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame |
     The log dispersion of a gene is drawn towards the trend; the pull is the
     sampling variance of a log dispersion against the spread seen around the trend.
     """
-    names, basis = _residual_basis(samples)
-    free = len(names) - len(basis) if basis else len(sample_ids(factors)) - 1
+    basis = _residual_basis(samples)
+    free = basis[2] - len(basis[1][0]) if basis[1] else factors.select("sample_id").distinct().count() - 1
     sampling = trigamma(max(free, 1) / 2)
-    genes = materialize(gene_dispersions(normalized, factors, samples))
+    genes = materialize(gene_dispersions(normalized, factors, samples, basis=basis))
     trend = dispersion_trend(genes)
     fitted = genes.join(F.broadcast(trend)).withColumn("disp_trend", F.col("a1") / F.col("mean") + F.col("a0"))
     off = F.log("disp_gene") - F.log("disp_trend")
@@ -152,25 +187,6 @@ def dispersions(normalized: DataFrame, factors: DataFrame, samples: DataFrame |
     return fitted.join(F.broadcast(spread)).select("gene_id", "mean", "disp_gene", "disp_trend", shrunk.alias("dispersion"))
 
 
-def _design(samples: DataFrame, contrast: tuple[str, str] | None):
-    """Sample order and design matrix (intercept, batches, conditions against the base level), on the driver.
-
-    The sheet has one row per sample, a checked number.
-    """
-    import numpy as np
-
-    names = sample_ids(samples)
-    rows = {r["sample_id"]: r for r in samples.select("sample_id", "condition", "batch").collect()}
-    levels = sorted({r["condition"] for r in rows.values()})
-    test, base = contrast or (levels[1], levels[0])
-    batches = sorted({r["batch"] for r in rows.values()})[1:]
-    others = [test] + [c for c in levels if c not in (test, base)]
-    columns = [[1.0 for _ in names]]
-    columns += [[float(rows[s]["batch"] == b) for s in names] for b in batches]
-    columns += [[float(rows[s]["condition"] == c) for s in names] for c in others]
-    return names, np.array(columns).T, 1 + len(batches)
-
-
 def nb_wald_test(
     counts: DataFrame,
     samples: DataFrame,
@@ -181,47 +197,57 @@ def nb_wald_test(
 ) -> DataFrame:
     """Negative binomial GLM ``~ batch + condition`` per gene and the Wald test of the condition.
 
-    Genes are rows of an array of samples; one Arrow batch of genes is fitted at
-    once with NumPy (iteratively reweighted least squares).
+    Genes are rows that hold their counts, size factors and cells of all samples, zero where a sample has no count; one Arrow batch of
+    genes is fitted at once with NumPy (iteratively reweighted least squares). What a gene's samples add to the normal
+    equations is summed by cell, so the design is never spread out over samples.
     """
-    names, design, tested = _design(samples, contrast)
-    sizes = {r["sample_id"]: r["size_factor"] for r in factors.collect()}  # one row per sample
-    log_size = [math.log(sizes[s]) for s in names]
-    position = counts.sparkSession.createDataFrame(list(enumerate(names)), "i int, sample_id string")
-    known = lookup_join(counts, position, ["sample_id"], "inner")
-    per_gene = known.groupBy("gene_id").agg(F.collect_list(F.struct("i", F.col("cnt").cast("double").alias("c"))).alias("cells"))
-    ready = per_gene.join(disp.select("gene_id", "mean", "dispersion"), "gene_id").select("gene_id", "mean", "dispersion", F.col("cells.i").alias("i"), F.col("cells.c").alias("c"))
+    cells, per_cell, design, tested = design_cells(samples, contrast)
+    known = materialize(cells.join(factors.select("sample_id", F.log("size_factor").alias("o")), "sample_id"))
+    genes = disp.select("gene_id", "mean", "dispersion")
+    grid = for_each_sample(materialize(genes).select("gene_id"), known)
+    full = grid.join(counts.select("gene_id", "sample_id", F.col("cnt").cast("double").alias("c")), ["gene_id", "sample_id"], "left")
+    # as long as the sheet, like a row of the count matrix
+    per_gene = full.groupBy("gene_id").agg(F.collect_list(F.struct("cell", "o", F.coalesce("c", F.lit(0.0)).alias("c"))).alias("x"))
+    ready = per_gene.join(genes, "gene_id").select("gene_id", "mean", "dispersion", F.col("x.cell").alias("cell"), F.col("x.o").alias("o"), F.col("x.c").alias("c"))
 
     def fit(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        x, offset = np.asarray(design), np.asarray(log_size)
-        ridge = 1e-6 * np.eye(x.shape[1])
+        x, n, p = np.asarray(design), np.asarray(per_cell), design.shape[1]
+        ridge = 1e-6 * np.eye(p)
+        outer = np.einsum("ci,cj->cij", x, x)
+        inverse = np.linalg.pinv(np.einsum("c,cij->ij", n, outer))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            # as long as the design has samples, zero where a sample has no count
-            y = np.zeros((len(pdf), len(x)))
-            y[np.repeat(np.arange(len(pdf)), pdf["i"].map(len)), np.concatenate(pdf["i"].to_numpy())] = np.concatenate(pdf["c"].to_numpy())
+            cell, offset, y = (np.stack(pdf[c].to_numpy()) for c in ("cell", "o", "c"))
             alpha = pdf["dispersion"].to_numpy()[:, None]
-            beta = np.linalg.lstsq(x, np.log(y / np.exp(offset) + 0.1).T, rcond=None)[0].T
+            at = (np.arange(len(y))[:, None] * len(x) + cell).ravel()
+
+            def by_cell(values):
+                return np.bincount(at, weights=values.ravel(), minlength=len(y) * len(x)).reshape(len(y), len(x))
+
+            def spread(beta):
+                return np.take_along_axis(beta @ x.T, cell, axis=1)
+
+            def normal(mu):
+                return np.einsum("gc,cij->gij", by_cell(mu / (1 + alpha * mu)), outer) + ridge
+
+            beta = by_cell(np.log(y / np.exp(offset) + 0.1)) @ x @ inverse
             open_ = np.ones(len(y), bool)  # genes not yet settled; each stops by itself
             for _ in range(iterations):
-                mu = np.exp(np.clip(beta @ x.T + offset, -30, 30))
-                w = mu / (1 + alpha * mu)
-                z = beta @ x.T + (y - mu) / mu
-                xtwx = np.einsum("gs,si,sj->gij", w, x, x) + ridge
-                xtwz = np.einsum("gs,si->gi", w * z, x)
-                new = np.clip(np.linalg.solve(xtwx, xtwz[..., None])[..., 0], -30, 30)
+                eta = spread(beta)
+                mu = np.exp(np.clip(eta + offset, -30, 30))
+                xtwz = by_cell(mu / (1 + alpha * mu) * (eta + (y - mu) / mu)) @ x
+                new = np.clip(np.linalg.solve(normal(mu), xtwz[..., None])[..., 0], -30, 30)
                 moved = np.max(np.abs(new - beta), axis=1) >= 1e-8
                 beta = np.where(open_[:, None], new, beta)
                 open_ &= moved
                 if not open_.any():
                     break
-            mu = np.exp(np.clip(beta @ x.T + offset, -30, 30))
-            xtwx = np.einsum("gs,si,sj->gij", mu / (1 + alpha * mu), x, x) + ridge
-            se = np.sqrt(np.linalg.inv(xtwx)[:, tested, tested]) / math.log(2)
+            mu = np.exp(np.clip(spread(beta) + offset, -30, 30))
+            se = np.sqrt(np.linalg.inv(normal(mu))[:, tested, tested]) / math.log(2)
             lfc = beta[:, tested] / math.log(2)
             stat = lfc / se
             yield pd.DataFrame(

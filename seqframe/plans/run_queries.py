@@ -15,27 +15,30 @@ NORMAL = """norm as (select run_id, sample_id, event_id, stage, coalesce(status,
  coalesce(halt,false) halt, coalesce(halt_reason,'') halt_reason, returncode from stage_results)"""
 HALTS = f"""{NORMAL}, halts as (select run_id, sample_id, min(({STAGE_ORDER}, stage, coalesce(nullif(halt_reason,''),nullif(reasoning,''),concat(stage,' requested halt')))) m
  from norm where halt group by 1,2)"""
-STATUS = f"""{HALTS}, h1 as (select sample_id, min(({STAGE_ORDER}, stage, coalesce(nullif(halt_reason,''),nullif(reasoning,''),concat(stage,' requested halt')))) m
- from norm where halt and event_id%100=0 and returncode<>0 group by 1),
- rates as (select sample_id, 100.0*count(*) filter (flag&4=0)/count(*) rate from alignments where flag&2304=0 group by 1),
+STATUS = f"""{HALTS.replace("stage_results", "user_results")}, h1 as (select sample_id, min(({STAGE_ORDER}, stage, coalesce(nullif(halt_reason,''),nullif(reasoning,''),concat(stage,' requested halt')))) m
+ from norm where halt group by 1),
+ names as (select distinct sample_id, concat('S',cast(substr(sample_id,2) as bigint)%6+1) lane from norm),
+ rates as (select names.sample_id, rate from names join (select sample_id lane, 100.0*count(*) filter (flag&4=0)/count(*) rate from alignments where flag&2304=0 group by 1) r using (lane)),
  status as (select s.sample_id, case when m[2] in ('ingest','qc','ai_decider','trim') then 'halted' when rate<83.9 then 'failed_at_alignment' when m is not null then 'halted' else 'complete' end status,
  m[2] halt_stage, m[3] halt_reason, round(rate,2) mapping_rate, t.sample_id is not null trim_was_run, coalesce(n,0) n_artifacts
- from samples s left join h1 using (sample_id) left join rates using (sample_id) left join (select distinct sample_id from norm where stage='trim' and returncode<>0) t using (sample_id)
- left join (select sample_id, count(*) n from norm where returncode=0 group by 1) a using (sample_id))"""
+ from names s left join h1 using (sample_id) left join rates using (sample_id) left join (select distinct sample_id from norm where stage='trim') t using (sample_id)
+ left join (select sample_id, count(*) n from norm group by 1) a using (sample_id))"""
 
 
 def _normal(v):
     return runs.normalize_stage_results(v("stage_results"))
 
 
+def _lanes(v):
+    """The samples of the results by user, each with the sample whose reads stand for it."""
+    return v("user_results").select("sample_id").distinct().withColumn("lane", F.expr("concat('S', cast(substr(sample_id, 2) as bigint) % 6 + 1)"))
+
+
 def _status(v):
-    results = _normal(v)
-    # halts that carry a reason of their own and come with a failed step
-    late = results.filter("halt_reason <> '' and returncode <> 0")
-    halts = runs.first_halts(late, keys=("sample_id",))
-    gate = alignment_gate(mapping_rate(v("alignments"), digits=None), minimum=83.9)
-    trimmed = results.filter("stage = 'trim' and returncode <> 0")
-    return runs.sample_status(v("samples"), halts, gate, trimmed, results.filter("returncode = 0"))
+    results, lanes = runs.normalize_stage_results(v("user_results")), _lanes(v)
+    rates = mapping_rate(v("alignments"), digits=None).withColumnRenamed("sample_id", "lane").join(lanes, "lane").drop("lane")
+    halts = runs.first_halts(results, keys=("sample_id",))
+    return runs.sample_status(lanes, halts, alignment_gate(rates, minimum=83.9), results.filter("stage = 'trim'"), results)
 
 
 @query("duplicate_samples", "sheet", "select coalesce(sample_id,'') sample_id, count(*) n from sheet group by 1 having count(*)>1")
@@ -117,12 +120,12 @@ def _(v):
     return runs.halt_gate(_normal(v))
 
 
-@query("sample_status", "stage_results alignments samples", f"with {STATUS} select * from status")
+@query("sample_status", "user_results alignments", f"with {STATUS} select * from status")
 def _(v):
     return _status(v)
 
 
-@query("successful_samples", "stage_results alignments samples", f"with {STATUS} select sample_id from status where status='complete'")
+@query("successful_samples", "user_results alignments", f"with {STATUS} select sample_id from status where status='complete'")
 def _(v):
     return runs.successful_samples(_status(v))
 
@@ -166,7 +169,7 @@ def _(v):
     return runs.run_summary(status.withColumn("status", F.coalesce("status", F.lit("complete"))))
 
 
-@query("run_report", "stage_results alignments samples reads de_raw", f"""with {STATUS}, q as (select sample_id, count(*) n_reads from reads group by 1),
+@query("run_report", "user_results alignments reads de_raw", f"""with {STATUS}, q as (select names.sample_id, n_reads from names join (select sample_id lane, count(*) n_reads from reads group by 1) r using (lane)),
  ranked as (select *, row_number() over (order by pvalue) rk, count(*) over () n from de_raw where pvalue is not null),
  adj as (select gene, least(1.0, min(pvalue*n/rk) over (order by pvalue desc, rk desc rows between unbounded preceding and current row)) padj from ranked)
  select 'run-1' run_id, (select count(*) from status) samples_processed,
@@ -175,7 +178,7 @@ def _(v):
 def _(v):
     status = _status(v).withColumn("run_id", F.lit("run-1"))
     summary = de.de_summary(de.de_results(v("de_raw"))).select("n_sig")
-    counts = v("reads").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_reads"))
+    counts = v("reads").groupBy(F.col("sample_id").alias("lane")).agg(F.count(F.lit(1)).alias("n_reads")).join(_lanes(v), "lane").drop("lane")
     report = runs.run_report(status, summary, qc=counts)
     schema = "sample_id string, status string, mapping_rate double, qc struct<n_reads:bigint>"
     line = F.transform("samples", lambda s: F.from_json(s, schema))
