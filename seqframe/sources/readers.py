@@ -91,7 +91,8 @@ def read_fastq_tree(spark: SparkSession, path: str) -> DataFrame:
     """Reads below ``path`` as :func:`~seqframe.sources.sinks.write_fastq` lays them out: sample, lane, mate and fate come from the folders."""
     level = lambda c: F.regexp_extract("file", f"/{c}=([^/]*)/", 1)
     reads = read_fastq(spark, f"{path}/*/*/*/*", "", with_file=True).drop("sample_id", "mate")
-    sample = F.url_decode(F.replace(level("sample_id"), F.lit("+"), F.lit("%2B")))
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    sample = plain(plain(level("sample_id")))  # the path is a URI of a folder name that is escaped itself
     return reads.select(sample.alias("sample_id"), level("lane").cast("int").alias("lane"), level("mate").cast("int").alias("mate"), level("fate").alias("fate"), "read_id", "seq", "quals")
 
 

@@ -30,18 +30,18 @@ PAIR_READS = "sample_id string, mate int, read_idx bigint, read_id string, seq s
 def test_pairs_find_their_places(spark):
     """Simulated fragments: a repeat told apart by the mate, rescue of a damaged mate, and reads without a partner."""
     rng = random.Random(31)
-    repeat = genome(rng, 300)
+    repeat = genome(rng, 150)
     contigs = {"c1": genome(rng, 3000) + repeat + genome(rng, 2000) + repeat + genome(rng, 1500), "c2": genome(rng, 4000)}
     rows, truth = [], {}
-    for i in range(400):
+    for i in range(120):
         name = "c1" if i % 2 else "c2"
         size = rng.randrange(280, 321)
         start = rng.randrange(len(contigs[name]) - size)
         if i % 10 == 1:  # mate 1 in the second copy of the repeat, mate 2 behind it
-            start = 5300 + rng.randrange(0, 40)
+            start = 5150 + rng.randrange(0, 40)
         frag = contigs[name][start : start + size]
         one, two = frag[:80], frag[-80:][::-1].translate(TURN)
-        if i % 16 == 3:  # an error every 15 bases leaves no seed of 20
+        if i % 16 == 3 and i % 10 != 1:  # an error every 15 bases leaves no seed of 20
             two = "".join(TURN.get(ord(c), 0) and chr(TURN[ord(c)]) if p % 15 == 7 else c for p, c in enumerate(two))
         places = [(name, start + 1, 0), (name, start + size - 80 + 1, 16)]
         if i % 2 == 0:
@@ -59,7 +59,7 @@ def test_pairs_find_their_places(spark):
         assert r["flag"] & 3 == 3 and r["flag"] & (64 if mate == 1 else 128) and r["rnext"] == "="
         other = by[f"{i}/{3 - mate}"]
         assert r["pnext"] == other["pos"] and r["tlen"] == -other["tlen"] and 280 <= abs(r["tlen"]) <= 320 and bool(r["flag"] & 32) == bool(other["flag"] & 16)
-    assert all(by[f"{i}/1"]["mapq"] > 0 for i in range(1, 400, 10) if i % 16 != 3)  # the mate tells the copies apart
+    assert all(by[f"{i}/1"]["mapq"] > 0 for i in range(1, 120, 10))  # the mate tells the copies apart
     assert {by[x]["flag"] for x in ("alone", "nokey", "nokey2")} == {0} and by["nokey2"]["pos"] == 301
     assert (by["x"]["flag"], by["y"]["flag"]) == (1 + 8 + 64, 1 + 4 + 128) and by["y"]["pos"] == by["x"]["pos"] == 501
 
