@@ -19,7 +19,7 @@ STATUS = f"""{HALTS.replace("stage_results", "user_results")}, h1 as (select sam
  from norm where halt group by 1),
  names as (select distinct sample_id, concat('S',cast(substr(sample_id,2) as bigint)%6+1) lane from norm),
  rates as (select names.sample_id, rate from names join (select sample_id lane, 100.0*count(*) filter (flag&4=0)/count(*) rate from alignments where flag&2304=0 group by 1) r using (lane)),
- status as (select s.sample_id, case when m[2] in ('ingest','qc','ai_decider','trim') then 'halted' when rate<83.9 then 'failed_at_alignment' when m is not null then 'halted' else 'complete' end status,
+ status as (select s.sample_id, case when m[2] in ('ingest','qc','ai_decider','trim') then 'halted' when rate<83.3 then 'failed_at_alignment' when m is not null then 'halted' else 'complete' end status,
  m[2] halt_stage, m[3] halt_reason, round(rate,2) mapping_rate, t.sample_id is not null trim_was_run, coalesce(n,0) n_artifacts
  from names s left join h1 using (sample_id) left join rates using (sample_id) left join (select distinct sample_id from norm where stage='trim') t using (sample_id)
  left join (select sample_id, count(*) n from norm group by 1) a using (sample_id))"""
@@ -38,7 +38,7 @@ def _status(v):
     results, lanes = runs.normalize_stage_results(v("user_results")), _lanes(v)
     rates = mapping_rate(v("alignments"), digits=None).withColumnRenamed("sample_id", "lane").join(lanes, "lane").drop("lane")
     halts = runs.first_halts(results, keys=("sample_id",))
-    return runs.sample_status(lanes, halts, alignment_gate(rates, minimum=83.9), results.filter("stage = 'trim'"), results)
+    return runs.sample_status(lanes, halts, alignment_gate(rates, minimum=83.3), results.filter("stage = 'trim'"), results)
 
 
 @query("duplicate_samples", "sheet", "select coalesce(sample_id,'') sample_id, count(*) n from sheet group by 1 having count(*)>1")

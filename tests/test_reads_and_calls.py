@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from seqframe.operators import alignments as al
 from seqframe.operators import de, pairs, pileup, recalibrate
 from seqframe.operators import variants as vr
+from seqframe.plans.base_queries import PAIRS_SQL
+from seqframe.plans.registry import QUERIES
 from seqframe.sources import readers, sinks
+from tests.oracle import compare, connect
 
 TURN = str.maketrans("ACGT", "TGCA")
 
@@ -198,3 +201,9 @@ def test_most_severe_change_wins(spark):
     variants = spark.createDataFrame([("c", 6, "T", "A"), ("c", 20, "A", "C")], "chrom string, pos bigint, ref string, alt string")
     got = {r["pos"]: (r["change"], r["change_unit"]) for r in vr.consequences(variants, features, ref, 100).collect()}
     assert got == {6: ("stop_gained", "t1"), 20: (None, None)}
+
+
+def test_pairs_against_their_definition(spark):
+    """All pairs of the smallest test tables: flags, places, mates, lengths and qualities as SQL defines them."""
+    sf = "/root/testdata/sf0.001"
+    assert not compare(spark, connect(sf), sf, "map_pairs", QUERIES["map_pairs"], PAIRS_SQL)[0]
