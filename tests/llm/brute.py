@@ -131,3 +131,30 @@ def repeats(rows, length=100):
         spans = sum(1 for s in range(len(b)) if gone[s] and (s == 0 or not gone[s - 1]))
         done[i, b] = len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()
     return [(i, *done[key(i, t)]) for i, t in rows]
+
+
+def letter_grams(text):
+    """n-grams of one to three characters of the letters of a text, each run of other characters one blank."""
+    s = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in text.replace("\0", " ").lower()) + " ")
+    return collections.Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1) if s[i : i + n].strip())
+
+
+def ranking(counts, top):
+    code = lambda g: [ord(c) for c in g] + [0] * (3 - len(g))
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:top])}
+
+
+def languages(texts, labelled, top=300):
+    """(prediction, score) of each text by out-of-place distance to the profiles of (text, lang)."""
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in labelled:
+        if text is not None and lang is not None:
+            counts[lang] += letter_grams(text)
+    profiles = {lang: ranking(c, top) for lang, c in sorted(counts.items())}
+    out = []
+    for text in texts:
+        own = ranking(letter_grams(text or ""), top)
+        apart = {lang: sum(abs(i - p[g]) if g in p else top for g, i in own.items()) for lang, p in profiles.items()}
+        best = min(apart, key=lambda x: (apart[x], x), default=None) if own else None
+        out.append(("und", 0.0) if best is None else (best, 1 - apart[best] / (len(own) * top)))
+    return out

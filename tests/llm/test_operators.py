@@ -322,6 +322,18 @@ def test_language(spark, docs):
     assert language.predict(docs.limit(0), profiles).count() == 0
 
 
+def test_language_by_brute_force(spark, docs):
+    """Distances, scores and ties against a plain version, over all rows and profiles of all labelled ones."""
+    extra = spark.createDataFrame([(200_000 + i, t) for i, t in enumerate(["a", "zz9", "the", "der die das", "é", "x" * 2000, "a\0b"])], "doc_id long, text string")
+    table = docs.select("doc_id", "text", "lang", "score").unionByName(extra, allowMissingColumns=True)
+    rows = table.collect()
+    want = brute.languages([r.text for r in rows], [(r.text, r.lang) for r in rows if r.doc_id is None or r.doc_id % 3])
+    profiles = materialize(language.fit(table.where("doc_id is null or doc_id % 3 <> 0")))
+    got = language.predict(table, profiles).collect()
+    as_rows = lambda found: sorted(((i, p, round(s, 9)) for i, p, s in found), key=str)
+    assert as_rows((r.doc_id, r.lang_pred, r.score) for r in got) == as_rows((r.doc_id, *w) for r, w in zip(rows, want, strict=True))
+
+
 def test_language_ranks_are_those_of_a_plain_count():
     texts = ["Ab ab, ba!", "", "\0a\0", "x1y"]
     doc, gram, count = language._ranked(texts)
