@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from seqframe.functions.skew import lookup_join
 from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import coverage as cv
@@ -44,6 +45,16 @@ def test_no_nested_loops_or_cross_products_in_interval_work(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_a_lookup_that_is_no_broadcast_is_not_made_one_by_a_guess(spark):
+    lookup = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    fact = spark.range(10_000).select((F.col("id") % 2000).alias("k"), "id")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        joined = lookup_join(fact, lookup, ["k"], how, broadcast_rows=10)
+        assert "SortMergeJoin" in plan(joined) and "Broadcast" not in plan(joined)
+        assert joined.count() == {"inner": 5000, "left": 10_000, "left_semi": 5000, "left_anti": 5000}[how]
+    assert "Broadcast" not in plan(ct.for_each_sample(lookup, spark.createDataFrame([("S1",), ("S2",)], "sample_id string")))
+
+
 def test_flagstat_is_one_shuffle(spark):
     text = plan(al.flagstat(Views(spark, SF)("alignments").filter(F.col("mapq") > 0)))
     # the aggregation's own exchange and the one that spreads the single test file
