@@ -76,3 +76,18 @@ def test_recalibration_needs_no_python(spark):
     table = spark.createDataFrame([("rg0", 30, "quality", "", 10, 1, 25.0)], "read_group string, q int, kind string, value string, observations long, mismatches long, empirical double")
     text = plan(recalibrate.apply_recalibration(reads, table))
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_recalibration_copies_neither_reference_nor_reads(spark, monkeypatch):
+    chunks = spark.createDataFrame([("c", k * 40, "ACGT" * 10) for k in range(60) if k != 3] + [("c", 2400, "AC")], "chrom string, start0 long, bases string")
+    wide, size = recalibrate._wider(chunks, 40)
+    got = {r["start0"]: r["bases"] for r in wide.collect()}
+    assert size == 1000 and sorted(got) == [0, 1000, 2000]
+    assert got[0] == "ACGT" * 30 + "-" * 40 + "ACGT" * 210 and got[2000] == "ACGT" * 100 + "AC"
+    reads = [("rg", 0, "c", pos, f"{n}M", ("ACGT" * 60)[:n], [30] * n) for pos, n in ((1, 100), (101, 100), (981, 200), (2389, 20))]
+    reads = spark.createDataFrame(reads, "read_group string, flag int, chrom string, pos long, cigar string, seq string, quals array<int>")
+    joined = []
+    monkeypatch.setattr(recalibrate, "lookup_join", lambda *a, **k: joined.append(lookup_join(*a, broadcast_rows=0, **k)) or joined[-1])
+    table = recalibrate.base_recalibration_table(reads, chunks, None, 40)
+    assert "_salt" not in plan(joined[0]) and joined[0].count() == 5  # one read crosses a border of 1000 bases
+    assert {r["observations"] for r in table.filter("kind = 'quality'").collect()} == {100 + 80 - 20 + 200 + 14}
