@@ -8,7 +8,7 @@ from seqframe.functions.skew import lookup_join
 from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import coverage as cv
-from seqframe.operators import recalibrate, trim
+from seqframe.operators import recalibrate, trim, variants
 from seqframe.plans.registry import Views
 from seqframe.sources import readers, sinks
 
@@ -91,3 +91,14 @@ def test_recalibration_copies_neither_reference_nor_reads(spark, monkeypatch):
     table = recalibrate.base_recalibration_table(reads, chunks, None, 40)
     assert "_salt" not in plan(joined[0]) and joined[0].count() == 5  # one read crosses a border of 1000 bases
     assert {r["observations"] for r in table.filter("kind = 'quality'").collect()} == {100 + 80 - 20 + 200 + 14}
+
+
+def test_coding_changes_are_shuffled_by_place_alone(spark, monkeypatch):
+    v = Views(spark, SF)
+    features = v("exons").withColumn("feature", F.lit("CDS"))
+    table = v("variants").select("chrom", "pos", "ref", "alt")
+    reference = spark.createDataFrame([(f"chr{c}", 0, "ACGTTGCA" * 100) for c in range(1, 6)], "chrom string, start0 long, bases string")
+    text = plan(variants.coding_changes(table, features, reference, 1000))
+    assert not re.search(r"hashpartitioning\(chrom#\d+, pos#\d+L, ref", text)
+    monkeypatch.setattr(variants, "lookup_join", None)  # its lookup would be as long as the variants
+    assert variants.consequences(table, features, reference, 1000).count() == table.count()
