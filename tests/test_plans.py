@@ -9,7 +9,8 @@ from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import coverage as cv
 from seqframe.operators import recalibrate, trim, variants
-from seqframe.plans.registry import Views
+from seqframe.plans import catalog  # noqa: F401
+from seqframe.plans.registry import QUERIES, Views
 from seqframe.sources import readers, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +103,8 @@ def test_coding_changes_are_shuffled_by_place_alone(spark, monkeypatch):
     assert not re.search(r"hashpartitioning\(chrom#\d+, pos#\d+L, ref", text)
     monkeypatch.setattr(variants, "lookup_join", None)  # its lookup would be as long as the variants
     assert variants.consequences(table, features, reference, 1000).count() == table.count()
+
+
+def test_pileups_make_their_reads_once(spark):
+    # dealing by ranges reads its input twice
+    assert "doc_id" not in plan(QUERIES["pileup"](spark, SF))
