@@ -8,7 +8,7 @@ from seqframe.functions.skew import lookup_join
 from seqframe.operators import alignments as al
 from seqframe.operators import counts as ct
 from seqframe.operators import coverage as cv
-from seqframe.operators import recalibrate, trim, variants
+from seqframe.operators import mapping, recalibrate, trim, variants
 from seqframe.plans import catalog  # noqa: F401
 from seqframe.plans.registry import QUERIES, Views
 from seqframe.sources import readers, sinks
@@ -108,3 +108,13 @@ def test_coding_changes_are_shuffled_by_place_alone(spark, monkeypatch):
 def test_pileups_make_their_reads_once(spark):
     # dealing by ranges reads its input twice
     assert "doc_id" not in plan(QUERIES["pileup"](spark, SF))
+
+
+def test_placements_do_not_copy_the_reference(spark, monkeypatch):
+    letters = spark.createDataFrame([("ACGT", "ACGT"), ("ACNT", "ACNT"), ("ACGT", "AGGA"), ("ACGT", "ACG")], "a string, b string")
+    assert [r[0] for r in letters.select(mapping._mismatches(F.col("a"), F.col("b"))).collect()] == [0, 1, 2, 1]
+    salts = []
+    monkeypatch.setattr(mapping, "lookup_join", lambda *a, **k: salts.append(k.get("salts")) or lookup_join(*a, **k))
+    reference = spark.createDataFrame([("c", 0, "ACGTTGCATCGATCGGATCA" * 3)], "chrom string, start0 long, bases string")
+    mapping.placements(spark.createDataFrame([("TTGCATCGATCGGATCAACG",)], "seq string"), reference, 8, 1, 1000, 32)
+    assert salts == [1, 1]
