@@ -431,33 +431,54 @@ def _report_path(path: Column) -> Column:
     return F.when(is_part, F.slice(names, F.lit(1), F.size(names) - 1)).otherwise(names)
 
 
-def _reports(spark: SparkSession, path: str, name: str) -> DataFrame:
+#: What stands before the name of each report but the first of a file of collected reports.
+NEXT_REPORT = "\n==> "
+
+
+def _collected(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file and value of every line of reports collected in few text files, as ``tail -n +1`` prints them.
+
+    Each report follows a line ``==> name <==``. A report is one record of the scan, so a file of many is cut like any other.
+    """
+    records = spark.read.option("lineSep", NEXT_REPORT).text(path)
+    name = F.regexp_extract("value", r"^(?:==> )?([^\n]+?) <==\r?(?:\n|$)", 1)
+    lines = F.split(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\r?\n")
+    return records.select(name.alias("file"), F.explode(lines).alias("value")).filter(F.col("file") != "")
+
+
+def _reports(spark: SparkSession, path: str, name: str, collected: bool) -> DataFrame:
     """sample_id (folder name without a report suffix) and value of all reports called ``name``."""
-    folder = F.element_at(_report_path(F.col("_metadata.file_path")), -2)
-    return spark.read.text(f"{path}/*/*{name}").select(
-        F.regexp_replace(folder, r"_fastqc$", "").alias("sample_id"), "value"
-    )
+    if collected:
+        rows = _collected(spark, path).filter(F.col("file").endswith(name))
+    else:
+        rows = spark.read.text(f"{path}/*/*{name}").select(F.col("_metadata.file_path").alias("file"), "value")
+    folder = F.try_element_at(_report_path(F.col("file")), F.lit(-2))
+    return rows.select(F.regexp_replace(folder, r"_fastqc$", "").alias("sample_id"), "value")
 
 
-def read_qc_reports(spark: SparkSession, path: str) -> DataFrame:
-    """sample_id, module, status from every summary.txt in the folders (one per sample) of ``path``."""
+def read_qc_reports(spark: SparkSession, path: str, collected: bool = False) -> DataFrame:
+    """sample_id, module, status from every summary.txt in the folders (one per sample) of ``path``, or of those ``collected`` in text files."""
     c = F.split("value", "\t")
-    rows = _reports(spark, path, "summary.txt")
+    rows = _reports(spark, path, "summary.txt", collected)
     rows = rows.select("sample_id", F.get(c, F.lit(1)).alias("module"), F.get(c, F.lit(0)).alias("status"))
     return rows.filter(F.col("status").isin("PASS", "WARN", "FAIL"))
 
 
-def read_qc_lengths(spark: SparkSession, path: str) -> DataFrame:
+def read_qc_lengths(spark: SparkSession, path: str, collected: bool = False) -> DataFrame:
     """sample_id, read_length (upper bound, NULL if absent) from every fastqc_data.txt."""
     upper = F.regexp_extract("value", r"^Sequence length\t(?:\d+-)?(\d+)$", 1)
-    rows = _reports(spark, path, "fastqc_data.txt")
+    rows = _reports(spark, path, "fastqc_data.txt", collected)
     return rows.groupBy("sample_id").agg(F.max(F.nullif(upper, F.lit("")).cast("int")).alias("read_length"))
 
 
-def read_aligner_logs(spark: SparkSession, path: str) -> DataFrame:
-    """sample_id (log name up to its first dot) and mapping_rate; 0.0 where a log names none."""
+def read_aligner_logs(spark: SparkSession, path: str, collected: bool = False) -> DataFrame:
+    """sample_id (log name up to its first dot) and mapping_rate; 0.0 where a log names none.
+
+    Files of many samples are dear to list: logs ``collected`` in few text files, as ``tail -n +1 *.log`` prints them, are read in one scan.
+    """
     pattern = r"([0-9]+(?:\.[0-9]+)?)% overall alignment rate"
     rate = F.nullif(F.regexp_extract("value", pattern, 1), F.lit("")).cast("double")
-    name = F.element_at(_report_path(F.col("_metadata.file_path")), -1)
-    rows = spark.read.text(f"{path}/*").select(F.split_part(name, F.lit("."), F.lit(1)).alias("sample_id"), rate.alias("rate"))
+    lines = _collected(spark, path) if collected else spark.read.text(f"{path}/*").select(F.col("_metadata.file_path").alias("file"), "value")
+    name = F.element_at(_report_path(F.col("file")), -1)
+    rows = lines.select(F.split_part(name, F.lit("."), F.lit(1)).alias("sample_id"), rate.alias("rate"))
     return rows.groupBy("sample_id").agg(F.coalesce(F.max("rate"), F.lit(0.0)).alias("mapping_rate"))

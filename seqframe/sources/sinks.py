@@ -112,3 +112,9 @@ def write_run(table: DataFrame, base: str, run_id: str, stage: str) -> None:
 def write_summary_json(record: DataFrame, path: str) -> None:
     """One JSON line per run."""
     record.write.mode("overwrite").json(path)
+
+
+def write_collected(reports: DataFrame, path: str) -> None:
+    """Many short reports (name, value) as few text files, one after the other as ``tail -n +1`` prints them."""
+    text = F.concat(F.lit("==> "), "name", F.lit(" <==\n"), "value", F.lit("\n"))
+    reports.select(text.alias("value")).write.mode("overwrite").text(path)

@@ -207,3 +207,31 @@ def test_pairs_against_their_definition(spark):
     """All pairs of the smallest test tables: flags, places, mates, lengths and qualities as SQL defines them."""
     sf = "/root/testdata/sf0.001"
     assert not compare(spark, connect(sf), sf, "map_pairs", QUERIES["map_pairs"], PAIRS_SQL)[0]
+
+
+def test_collected_reports_are_cut_anywhere(spark, tmp_path):
+    """Reports of many samples in one text file, read in splits that cut reports, names and what stands between them."""
+    logs = [f"==> logs/U{i}.log <==\n10 reads; of these:\n" + (f"{i}.25% overall alignment rate\n" if i % 4 else "no rate\n") for i in range(90)]
+    (tmp_path / "logs.txt").write_text("\n".join(logs))
+    reports = [f"==> U{i}_fastqc/summary.txt <==\nPASS\tA\tx\r\nFAIL\tB\tx\n\n==> U{i}_fastqc/fastqc_data.txt <==\nSequence length\t20-{i}\n" for i in range(90)]
+    (tmp_path / "qc.txt").write_text("\n".join(reports))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (37, 64, 1000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rates = readers.read_aligner_logs(spark, str(tmp_path / "logs.txt"), collected=True).collect()
+            assert {r["sample_id"]: r["mapping_rate"] for r in rates} == {f"U{i}": i + 0.25 if i % 4 else 0.0 for i in range(90)}
+            status = readers.read_qc_reports(spark, str(tmp_path / "qc.txt"), collected=True).collect()
+            assert sorted(tuple(r) for r in status) == sorted((f"U{i}", m, s) for i in range(90) for m, s in (("A", "PASS"), ("B", "FAIL")))
+            lengths = readers.read_qc_lengths(spark, str(tmp_path / "qc.txt"), collected=True).collect()
+            assert {r["sample_id"]: r["read_length"] for r in lengths} == {f"U{i}": i for i in range(90)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_reports_of_many_samples_are_few_files(spark, tmp_path, monkeypatch):
+    """Files that grow with the samples take the scan longer to list than to read."""
+    for name in ("read_aligner_logs", "read_qc_reports"):
+        monkeypatch.setattr("seqframe.plans.source_queries.shared_dir", lambda s, n=name: str(tmp_path / n))
+        samples = QUERIES[name](spark, "/root/testdata/sf0.01").select("sample_id").distinct().count()
+        assert len(list((tmp_path / name).rglob("part-*"))) < 50 < samples
