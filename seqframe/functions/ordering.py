@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqframe.functions.scratch import materialize
 from seqframe.functions.skew import lookup_join
 
 
@@ -68,10 +69,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 def bh_adjust(df: DataFrame, p: str = "pvalue", by: Sequence[str] = (), out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within ``by``; a NULL p stays NULL and is not counted.
 
-    ``df`` is read several times; hand in a stored table if it is dear to compute.
+    ``df`` is stored first unless :func:`materialize` gave it: its p-values are joined with themselves, and sums of doubles that
+    are computed twice may differ in their last digit.
     """
     by = list(by)
     scope = by or ["_all"]
+    df = df if getattr(df, "_scratch_path", None) else materialize(df)
     rows = df if by else df.withColumn("_all", F.lit(0))
     counts = value_counts(rows, scope, p)
     bucket = float_bucket(F.col(p))
