@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.quality import encode_phred33
+from seqframe.functions.scratch import materialize
 from seqframe.operators.alignments import linear_index
 
 #: Folder of the linear index below stored alignments.
@@ -62,11 +63,13 @@ def write_vcf(calls: DataFrame, contigs: DataFrame, path: str, compression: str
     """VCF text of each sample in the folder ``sample_id=``: header first, then sites in contig order, all alternatives of a site in one row.
 
     ``calls`` as :func:`~seqframe.operators.pileup.call_variants` gives them; ``contigs`` has chrom and contig_idx. One job,
-    range-partitioned, so the part files of a sample in name order are its VCF.
+    range-partitioned, so the part files of a sample in name order are its VCF. The calls are stored before: the header, the rows
+    and the ranges are each found from them.
     """
+    calls, contigs = materialize(calls), materialize(contigs.select("chrom", "contig_idx"))
     ads = F.sort_array(F.collect_list(F.struct("alt", F.col("ad_alt").cast("string").alias("ad"))))  # one to three alternatives
     sites = calls.groupBy("sample_id", "chrom", "pos", "ref", "alts", "qual", "gt", "dp", "ad_ref").agg(ads.alias("a"))
-    sites = sites.join(contigs.select("chrom", "contig_idx"), "chrom", "left")
+    sites = sites.join(contigs, "chrom", "left")
     depth = F.concat_ws(",", F.col("ad_ref").cast("string"), F.col("a.ad"))
     columns = ["chrom", F.col("pos").cast("string"), F.lit("."), "ref", "alts", F.format_string("%.2f", F.round("qual", 2)), F.lit("PASS"), F.concat(F.lit("DP="), "dp"), F.lit("GT:DP:AD")]
     rows = sites.select("sample_id", F.coalesce("contig_idx", F.lit(2147483647)).alias("k"), "chrom", "pos", F.concat_ws("\t", *columns, F.concat_ws(":", "gt", F.col("dp").cast("string"), depth)).alias("value"))

@@ -95,6 +95,31 @@ def test_calls_of_two_alternatives(spark):
     assert {r["gt"] for r in pileup.call_variants(piles_of(spark, sites[2:3]), ref, 10, ploidy=1).collect()} == {"1"}
 
 
+def test_genotypes_are_weighed_once(spark):
+    """Each likelihood is rounded once and not again in every expression that reads it; QUAL bounds leave out no call."""
+    ref = spark.createDataFrame([("c", 0, "AAAAAAAAAA")], "chrom string, start0 bigint, bases string")
+    sites = [("S", 1, {"A": [1]}), ("S", 2, {"A": [30] * 5}), ("S", 3, {"A": [30] * 5, "C": [30] * 5}), ("S", 4, {"A": [30] * 30, "C": [12] * 2})]
+    calls = pileup.call_variants(piles_of(spark, sites), ref, 10)
+    assert calls._jdf.queryExecution().optimizedPlan().toString().count("round(") == 10
+    every = pileup.call_variants(piles_of(spark, sites), ref, 10, min_qual=-1000.0).collect()
+    assert sorted(map(str, calls.collect())) == sorted(str(r) for r in every if r["qual"] >= 20) != []
+
+
+def test_calls_are_made_once_for_a_vcf(spark, tmp_path):
+    """Header, ranges and rows come from stored calls."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    ref = spark.createDataFrame([("c", 0, "AAAAAAAAAA")], "chrom string, start0 bigint, bases string")
+    calls = pileup.call_variants(piles_of(spark, [("S", p, {"C": [30] * 10}) for p in range(1, 9)]), ref, 10)
+    sinks.write_vcf(calls.mapInArrow(count, calls.schema), spark.createDataFrame([("c", 0)], "chrom string, contig_idx int"), str(tmp_path))
+    assert seen.value == 8
+
+
 def test_vcf_of_many_samples(spark, tmp_path):
     ref = spark.createDataFrame([("c", 0, "AAAAAAAAAA")], "chrom string, start0 bigint, bases string")
     sites = [(s, p, {"C": [30] * 10, "G": [30] * 9}) for s in ("S 1", "T+2") for p in (9, 2)]
