@@ -260,3 +260,40 @@ def test_reports_of_many_samples_are_few_files(spark, tmp_path, monkeypatch):
         monkeypatch.setattr("seqframe.plans.source_queries.shared_dir", lambda s, n=name: str(tmp_path / n))
         samples = QUERIES[name](spark, "/root/testdata/sf0.01").select("sample_id").distinct().count()
         assert len(list((tmp_path / name).rglob("part-*"))) < 50 < samples
+
+
+def test_part_files_of_a_folder_are_one_file(spark, tmp_path):
+    """Records numbered over parts, some of which cut a record, and a SAM header in another part than the rows."""
+    lines = [x for i in range(50) for x in (f"@r{i}", "ACGT"[: i % 4 + 1], "+", "IIII"[: i % 4 + 1])]
+    (tmp_path / "R1").mkdir()
+    for k, at in enumerate(range(0, 200, 22)):
+        (tmp_path / "R1" / f"part-{k:05}.txt").write_text("".join(x + "\n" for x in lines[at : at + 22]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (29, 100_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = readers.read_fastq(spark, str(tmp_path / "R1"), "S", parts=True).select("read_idx", "read_id", "seq").collect()
+            assert sorted(map(tuple, got)) == [(i, f"r{i}", "ACGT"[: i % 4 + 1]) for i in range(50)]
+            pairs_ = readers.read_fastq_pairs(spark, str(tmp_path / "R1"), str(tmp_path / "R1"), "S", parts=True)
+            assert pairs_.count() == 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "x.sam").mkdir()
+    (tmp_path / "x.sam" / "part-00000.txt").write_text("@SQ\tSN:c2\tLN:7\n@SQ\tSN:c1\tLN:9\n@RG\tID:g\tSM:T\tLB:l\n")
+    (tmp_path / "x.sam" / "part-00001.txt").write_text("@SQ\tSN:c0\tLN:5\nq1\t0\tc1\t5\t9\t4M\t*\t0\t0\t*\t*\tRG:Z:g\nq2\t0\tc1\t5\t9\t4M\t*\t0\t0\t*\t*\n")
+    rows = readers.read_sam(spark, str(tmp_path / "x.sam")).select("qname", "sample_id", "library").collect()
+    assert sorted(map(tuple, rows)) == [("q1", "T", "l"), ("q2", "x", None)]
+    contigs = readers.read_sam_contigs(spark, str(tmp_path / "x.sam")).collect()
+    assert sorted((r["contig_idx"], r["chrom"], r["length"]) for r in contigs) == [(0, "c2", 7), (1, "c1", 9), (2, "c0", 5)]
+
+
+def test_no_task_writes_or_numbers_a_whole_file(spark, tmp_path, monkeypatch):
+    for name in ("read_fastq", "read_sam_duplicates", "read_sam_contigs"):
+        monkeypatch.setattr("seqframe.plans.source_queries.shared_dir", lambda s, n=name: str(tmp_path / n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            out = QUERIES[name](spark, "/root/testdata/sf0.001")
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        parts = {p.name.split("-")[1] for p in (tmp_path / name).rglob("part-*.txt")}
+        assert len(parts) > 4 and out.count()
