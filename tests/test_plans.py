@@ -38,6 +38,14 @@ def test_trimming_needs_no_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(trim.trim_reads(reads))
 
 
+def test_trimming_takes_the_window_apart_once_a_read(spark):
+    reads = spark.createDataFrame([("S", 1, 0, "r", "ACGT", [30, 30, 2, 2])], "sample_id string, mate int, read_idx bigint, read_id string, seq string, quals array<int>")
+    params = spark.createDataFrame([("S", 3, 3, "4:20", 36)], "sample_id string, leading_q int, trailing_q int, sliding string, min_len int")
+    text = trim.trim_reads(reads, params)._jdf.queryExecution().optimizedPlan().toString()
+    searches = [line for line in text.splitlines() if "aggregate(" in line]
+    assert searches and not any("sliding" in line for line in searches)
+
+
 def test_no_nested_loops_or_cross_products_in_interval_work(spark):
     v = Views(spark, SF)
     rows = v("alignments")
