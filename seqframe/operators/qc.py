@@ -8,9 +8,12 @@ length and quality range, not on the number of reads.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,19 +75,86 @@ def read_count(reads: DataFrame) -> DataFrame:
     )
 
 
+#: Bases that a task counts at a time.
+BASES_AT_ONCE = 1 << 20
+
+
+def _count_bases():
+    """Batches of sample_id, seq and quals to counts by sample, position, quality and base of up to ``BASES_AT_ONCE`` bases."""
+    names = ["sample_id", "pos", "q", "n", "n_a", "n_c", "n_g", "n_t", "n_n"]
+    most = BASES_AT_ONCE
+    code = np.full(128, 5)
+    code[[ord(b) for b in "ACGTN"]] = range(5)
+
+    def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Qualities (and which of them are there) of all lists, one after the other."""
+        values = lists.flatten()
+        return pc.fill_null(values, 0).to_numpy(zero_copy_only=False).astype(np.int64), pc.is_valid(values).to_numpy(zero_copy_only=False)
+
+    def count(part: pa.RecordBatch) -> pa.RecordBatch:
+        samples = part.column(0).dictionary_encode()
+        sample = pc.fill_null(samples.indices, len(samples.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = part.column(1).to_pylist()
+        letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        bases = np.array([len(t) for t in texts], np.int64)
+        q, there = flat(part.column(2))
+        given = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.maximum(bases, given)  # the shorter of both ends in NULLs
+        row = np.repeat(np.arange(len(size)), size)
+        pos = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+
+        def at(length: np.ndarray, values: np.ndarray, missing) -> np.ndarray:
+            out = np.full(len(row), missing, values.dtype)
+            out[pos < length[row]] = values
+            return out
+
+        base = at(bases, np.where(letters < 128, code[np.minimum(letters, 127)], 5), 5)
+        low, high = (int(q[there].min()), int(q[there].max())) if there.any() else (0, 0)
+        level = np.where(at(given, there, False), at(given, q - low, 0), high - low + 1)
+        levels, places = high - low + 2, int(size.max(initial=0))
+        key = (sample[row] * places + pos) * levels + level
+        cells = (len(samples.dictionary) + 1) * places * levels
+        if cells <= 4 * most:
+            keys = np.arange(cells)
+        else:  # a few very long reads, or qualities far apart
+            keys, key = np.unique(key, return_inverse=True)
+        n = np.bincount(key * 6 + base, minlength=6 * len(keys)).reshape(-1, 6)
+        seen = np.flatnonzero(n.any(axis=1))
+        keys, n = keys[seen], n[seen]
+        q_of = keys % levels
+        columns = [samples.dictionary.take(pa.array(keys // levels // max(places, 1), mask=keys // levels // max(places, 1) == len(samples.dictionary)))]
+        columns += [pa.array((keys // levels % max(places, 1) + 1).astype(np.int32)), pa.array((q_of + low).astype(np.int32), mask=q_of == levels - 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n.sum(axis=1)), *[pa.array(n[:, k]) for k in range(5)]], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(np.maximum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+                yield count(batch.slice(at, to - at))
+                at = to
+
+    return run
+
+
 def base_profile(reads: DataFrame) -> DataFrame:
-    """sample_id, pos (1-based), q -> bases seen and how many are A, C, G, T, N."""
-    bases = reads.select(
-        "sample_id",
-        F.posexplode(F.arrays_zip(F.split("seq", "").alias("base"), F.col("quals").alias("q"))).alias("p", "b"),
-    ).select("sample_id", (F.col("p") + 1).alias("pos"), F.col("b.q").alias("q"), F.col("b.base").alias("base"))
-    return bases.groupBy("sample_id", "pos", "q").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("base") == b).alias(f"n_{b.lower()}") for b in "ACGTN"]
-    )
+    """sample_id, pos (1-based), q -> bases seen and how many are A, C, G, T, N.
+
+    Tasks count the bases of a batch of reads before Spark adds the counts up, so no row is made for a base.
+    """
+    sums = ["n", *[f"n_{b}" for b in "acgtn"]]
+    whole = reads.filter(F.col("seq").isNotNull() & F.col("quals").isNotNull())
+    rows = whole.select("sample_id", "seq", F.col("quals").cast("array<int>").alias("quals"))
+    parts = rows.mapInArrow(_count_bases(), "sample_id string, pos int, q int, " + ", ".join(f"{c} long" for c in sums))
+    return parts.groupBy("sample_id", "pos", "q").agg(*[F.sum(c).alias(c) for c in sums])
+
 
+def read_profile(reads: DataFrame, quality: bool = True) -> DataFrame:
+    """sample_id, length, mean quality (rounded down), GC % (nearest) -> reads, GC bases.
 
-def read_profile(reads: DataFrame) -> DataFrame:
-    """sample_id, length, mean quality (rounded down), GC % (nearest) -> reads, GC bases."""
+    Without ``quality`` there is no mean quality, and the qualities are not read.
+    """
     size = F.length("seq")
     called = _letters(F.col("seq"), "ACGT")
     gc = _letters(F.col("seq"), "GC")
@@ -93,12 +163,12 @@ def read_profile(reads: DataFrame) -> DataFrame:
         size.alias("length"),
         gc.alias("gc"),
         called.alias("called"),
-        F.aggregate("quals", F.lit(0), lambda a, q: a + q).alias("qsum"),
+        *([F.aggregate("quals", F.lit(0), lambda a, q: a + q).alias("qsum")] if quality else []),
     )
     return per_read.groupBy(
         "sample_id",
         "length",
-        F.expr("case when length > 0 then cast(qsum div length as int) end").alias("mean_q"),
+        *([F.expr("case when length > 0 then cast(qsum div length as int) end").alias("mean_q")] if quality else []),
         F.expr("case when called > 0 then cast((200 * gc + called) div (2 * called) as int) end").alias("gc_pct"),
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("gc").alias("gc"), F.sum("called").alias("called"))
 
@@ -297,11 +367,31 @@ def adapter_content(reads: DataFrame, adapters: Mapping[str, str] = ADAPTERS) ->
     )
 
 
+def _read_sums() -> Column:
+    """Called bases, G and C, and the sum of qualities of each read, a batch of reads at a time."""
+    called, gc = (np.isin(np.arange(256), list(letters)).astype(np.int64) for letters in (b"ACGT", b"GC"))
+
+    def sums(seq: pa.Array, quals: pa.Array) -> pa.Array:
+        def within(values: np.ndarray, length: pa.Array) -> np.ndarray:
+            end = np.cumsum(pc.fill_null(length, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            total = np.r_[0, np.cumsum(values)]
+            return total[end] - total[np.r_[0, end[:-1]]]
+
+        text, size = np.frombuffer("".join(t or "" for t in seq.to_pylist()).encode(), np.uint8), pc.binary_length(seq)
+        none, q, sizes = pc.is_null(seq).to_numpy(zero_copy_only=False), quals.flatten(), pc.list_value_length(quals)
+        gaps = within(pc.is_null(q).to_numpy(zero_copy_only=False).astype(np.int64), sizes) > 0
+        qsum = within(pc.fill_null(q, 0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+        unknown = gaps | pc.is_null(quals).to_numpy(zero_copy_only=False)
+        columns = [pa.array(within(called[text], size), mask=none), pa.array(within(gc[text], size), mask=none), pa.array(qsum, mask=unknown)]
+        return pa.StructArray.from_arrays(columns, ["called", "gc", "qsum"])
+
+    return F.arrow_udf(sums, "called long, gc long, qsum long")(F.col("seq"), F.col("quals").cast("array<int>"))
+
+
 def read_numbers(reads: DataFrame, adapters: Mapping[str, str]) -> DataFrame:
     """Histograms of everything known from one read alone, in one scan: sample_id, kind, value -> n."""
     size = F.length("seq")
-    called, gc = _letters(F.col("seq"), "ACGT"), _letters(F.col("seq"), "GC")
-    qsum = F.aggregate("quals", F.lit(0), lambda a, q: a + q)
+    called, gc, qsum = F.col("sums.called"), F.col("sums.gc"), F.col("sums.qsum")
     facts = {
         "length": size,
         "mean_q": F.floor(qsum / F.nullif(size, F.lit(0))).cast("int"),
@@ -310,7 +400,8 @@ def read_numbers(reads: DataFrame, adapters: Mapping[str, str]) -> DataFrame:
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in facts.items()])
     return (
-        reads.select("sample_id", F.inline(pairs))
+        reads.select("sample_id", "seq", _read_sums().alias("sums"))
+        .select("sample_id", F.inline(pairs))
         .filter(F.col("value").isNotNull())
         .groupBy("sample_id", "kind", "value")
         .agg(F.count(F.lit(1)).alias("n"))
