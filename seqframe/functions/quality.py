@@ -1,7 +1,9 @@
-"""Base qualities and trimming positions as column expressions (no Python per row)."""
+"""Base qualities and trimming positions as column expressions (no Python per row; qualities become text a batch at a time)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,7 +13,25 @@ def decode_phred33(text: Column) -> Column:
 
 
 def encode_phred33(quals: Column) -> Column:
-    return F.array_join(F.transform(quals, lambda q: F.char(q + 33)), "")
+    """One character a quality, as ``char`` gives it; NULLs are left out."""
+
+    def encode(lists: pa.Array) -> pa.Array:
+        values = lists.flatten()
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        none = lists.is_null().to_numpy(zero_copy_only=False)
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        code = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 33
+        text = np.where(code < 0, 0, code % 256)
+        width = np.where(there & (code >= 0), 1 + (text > 127), 0)
+        ends = np.r_[0, np.cumsum(width)][np.r_[0, np.cumsum(size)]]
+        if (width == 1).all():
+            data = text.astype(np.uint8).tobytes()
+        else:
+            data = "".join(map(chr, text[width > 0].tolist())).encode()
+        out = pa.StringArray.from_buffers(len(lists), pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data))
+        return pa.array([None if n else t for n, t in zip(none.tolist(), out.to_pylist())], pa.string()) if none.any() else out
+
+    return F.arrow_udf(encode, "string")(quals.cast("array<int>"))
 
 
 def first_at_least(quals: Column, q: Column) -> Column:

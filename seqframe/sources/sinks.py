@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqframe.functions.quality import encode_phred33
-from seqframe.functions.scratch import materialize
+from seqframe.functions.scratch import discard, materialize
 from seqframe.operators.alignments import linear_index
 
 #: Folder of the linear index below stored alignments.
@@ -27,14 +27,17 @@ def write_fastq(reads: DataFrame, path: str, compression: str = "gzip", partitio
     """Records in read order, in one folder ``sample_id=/lane=/mate=/fate=`` each; a column that ``reads`` lacks has one value there.
 
     One job, range-partitioned by folder and read: a large sample is spread over part files, whose name order is the order of
-    the records, and samples of any number are written side by side.
+    the records, and samples of any number are written side by side. Records are made and stored before they are dealt: they are shorter
+    than their arrays of qualities, and finding the ranges reads them once more.
     """
     levels = {c: F.coalesce(F.col(c).cast("string"), F.lit(str(v))) if c in reads.columns else F.lit(str(v)) for c, v in FASTQ_LEVELS.items()}
     order = [*FASTQ_LEVELS, "read_idx", "read_id"]
-    rows = reads.select("read_idx", "read_id", "seq", "quals", *[c.alias(k) for k, c in levels.items()])
-    rows = rows.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
-    text = rows.select(_fastq_text(rows), *FASTQ_LEVELS)
+    rows = reads.select("read_idx", "read_id", _fastq_text(reads), *[c.alias(k) for k, c in levels.items()])
+    records = materialize(rows)
+    rows = records.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    text = rows.select("value", *FASTQ_LEVELS)
     text.write.mode("overwrite").option("compression", compression).partitionBy(*FASTQ_LEVELS).text(path)
+    discard(records)
 
 
 def write_fastq_pairs(fated: DataFrame, path: str, compression: str = "gzip") -> None:

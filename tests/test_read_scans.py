@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import seqframe.plans.catalog  # noqa: F401  (registers every query)
 from seqframe.fixtures import view
+from seqframe.functions.quality import encode_phred33
 from seqframe.operators import qc
 from seqframe.plans.registry import QUERIES
 from seqframe.schemas import READS
+from seqframe.sources import sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +79,22 @@ def test_flags_and_summary_take_the_documents_apart_once(spark):
     for name in ("qc_flags", "qc_sample_verdict", "qc_summary"):
         assert "documents.parquet" not in plan_of(QUERIES[name](spark, SF)), name
         assert "posexplode" not in plan_of(QUERIES[name](spark, SF)), name
+
+
+def test_encoded_qualities_are_those_of_char(spark):
+    rows = [([0, 40, 93, 94, 200, 222, 223, 300, -33, -40, None, 5],), (None,), ([],), ([None],), ([2, 3],)] * 3
+    quals = spark.createDataFrame(rows, "quals array<int>").repartition(2)
+    by_char = F.array_join(F.transform("quals", lambda q: F.char(q + 33)), "")
+    out = quals.select(encode_phred33(F.col("quals")).alias("a"), by_char.alias("b")).collect()
+    assert len(out) == 15 and all(r.a == r.b for r in out), [(r.a, r.b) for r in out]
+
+
+def test_fastq_records_are_text_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    """No array of qualities goes through the shuffle."""
+    dealt = []
+    frame = type(spark.range(1))
+    keep = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *a: dealt.append(df.columns) or keep(df, *a))
+    sinks.write_fastq(spark.createDataFrame([("a", 1, i, f"r{i}", "ACGT", [2, 40, 40, 2]) for i in range(9)], READS), str(tmp_path), compression="none")
+    assert dealt and all("quals" not in c for c in dealt)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/*/*/*/*").limit(4).collect()] == ["@r0", "ACGT", "+", "#II#"]
