@@ -321,7 +321,11 @@ def fit_pairs(encoded: DataFrame, unigrams: Unigrams, tokens: int) -> Model:
 
 
 def score(model: Model, encoded: DataFrame) -> DataFrame:
-    """(rid, score): the log10 probability of each encoded text."""
+    """(rid, score): the log10 probability of each encoded text.
+
+    A bucket answers a run of texts by one row of arrays, and the rows of a run meet in one group of at most as many numbers as
+    the run has tokens and texts: a row for each text and bucket would grow with the product of both.
+    """
     spark = encoded.sparkSession
     v, buckets, hot, factor, unigrams = model.unigrams.v, model.buckets, model.hot, model.factor, model.unigrams
     total = max(1, unigrams.n)
@@ -385,12 +389,11 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
         totals, alphas = np.r_[totals, hots["total"].to_numpy(np.int64), 1], np.r_[alphas, hots["alpha"].to_numpy(float), 1.0]
         by = np.argsort(histories)
         histories, totals, alphas = histories[by], totals[by], alphas[by]
-        rids, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+        docs_of, values = [], []
         for k in range(asked.num_rows):
-            rid = asked.column("rid")[k].as_py()
             done = np.asarray(asked.column("sums")[k].values)
             if len(done):
-                rids.append(rid + np.arange(len(done)))
+                docs_of.append(np.arange(len(done)))
                 values.append(done)
                 continue
             want = np.asarray(asked.column("h")[k].values).astype(np.int64) * (v + 2) + np.asarray(asked.column("w")[k].values)
@@ -404,16 +407,26 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
             value = np.repeat(np.log10(p), np.asarray(asked.column("ns")[k].values))
             docs = np.asarray(asked.column("docs")[k].values).astype(np.int64)
             used = np.unique(docs)
-            rids.append(rid + used)
+            docs_of.append(used)
             values.append(np.bincount(docs, weights=value)[used])
-        return pa.Table.from_arrays([pa.array(np.concatenate(rids)), pa.array(np.concatenate(values))], ["rid", "score"])
+        if not asked.num_rows:  # a bucket that no text asks
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int16())), pa.array([], pa.list_(pa.float64()))], ["rid", "docs", "part"])
+        offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in values])].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.concatenate(docs_of).astype(np.int16), np.concatenate(values))]
+        return pa.Table.from_arrays([asked.column("rid").combine_chunks().cast(pa.int64()), *lists], ["rid", "docs", "part"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        """The sums of the texts of one run of :func:`_flushes`, whose number in the run is ``docs``."""
+        docs, part = _flat(parts, "docs"), np.concatenate([np.asarray(c.flatten()) for c in parts.column("part").chunks])
+        total = np.bincount(docs, weights=part)  # every text of the run is in the row of its held pairs
+        return pa.table({"rid": parts.column("rid")[0].as_py() + np.arange(len(total)), "score": total})
 
     asked = encoded.select("rid", "ids").mapInArrow(ask, f"bucket long, rid long, h array<{name}>, w array<{name}>, ns array<int>, docs array<short>, sums array<double>")
     weights = model.backoff.where((F.col("h") >= hot) & (F.col("h") <= v)).groupBy("bucket").agg(F.collect_list(F.struct("h", "total", "alpha")).alias("x"))
     weights = weights.select("bucket", F.col("x.h").alias("own"), F.col("x.total").alias("total"), F.col("x.alpha").alias("alpha"))
     known = model.pairs.select("bucket", "h", "w", "n").unionByName(weights, allowMissingColumns=True)
-    found = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "rid long, score double")
-    return found.groupBy("rid").agg(F.sum("score").alias("score"))
+    found = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "rid long, docs array<short>, part array<double>")
+    return found.groupBy("rid").applyInArrow(add, "rid long, score double")
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

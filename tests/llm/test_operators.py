@@ -374,3 +374,13 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, weights={"src0": 0})
+
+
+def test_katz_answers_are_one_row_a_run_and_bucket(spark, docs, monkeypatch):
+    """Not one a text and bucket, whose number grows with the product of both."""
+    monkeypatch.setattr(katz, "PER_BUCKET", 200)
+    made = katz.score_texts(docs, F.expr("doc_id % 7 <> 2"))
+    assert made.count() == docs.count()
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    answer = next(line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line)
+    assert re.search(r"\[rid#\d+L, docs#\d+, part#\d+\]", answer), answer
