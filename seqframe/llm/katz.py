@@ -32,6 +32,9 @@ FREQUENT, HOT = 1 << 20, 1 << 16
 #: Tokens that a task sorts at a time, and tokens for each bucket of the pair table.
 FLUSH, PER_BUCKET = 1_000_000, 1_000_000
 
+#: Bytes of text encoded at a time.
+BLOCK = 1_000_000
+
 #: Different counts a word may have: their number is at most the root of twice the tokens, and the driver holds them.
 MAX_LEVELS = 10_000_000
 
@@ -92,7 +95,7 @@ class Model:
     factor: np.ndarray  # of pairs
     buckets: int
     hot: int  # words below this number are histories spread over all buckets
-    pairs: DataFrame  # bucket, and arrays h, w, n ordered by h and w
+    pairs: DataFrame  # bucket, and arrays h, w, n ordered by h and w; oh, ow, on: those of the frequent pairs
     backoff: DataFrame  # bucket, h, total, alpha
 
 
@@ -184,7 +187,7 @@ def encode(rows: DataFrame, counted: DataFrame, table: DataFrame, unigrams: Unig
         w, number = w[order], known.column("id").to_numpy()[order]
         out = []
         column = texts.column("text").combine_chunks()
-        for a, b, buf, offsets in blocks(column):
+        for a, b, buf, offsets in blocks(column, BLOCK):
             tokens, to = _tokens(buf, offsets)
             at = np.minimum(np.searchsorted(w, tokens), max(len(w) - 1, 0))
             ids = np.where(w[at] == tokens, number[at], uni.v) if len(w) else np.full(len(tokens), uni.v)
@@ -222,7 +225,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], most_rows: int, consecutive: boo
         rid = batch.column(0).to_numpy()
         lists = batch.column(1)
         offsets = np.asarray(lists.offsets).astype(np.int64)
-        ids = np.asarray(lists.flatten()).astype(np.int64)
+        ids = np.asarray(lists.flatten())
         offsets = offsets - offsets[0]
         at = 0
         while at < len(rid):
@@ -231,7 +234,7 @@ def _flushes(batches: Iterator[pa.RecordBatch], most_rows: int, consecutive: boo
             jump = np.flatnonzero(np.diff(rid[at:to]) != 1)
             if consecutive and len(jump):
                 to = at + int(jump[0]) + 1
-            yield int(rid[at]), ids[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+            yield int(rid[at]), ids[offsets[at] : offsets[to]].astype(np.int64), offsets[at : to + 1] - offsets[at]
             at = to
 
 
@@ -279,35 +282,32 @@ def fit_pairs(encoded: DataFrame, unigrams: Unigrams, tokens: int) -> Model:
         key, n = key[order], n[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         n, key = np.add.reduceat(n, first) if len(first) else n, key[first]
-        arrays = [pa.array([x], pa.list_(kind)) for x in ((key // (v + 2)).astype(number), (key % (v + 2)).astype(number), n)]
-        return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), *arrays], ["bucket", "h", "w", "n"]).cast(stored)
-
-    schema = f"bucket long, h array<{name}>, w array<{name}>, n array<long>"
-    stored = pa.schema([("bucket", pa.int64()), ("h", pa.list_(kind)), ("w", pa.list_(kind)), ("n", pa.list_(pa.int64()))])
-    partial = encoded.where("train").select("rid", "ids").mapInArrow(count, schema)
-    pairs = materialize(partial.groupBy("bucket").applyInArrow(add, schema), "zstd")
+        often = n > most / FREQUENT
+        arrays = [pa.array([x], pa.list_(of)) for pick in (slice(None), often) for x, of in (((key[pick] // (v + 2)).astype(number), kind), ((key[pick] % (v + 2)).astype(number), kind), (n[pick], pa.int64()))]
+        types = pa.array([np.bincount(n[n <= K + 1], minlength=K + 2)], pa.list_(pa.int64()))
+        return pa.Table.from_arrays([table.column("bucket").slice(0, 1).combine_chunks(), *arrays, types], ["bucket", "h", "w", "n", "oh", "ow", "on", "types"])
+
+    most = max(1, unigrams.n)
+    lists = f"bucket long, h array<{name}>, w array<{name}>, n array<long>"
+    partial = encoded.where("train").select("rid", "ids").mapInArrow(count, lists)
+    pairs = partial.groupBy("bucket").applyInArrow(add, f"{lists}, oh array<{name}>, ow array<{name}>, on array<long>, types array<long>")
+    pairs = materialize(pairs, "zstd")
     release(spark)
 
-    def types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(K + 2, np.int64)
-        for batch in batches:
-            n = np.asarray(batch.column(0).flatten())
-            seen += np.bincount(n[n <= K + 1], minlength=K + 2)
-        yield pa.RecordBatch.from_arrays([pa.array(range(K + 2)), pa.array(seen)], ["n", "types"])
-
     of = np.zeros(K + 2)
-    for r in pairs.select("n").mapInArrow(types, "n long, types long").groupBy("n").agg(F.sum("types").alias("types")).collect():
+    for r in pairs.select(F.posexplode("types").alias("n", "types")).groupBy("n").agg(F.sum("types").alias("types")).collect():
         of[r["n"]] = r["types"]
     factor = discounts(of)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w, n = (np.asarray(c.flatten()).astype(np.int64) for c in batch.columns[1:])
-            bucket = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(batch.column(1).offsets)))
-            d = np.where(n <= K, factor[np.minimum(n, K)], 1.0)
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])]) if len(h) else np.zeros(0, np.int64)
-            parts = [np.add.reduceat(x, first) if len(first) else x for x in (n, d * n, uni.value.probability(w))]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(h[first]), *map(pa.array, parts)], ["bucket", "h", "total", "kept", "lower"])
+            for k in range(batch.num_rows):  # a bucket at a time
+                h, w, n = (np.asarray(c[k].values).astype(np.int64) for c in batch.columns[1:])
+                d = np.where(n <= K, factor[np.minimum(n, K)], 1.0)
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                parts = [np.add.reduceat(x, first) if len(first) else x for x in (n, d * n, uni.value.probability(w))]
+                bucket = np.full(len(first), batch.column(0)[k].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(h[first]), *map(pa.array, parts)], ["bucket", "h", "total", "kept", "lower"])
 
     total = F.when(F.col("kept") < F.col("total"), F.col("total")).otherwise(F.col("total") + 1)  # always something left
     backoff = (
@@ -328,15 +328,8 @@ def score(model: Model, encoded: DataFrame) -> DataFrame:
     """
     spark = encoded.sparkSession
     v, buckets, hot, factor, unigrams = model.unigrams.v, model.buckets, model.hot, model.factor, model.unigrams
-    total = max(1, unigrams.n)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, w, n = (np.asarray(c.flatten()).astype(np.int64) for c in batch.columns)
-            pick = n > total / FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (h, w, n)], ["h", "w", "n"])
 
-    often = model.pairs.select("h", "w", "n").mapInArrow(frequent, "h long, w long, n long")
+    often = model.pairs.select(F.explode(F.arrays_zip("oh", "ow", "on")).alias("x")).select(F.col("x.oh").cast("long").alias("h"), F.col("x.ow").cast("long").alias("w"), F.col("x.on").alias("n"))
     often = often.join(model.backoff, "h").select("h", "w", "n", "total").toPandas()
     p = np.where(often["n"] <= K, factor[np.minimum(often["n"], K)], 1.0) * often["n"] / often["total"]
     key = often["h"].to_numpy(np.int64) * (v + 2) + often["w"].to_numpy(np.int64)

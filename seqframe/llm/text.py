@@ -38,7 +38,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers of the hash base and of its inverse modulo 2**64."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 2 * len(_powers), 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         _powers, _inverse = _geometric(_BASE, size), _geometric(pow(_BASE, -1, 2**64), size)
     return _powers, _inverse
 

@@ -9,11 +9,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from seqframe.functions.scratch import materialize
-from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, vectors, warc
+from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, text, vectors, warc
 from seqframe.llm.suffix import common_prefixes, suffix_array
 from seqframe.llm.text import grams, running, span_hash
 from tests.llm import brute
@@ -384,3 +385,22 @@ def test_katz_answers_are_one_row_a_run_and_bucket(spark, docs, monkeypatch):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     answer = next(line for line in plan.splitlines() if "FlatMapCoGroupsInArrow" in line)
     assert re.search(r"\[rid#\d+L, docs#\d+, part#\d+\]", answer), answer
+
+
+def test_hash_powers_grow_to_what_is_asked_for(monkeypatch):
+    """Not to twice what was there: blocks of slightly different sizes kept 64 MB a worker."""
+    for name in ("_powers", "_inverse"):
+        monkeypatch.setattr(text, name, np.ones(1, np.uint64))
+    for n in (2_000_001, 2_000_500, 2_090_000):
+        p, inv = text.powers(n)
+        assert n <= len(p) == len(inv) <= 1 << 21
+    assert (p[1:] == p[:-1] * p[1]).all() and (p * inv == 1).all()
+
+
+def test_katz_widens_words_a_run_at_a_time(monkeypatch):
+    """Word numbers of a batch stay as narrow as they are stored, but for the run at hand."""
+    monkeypatch.setattr(katz, "FLUSH", 1000)
+    ids = pa.array([list(range(k, k + 500)) for k in range(100)], pa.list_(pa.int32()))
+    runs = list(katz._flushes(iter([pa.RecordBatch.from_arrays([pa.array(range(100)), ids], ["rid", "ids"])]), 1 << 30))
+    assert [r[0] for r in runs] == list(range(0, 100, 2)) and all(r[1].base is None and len(r[1]) == 1000 for r in runs)
+    assert np.array_equal(np.concatenate([r[1] for r in runs]), np.asarray(ids.flatten()).astype(np.int64))
