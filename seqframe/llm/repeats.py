@@ -2,8 +2,8 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts earlier: in a smaller id, or before it in the
 same text. Equal strings hold the same smallest ``GRAM``-byte hash at the same place (their anchor), so all of them are
-among the neighbourhoods of one anchor hash. Neighbourhoods whose hash occurs again are sorted by suffix array, shard by shard,
-and common prefixes of at least ``LENGTH`` bytes give the classes of equal strings; of each class the earliest stays.
+among the neighbourhoods of one anchor hash. Neighbourhoods whose hash occurs again are sorted by suffix array, shard by shard, to the
+depth of ``LENGTH`` bytes, which gives the classes of equal strings; of each class the earliest stays.
 """
 
 from __future__ import annotations
@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqframe.functions.scratch import materialize, release
-from seqframe.llm.suffix import common_prefixes, suffix_array
-from seqframe.llm.text import blocks, mix, row_of, running, sliding_min, span_hash
+from seqframe.llm.suffix import shared_suffixes
+from seqframe.llm.text import blocks, mix, row_of, running, sliding_min, span_hash, window_hash
 
 LENGTH, GRAM = 100, 40
 
 #: Different neighbourhoods of one hash in a shard, and bytes of a suffix array.
-SHARD, ARRAY = 2048, 1 << 21
+SHARD, ARRAY = 2048, 1 << 19
+
+#: Bytes of text hashed at a time, few enough for a CPU's cache.
+BLOCK = 1 << 18
 
 
 def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,9 +40,8 @@ def _anchors(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     n = len(buf) - gram + 1
     if n < 1 or len(buf) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), sums
-    at = np.arange(n)
-    h = span_hash(sums, at, at + gram)
-    low = sliding_min((h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), length - gram + 1)
+    h = window_hash(sums, gram)
+    low = sliding_min((h & ~np.uint64(0xFFFFFFFF)) | np.arange(n, dtype=np.uint64), length - gram + 1)
     edge = np.zeros(len(buf) + 1, np.int64)  # strings that start in the last bytes of a text run over its end
     np.add.at(edge, np.maximum(offsets[:-1], offsets[1:] - length + 1), 1)
     np.add.at(edge, offsets[1:], -1)
@@ -66,7 +68,7 @@ def _runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, buf, offsets in blocks(batch.column(0)):
+            for _, _, buf, offsets in blocks(batch.column(0), BLOCK):
                 h = np.sort(_anchors(buf, offsets, length)[1])
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.r_[first, len(h)]))], ["h", "n"])
@@ -77,7 +79,7 @@ def _count_anchors(length: int):
 def _place_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offsets in blocks(batch.column(2)):
+            for a, b, buf, offsets in blocks(batch.column(2), BLOCK):
                 at, h, _ = _anchors(buf, offsets, length)
                 row = np.searchsorted(offsets, at, "right") - 1
                 part = [c.slice(a, b - a).take(pa.array(row)) for c in batch.columns[:2]]
@@ -91,7 +93,7 @@ def _describe(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, offsets in blocks(batch.column(2)):
+            for a, b, buf, offsets in blocks(batch.column(2), BLOCK):
                 lists = batch.column(3).slice(a, b - a)
                 counts = np.diff(np.asarray(lists.offsets))
                 row = np.repeat(np.arange(b - a), counts)
@@ -112,17 +114,15 @@ def _describe(length: int):
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, th, text, [(h, sub, split, start, end)]) to one row a neighbourhood with its bytes."""
     for batch in batches:
-        for k in range(batch.num_rows):
-            raw = batch.column(2)[k].as_buffer()
-            view = memoryview(raw)
-            parts = batch.column(3)[k].as_py()
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([p["h"] for p in parts], pa.int64()), pa.array([p["sub"] for p in parts], pa.int64()), pa.array([p["split"] for p in parts], pa.bool_())]
-                + [batch.column(i).take(pa.array([k] * n)) for i in (0, 1)]
-                + [pa.array([p["start"] for p in parts], pa.int64()), pa.array([bytes(view[p["start"] : p["end"]]) for p in parts], pa.binary())],
-                ["h", "sub", "split", "doc", "th", "start", "bytes"],
-            )
+        for a, b, buf, offsets in blocks(batch.column(2)):
+            lists = batch.column(3).slice(a, b - a)
+            row = row_of(np.asarray(lists.offsets))
+            h, sub, split, start, end = lists.flatten().flatten()
+            low, high = (offsets[row] + x.to_numpy() for x in (start, end))
+            raw = buf.tobytes()
+            cut = [raw[i:j] for i, j in zip(low.tolist(), high.tolist())]
+            part = [c.slice(a, b - a).take(pa.array(row)) for c in batch.columns[:2]]
+            yield pa.RecordBatch.from_arrays([h, sub, split, *part, start, pa.array(cut, pa.binary())], ["h", "sub", "split", "doc", "th", "start", "bytes"])
 
 
 def _shards(length: int, array_bytes: int):
@@ -133,23 +133,19 @@ def _shards(length: int, array_bytes: int):
         column = table.column(6).combine_chunks().cast(pa.large_binary())
         ((_, _, buf, offsets),) = blocks(column, most=1 << 62)
         size = np.diff(offsets)
-        sa = suffix_array(np.r_[buf.astype(np.uint16) + 1, 0].astype(np.uint16))
-        shared = common_prefixes(buf, sa[1:], length)
+        row = row_of(offsets)
+        left = np.repeat(offsets[1:], size) - np.arange(len(buf))
+        sa, new = shared_suffixes(buf, left, length)
         doc, th, first = (table.column(i).to_numpy() for i in (3, 4, 5))
         order = np.lexsort((th, doc))
-        new = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(th[order]) != 0)]
+        changed = np.r_[True, (np.diff(doc[order]) != 0) | (np.diff(th[order]) != 0)]
         rank = np.empty(len(doc), np.int64)
-        rank[order] = np.cumsum(new)
-        row = row_of(offsets)
-        place = (rank[row] << 40) + first[row] + np.arange(len(buf)) - offsets[:-1][row]  # earlier strings first
-        whole = np.arange(len(buf)) + length <= offsets[1:][row]
-        sa = sa[1:]
-        begins = np.flatnonzero(shared[sa] < length)
-        key = np.where(whole[sa], place[sa], np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(key, begins)
-        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(sa)]))
+        rank[order] = np.cumsum(changed)
+        place = (rank << 40)[row[sa]] + (first - offsets[:-1])[row[sa]] + sa  # earlier strings first
+        begins = np.flatnonzero(new)
         gone = np.zeros(len(buf), bool)
-        gone[sa] = whole[sa] & (place[sa] > least[group])
+        if len(sa):
+            gone[sa] = place > np.repeat(np.minimum.reduceat(place, begins), np.diff(np.r_[begins, len(sa)]))
         start = np.flatnonzero(gone)
         owner = row[start]
         jump = np.flatnonzero(np.r_[True, (np.diff(start) > length) | (np.diff(owner) != 0)]) if len(start) else np.zeros(0, np.int64)
@@ -158,10 +154,7 @@ def _shards(length: int, array_bytes: int):
         owner = row[run_start]
         split = np.zeros(len(buf), bool)
         split[np.repeat(table.column(2).to_numpy(), size)] = True
-        chosen = np.flatnonzero(split & whole)
-        inverse = np.empty(len(sa), np.int64)
-        inverse[sa] = group
-        chosen = chosen[place[chosen] == least[inverse[chosen]]]
+        chosen = np.flatnonzero(split & (left >= length) & ~gone)  # the earliest of each class, alone in it or not
         sums = running(buf)
         w = span_hash(sums, chosen, chosen + length)
         w2 = span_hash(running(buf[::-1]), len(buf) - chosen - length, len(buf) - chosen)
@@ -205,23 +198,33 @@ def _shards(length: int, array_bytes: int):
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _finish(with_bytes: bool):
     """(id, text, [(start, end)]) to (id, n_bytes, n_removed, n_spans, kept)."""
-    for batch in batches:
-        n_bytes, n_removed, n_spans, kept, digest = [], [], [], [], []
-        for k in range(batch.num_rows):
-            view = memoryview(batch.column(1)[k].as_buffer())
-            lists = batch.column(2)[k].as_py()
-            start, end = _runs(np.array([x["start"] for x in lists], np.int64), np.array([x["end"] for x in lists], np.int64))
-            edge = [0, *np.stack([start, end], axis=1).ravel().tolist(), len(view)]
-            rest = b"".join(view[a:b] for a, b in zip(edge[::2], edge[1::2]))
-            n_bytes.append(len(view))
-            n_removed.append(len(view) - len(rest))
-            n_spans.append(len(start))
-            kept.append(rest)
-            digest.append(hashlib.sha256(rest).hexdigest())
-        counts = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept", "sha"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offsets in blocks(batch.column(1)):
+                lists = batch.column(2).slice(a, b - a)
+                base = offsets + np.arange(len(offsets))  # a gap after each text, so that no run goes on into the next
+                at = base[row_of(np.asarray(lists.offsets))]
+                start, end = _runs(*(at + x.to_numpy() for x in lists.flatten().flatten()))
+                owner = np.searchsorted(base, start, "right") - 1
+                first = np.searchsorted(owner, np.arange(len(offsets)))
+                n_removed = np.diff(np.r_[0, np.cumsum(end - start)][first])
+                start, end = (start - owner).tolist(), (end - owner).tolist()
+                raw, border, edge = memoryview(buf.tobytes()), offsets.tolist(), first.tolist()
+                kept, digest = [], []
+                for k in range(b - a):
+                    i, j = edge[k], edge[k + 1]
+                    rest = b"".join([raw[x:y] for x, y in zip([border[k], *end[i:j]], [*start[i:j], border[k + 1]])])
+                    kept.append(rest if with_bytes else None)
+                    digest.append(hashlib.sha256(rest).hexdigest())
+                counts = [pa.array(x.astype(np.int64)) for x in (np.diff(offsets), n_removed, np.diff(first))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), *counts, pa.array(kept, pa.binary()), pa.array(digest, pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept", "sha"]
+                )
+
+    return run
 
 
 def remove_repeats(
@@ -277,7 +280,7 @@ def remove_repeats(
     spans = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     empty = F.expr("array()").cast("array<struct<start:long,end:long>>")
     touched = some.join(spans, keys, "left").select("id", "text", F.coalesce("spans", empty).alias("spans"))
-    touched = touched.mapInArrow(_finish, f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
+    touched = touched.mapInArrow(_finish(with_bytes), f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
     kept = F.col("text") if with_bytes else F.lit(None).cast("binary")
     none = F.lit(0).cast("long")
     whole = rows.select(*keys, "id", F.octet_length("text").cast("long").alias("n_bytes"), kept.alias("kept"), F.sha2("text", 256).alias("sha"))

@@ -1,8 +1,8 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes, over numpy arrays.
+"""Suffix arrays by prefix doubling, and permuted common prefixes, over numpy arrays.
 
-Suffixes are classified as smaller (S) or larger (L) than the next one. The substrings between leftmost S suffixes are sorted, by
-recursion on their names if some are equal; from their order the L and then the S suffixes are induced in one scan each. A scan
-advances by runs of entries that cannot receive what they induce themselves, so it works on whole arrays.
+Suffixes are sorted by their first few symbols, packed into one number, and numbered in that order; the numbers of two suffixes that
+stand k symbols apart then order the first of them by twice as many symbols. A number that no other suffix has is final, so
+only suffixes that still share their prefix are sorted again.
 """
 
 from __future__ import annotations
@@ -10,132 +10,91 @@ from __future__ import annotations
 import numpy as np
 
 
-def _starts(char: np.ndarray) -> np.ndarray:
-    """Where a new character begins."""
-    new = np.empty(len(char), bool)
+def _starts(value: np.ndarray) -> np.ndarray:
+    """Whether a new value begins."""
+    new = np.empty(len(value), bool)
     new[:1] = True
-    np.not_equal(char[1:], char[:-1], out=new[1:])
-    return new.nonzero()[0]
+    np.not_equal(value[1:], value[:-1], out=new[1:])
+    return new
 
 
-def _by_char(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stable order of a run's characters, and the characters so ordered."""
-    if char.dtype == np.uint16:
-        order = np.argsort(char, kind="stable")
-        return order, char[order]
-    key = (char << 18) | np.arange(len(char))  # a run is shorter than 2**18, and this sorts faster than positions do
+def _alone(new: np.ndarray) -> np.ndarray:
+    """Whether a value begins and ends here."""
+    return new & np.r_[new[1:], True]
+
+
+def _sorted(value: np.ndarray, at: np.ndarray, low: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions ``at`` (below 2**low) by value (below 2**bits) and position, and where a new value begins."""
+    if bits + low > 63:
+        order = np.argsort(value, kind="stable")
+        return at[order], _starts(value[order])
+    key = (value << low) | at  # sorts far faster than positions do
     key.sort()
-    return key & ((1 << 18) - 1), key >> 18
+    return key & ((1 << low) - 1), _starts(key >> low)
 
 
-def _induce(text: np.ndarray, is_s: np.ndarray, sa: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-    """Fill ``sa``, which holds leftmost S suffixes at their places, with all suffixes."""
-    n = len(text)
-    head = starts.copy()
-    i, step = 0, 64
-    while i < n:
-        e = min(n, i + step)
-        seg = sa[i:e]
-        at = np.flatnonzero(seg > 0)
-        at = at[~is_s[seg[at] - 1]]
-        if len(at):
-            j = seg[at] - 1
-            char = text[j]
-            order, char = _by_char(char)
-            first = _starts(char)
-            target = head[char] + np.arange(len(char)) - np.repeat(first, np.diff(first, append=len(char)))
-            low = int(target.min())
-            if low < e:
-                e = low
-                keep = at[order] < e - i
-                order, char, target = order[keep], char[keep], target[keep]
-            sa[target] = j[order]
-            head[char] = target + 1  # of equal characters the last one counts
-        step = min(max(64, 2 * (e - i)), 1 << 17)
-        i = e
-    filled = np.flatnonzero(sa >= 0)
-    sa[filled[is_s[sa[filled]]]] = -1
-    sa[0] = n - 1
-    tail = ends.copy()
-    i, step = n, 64
-    while i > 0:
-        s = max(0, i - step)
-        seg = sa[s:i][::-1]
-        at = np.flatnonzero(seg > 0)
-        at = at[is_s[seg[at] - 1]]
-        if len(at):
-            j = seg[at] - 1
-            char = text[j]
-            order, char = _by_char(char)
-            first = _starts(char)
-            target = tail[char] - 1 - (np.arange(len(char)) - np.repeat(first, np.diff(first, append=len(char))))
-            high = int(target.max())
-            if high >= s:
-                s = high + 1
-                keep = at[order] < i - s
-                order, char, target = order[keep], char[keep], target[keep]
-            sa[target] = j[order]
-            tail[char] = target  # of equal characters the last one counts
-        step = min(max(64, 2 * (i - s)), 1 << 17)
-        i = s
+def _packed(text: np.ndarray, most: int) -> tuple[np.ndarray, int, int]:
+    """The first k symbols of every suffix as one number, k, and the bits of that number, at most about ``most``."""
+    there = np.bincount(text) > 0
+    code = (np.cumsum(there) - 1)[text]
+    bits = max(1, (int(there.sum()) - 1).bit_length())
+    k = max(1, most // bits)
+    out = code.copy()
+    for j in range(1, k):
+        out <<= bits
+        out[: max(0, len(text) - j)] |= code[j:]
+    return out, k, k * bits
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Order of the suffixes of ``text``: whole numbers from 0 on of which only the last is 0."""
     n = len(text)
-    if n < 3:
-        return np.arange(n)[::-1].copy()
-    if text.dtype != np.uint16 and text.max() < 1 << 16:
-        text = text.astype(np.uint16)  # sorts by radix
-    step = np.sign(np.diff(text.astype(np.int64)))
-    # an equal run is of the type of what follows it
-    nearest = np.where(step != 0, np.arange(n - 1), n)
-    nearest = np.minimum.accumulate(nearest[::-1])[::-1]
-    is_s = np.ones(n, bool)
-    is_s[:-1] = step[nearest] > 0
-    left = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
-    count = np.bincount(text)
-    ends = np.cumsum(count)
-    starts = ends - count
-
-    def place(order: np.ndarray) -> np.ndarray:
-        """Leftmost S suffixes, in this order within a bucket, at the ends of their buckets."""
-        sa = np.full(n, -1, np.int64)
-        char = text[order]
-        by = np.argsort(char, kind="stable")
-        char, order = char[by], order[by]
-        size = np.bincount(char, minlength=len(ends))
-        sa[ends[char] - size[char] + np.arange(len(char)) - (np.cumsum(size) - size)[char]] = order
-        return sa
-
-    sa = place(left)
-    _induce(text, is_s, sa, starts, ends)
-    is_left = np.zeros(n, bool)
-    is_left[left] = True
-    order = sa[is_left[sa]]
-    # names of the substrings between leftmost S suffixes, equal ones found character by character
-    length = np.zeros(n, np.int64)
-    length[left] = np.diff(np.r_[left, n - 1]) + 1
-    a, b = order[:-1], order[1:]
-    differ = length[a] != length[b]
-    open_ = np.flatnonzero(~differ)
-    k = 0
-    while len(open_):
-        x, y = a[open_], b[open_]
-        bad = (text[x + k] != text[y + k]) | (is_s[x + k] != is_s[y + k])
-        differ[open_[bad]] = True
-        k += 1
-        open_ = open_[~bad & (length[x] > k)]
-    name = np.r_[0, np.cumsum(differ)]
-    if name[-1] + 1 < len(order):
-        names = np.zeros(n, np.int64)
-        names[order] = name
-        order = left[suffix_array(names[left])]
-    sa = place(order)
-    _induce(text, is_s, sa, starts, ends)
+    low = n.bit_length()
+    value, k, bits = _packed(text, 63 - low)
+    sa, new = _sorted(value, np.arange(n), low, bits)
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at = np.sort(sa[~_alone(new)])
+    while len(at):
+        order, new = _sorted((rank[at] << low) | rank[at + k], at, low, 2 * low)  # a prefix that others share ends before the 0
+        i, base = np.arange(len(order)), rank[order]
+        inside = i - np.maximum.accumulate(np.where(_starts(base), i, 0))
+        sa[base + inside] = order
+        rank[order] = base + inside - (i - np.maximum.accumulate(np.where(new, i, 0)))
+        at = np.sort(order[~_alone(new)])
+        k *= 2
     return sa
 
 
+def shared_suffixes(text: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The part of a suffix array that shares: suffixes whose first ``depth`` symbols another one has too, in the order of these.
+
+    Equal ones are consecutive and by position; also returns where new ones begin. ``left`` is the number of symbols from each position to the
+    end of its row; suffixes with fewer than ``depth`` are left out.
+    """
+    low = len(text).bit_length()
+    value, most, bits = _packed(text, 63 - low)
+    steps = [depth]
+    while steps[-1] > most:
+        steps.append((steps[-1] + 1) // 2)
+    k = steps.pop()
+    value >>= bits // most * (most - k)
+    at = np.flatnonzero(left >= k)
+    order, new = _sorted(value[at], at, low, bits)
+    while True:
+        again = ~_alone(new)
+        order, new = order[again], new[again]
+        if not steps:
+            return order, new
+        rank = np.full(len(text), -1, np.int64)
+        rank[order] = np.cumsum(new) - 1
+        ahead = steps[-1] - k
+        k = steps.pop()
+        at = np.flatnonzero((rank >= 0) & (left >= k))
+        at = at[rank[at + ahead] >= 0]
+        order, new = _sorted((rank[at] << low) | rank[at + ahead], at, low, 2 * low)
+
+
 def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position (permuted, in text order) the bytes its suffix shares with the one before it in ``sa``, at most ``most``.
 

@@ -67,6 +67,15 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(U64) * U64(_STEP))
 
 
+def window_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """:func:`span_hash` of every ``width`` consecutive values."""
+    _, inv = powers(len(sums))
+    out = sums[width:] - sums[:-width]
+    out *= inv[: len(out)]
+    out += U64(width * _STEP % 2**64)
+    return mix(out)
+
+
 def blocks(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string or binary array at row borders into blocks of about ``most`` bytes; a longer text is a block of its own.
 

@@ -14,8 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.functions.scratch import materialize
-from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, text, vectors, warc
-from seqframe.llm.suffix import common_prefixes, suffix_array
+from seqframe.llm import decontaminate, katz, language, licenses, lines, mixing, near, repeats, suffix, text, vectors, warc
+from seqframe.llm.suffix import common_prefixes, shared_suffixes, suffix_array
 from seqframe.llm.text import grams, running, span_hash
 from tests.llm import brute
 
@@ -404,3 +404,37 @@ def test_katz_widens_words_a_run_at_a_time(monkeypatch):
     runs = list(katz._flushes(iter([pa.RecordBatch.from_arrays([pa.array(range(100)), ids], ["rid", "ids"])]), 1 << 30))
     assert [r[0] for r in runs] == list(range(0, 100, 2)) and all(r[1].base is None and len(r[1]) == 1000 for r in runs)
     assert np.array_equal(np.concatenate([r[1] for r in runs]), np.asarray(ids.flatten()).astype(np.int64))
+
+
+def test_shared_suffixes():
+    """Only suffixes that share their first symbols are sorted on, as the whole suffix array has them; rows are not crossed."""
+    random.seed(4)
+    for it in range(200):
+        depth = random.choice([1, 2, 3, 7, 20, 100])
+        parts = ["".join(random.choice("ab" if it % 2 else "abcdefgh") for _ in range(random.randint(0, 2 * depth))) for _ in range(4)]
+        rows = ["".join(random.choice(parts) for _ in range(random.randint(0, 4))).encode() for _ in range(random.randint(1, 6))]
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        left = np.concatenate([np.arange(len(r), 0, -1) for r in rows])
+        sa, new = shared_suffixes(data, left, depth)
+        whole = b"".join(rows)
+        here = [(whole[i : i + depth], i) for i in range(len(whole)) if left[i] >= depth]
+        times = collections.Counter(x for x, _ in here)
+        want = sorted(x for x in here if times[x[0]] > 1)
+        assert sa.tolist() == [i for _, i in want]
+        assert new.tolist() == [k == 0 or want[k - 1][0] != want[k][0] for k in range(len(want))]
+
+
+def test_suffixes_that_share_nothing_are_not_sorted_on(monkeypatch):
+    """Neighbourhoods share little but their anchor, so after the first rounds few positions are left to sort."""
+    rng = np.random.default_rng(3)
+    rows = [np.r_[rng.integers(97, 123, 60), np.full(40, 65 + k % 20), rng.integers(97, 123, 60)].astype(np.uint8) for k in range(400)]
+    sorted_, real = [], suffix._sorted
+
+    def count(value, at, low, bits):
+        sorted_.append(len(at))
+        return real(value, at, low, bits)
+
+    monkeypatch.setattr(suffix, "_sorted", count)
+    data, left = np.concatenate(rows), np.tile(np.arange(160, 0, -1), 400)
+    assert len(suffix.shared_suffixes(data, left, 100)[0]) == 0
+    assert sorted_[0] <= len(data) and sum(sorted_[1:]) < 0.8 * len(data)
