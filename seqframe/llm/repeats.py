@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.functions.scratch import materialize, release
+from seqframe.functions.scratch import discard, materialize, release
 from seqframe.llm.suffix import shared_suffixes
 from seqframe.llm.text import blocks, mix, row_of, running, sliding_min, span_hash, window_hash
 
@@ -253,7 +253,7 @@ def remove_repeats(
     anchors = rows.select(*keys, "text").mapInArrow(_place_anchors(length), "doc long, th long, h long, at long")
     lists = anchors.join(again, "h", "left_semi").groupBy(*keys).agg(F.collect_set(F.col("at")).alias("ats"))
     some = materialize(rows.join(lists, keys))
-    release(docs.sparkSession)
+    discard(again)
 
     near = some.dropDuplicates(keys).select(*keys, "text", "ats").mapInArrow(_describe(length), "doc long, th long, h long, f long, start long, end long")
     near = materialize(near)
@@ -272,6 +272,7 @@ def remove_repeats(
     pieces = pieces.repartition(parts, "h", "sub").sortWithinPartitions("h", "sub")
     release(docs.sparkSession)
     sorted_ = materialize(pieces.mapInArrow(_shards(length, array_bytes), "doc long, th long, start long, end long, w long, w2 long, open boolean"))
+    release(docs.sparkSession)  # the bytes dealt to shards
     open_ = sorted_.where("open").select(*keys, "start", "end", "w", "w2")
     first = open_.groupBy("w", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     merged = open_.join(first, ["w", "w2"]).where(place > F.col("first")).select(*keys, "start", "end")

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -438,3 +439,20 @@ def test_suffixes_that_share_nothing_are_not_sorted_on(monkeypatch):
     data, left = np.concatenate(rows), np.tile(np.arange(160, 0, -1), 400)
     assert len(suffix.shared_suffixes(data, left, 100)[0]) == 0
     assert sorted_[0] <= len(data) and sum(sorted_[1:]) < 0.8 * len(data)
+
+
+def test_repeats_lets_go_of_what_later_steps_do_not_read(spark, docs, monkeypatch):
+    """The table of hashes goes once texts are chosen, and the bytes dealt to shards once these are sorted."""
+    steps = []
+
+    def store(df, *how):
+        out = materialize(df, *how)
+        steps.append(out._scratch_path)
+        return out
+
+    monkeypatch.setattr(repeats, "materialize", store)
+    real = repeats.release
+    monkeypatch.setattr(repeats, "release", lambda session: (steps.append("release"), real(session)))
+    found = repeats.remove_repeats(docs)
+    assert not os.path.exists(steps[0]) and steps[-1] == "release"
+    assert found.count() == docs.count()
