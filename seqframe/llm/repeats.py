@@ -278,7 +278,8 @@ def remove_repeats(
     merged = open_.join(first, ["w", "w2"]).where(place > F.col("first")).select(*keys, "start", "end")
 
     spans = copies.unionByName(sorted_.where("not open").select(*keys, "start", "end")).unionByName(merged)
-    spans = spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = materialize(spans.groupBy(*keys).agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    discard(near, equal, sorted_)
     empty = F.expr("array()").cast("array<struct<start:long,end:long>>")
     touched = some.join(spans, keys, "left").select("id", "text", F.coalesce("spans", empty).alias("spans"))
     touched = touched.mapInArrow(_finish(with_bytes), f"doc {kind}, n_bytes long, n_removed long, n_spans long, kept binary, sha string")
