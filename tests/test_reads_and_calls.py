@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.operators import alignments as al
+from seqframe.functions.quality import encode_phred33
 from seqframe.operators import de, pairs, pileup, recalibrate
 from seqframe.operators import variants as vr
 from seqframe.plans.base_queries import PAIRS_SQL
@@ -200,6 +201,14 @@ def test_recalibration_by_hand(spark):
     assert got == {"a": [22, 25, 11], "b": [20, 15, 99], "c": [11, 25, 22], "d": [30, 30], "e": [], "f": [30, 2]}
 
 
+def test_recalibrated_qualities_as_text(spark):
+    """A function over Arrow batches takes the qualities as they come out."""
+    table = spark.createDataFrame([("g", 30, "quality", "", 1, 1, 20.0)], "read_group string, q int, kind string, value string, observations bigint, mismatches bigint, empirical double")
+    reads = spark.createDataFrame([("a", "g", 0, "AC", [30, 2]), ("b", "h", 16, "A", [30]), ("c", "g", 0, None, None)], "read_id string, read_group string, flag int, seq string, quals array<int>")
+    out = recalibrate.apply_recalibration(reads, table).select("read_id", encode_phred33(F.col("quals")).alias("qual"), "used_bqsr")
+    assert sorted(map(tuple, out.collect())) == [("a", "5#", True), ("b", "?", True), ("c", None, True)]
+
+
 def test_recalibration_of_many_read_groups(spark):
     """No limit on groups: each is a row of its own."""
     groups = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("read_group"), F.explode(F.array(F.lit(30))).alias("q"))
