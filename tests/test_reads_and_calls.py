@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from seqframe.operators import alignments as al
 from seqframe.functions.quality import encode_phred33
-from seqframe.operators import de, pairs, pileup, recalibrate
+from seqframe.functions.skew import lookup_join
+from seqframe.operators import de, mapping, pairs, pileup, recalibrate
 from seqframe.operators import variants as vr
 from seqframe.plans.base_queries import PAIRS_SQL
 from seqframe.plans.registry import QUERIES
@@ -243,6 +244,22 @@ def test_pairs_against_their_definition(spark):
     assert not compare(spark, connect(sf), sf, "map_pairs", QUERIES["map_pairs"], PAIRS_SQL)[0]
 
 
+def test_places_of_a_repeat_are_sifted_before_they_are_compared(spark, monkeypatch):
+    """Reads that share a word with a thousand places, and little else, are compared at few; palindromes and turned words are found."""
+    rng = random.Random(5)
+    line, unit = genome(rng, 24), "ACGTACGTACGTACGTACGT"  # the unit is its own reverse complement
+    text = "".join(genome(rng, 60) + line for _ in range(1000)) + genome(rng, 50) + unit + genome(rng, 50)
+    contigs = [("c", i, text[i : i + 1256]) for i in range(0, len(text), 1000)]
+    reference = spark.createDataFrame(contigs, "chrom string, start0 long, bases string")
+    at = [84 * 7 + 70, 84 * 500 + 40, len(text) - 90]
+    seqs = [text[a : a + 66] for a in at] + [text[84 * 900 + 30 : 84 * 900 + 96][::-1].translate(TURN), genome(rng, 20) + line + genome(rng, 22)]
+    rows = []
+    monkeypatch.setattr(mapping, "lookup_join", lambda *a, **k: rows.append(a[0]) or lookup_join(*a, **k))
+    hits = mapping.placements(spark.createDataFrame([(s,) for s in seqs], "seq string"), reference, 20, 2, 1000, 256)
+    assert sorted((r["seq"], r["strand"], r["pos0"], r["mismatches"]) for r in hits.collect()) == sorted([(s, "+", a, 0) for s, a in zip(seqs, at)] + [(seqs[3], "-", 84 * 900 + 30, 0)])
+    assert sum(r.count() for r in rows) < 500
+
+
 def test_collected_reports_are_cut_anywhere(spark, tmp_path):
     """Reports of many samples in one text file, read in splits that cut reports, names and what stands between them."""
     logs = [f"==> logs/U{i}.log <==\n10 reads; of these:\n" + (f"{i}.25% overall alignment rate\n" if i % 4 else "no rate\n") for i in range(90)]
