@@ -210,6 +210,22 @@ def test_recalibrated_qualities_as_text(spark):
     assert sorted(map(tuple, out.collect())) == [("a", "5#", True), ("b", "?", True), ("c", None, True)]
 
 
+def test_recalibration_counts_by_batch(spark):
+    """Missing qualities, texts and groups, overhanging pieces, second mates and both strands; no row a base."""
+    rows = [
+        (None, 0, "c", 1, "4M", "ACGT", [30, None]), ("g", 16 + 128, "c", 2, "2M1I2M", "CTAGN", [9, 8, 7, 6, 5]), ("g", 0, "c", 3, "4M", "GT", [3, 3, 3, 3]),
+        ("g", 0, "c", 1, "3M", None, [1, 1, 1]), ("g", 0, "c", 1, "3M", "ACG", None), ("g", 0, "c", 6, "4M", "CCGT", [2] * 4), ("g", 0, "c", 1, "2M", "éC", [4, 4]),
+    ]
+    reads = spark.createDataFrame(rows, "read_group string, flag int, chrom string, pos long, cigar string, seq string, quals array<int>")
+    reference = spark.createDataFrame([("c", 0, "ACGTACG")], "chrom string, start0 long, bases string")
+    table = recalibrate.base_recalibration_table(reads, reference, None, 1000)
+    got = {(str(r["read_group"]), str(r["q"]), r["value"]): (r["observations"], r["mismatches"]) for r in table.filter("kind = 'context'").collect()}
+    assert {k: v for k, v in got.items() if k[0] == "None"} == {("None", "None", c): (1, 0) for c in ("AC", "CG", "GT")}
+    seen = {(str(r["read_group"]), str(r["q"])): (r["observations"], r["mismatches"]) for r in table.filter("kind = 'quality'").collect()}
+    assert seen == {("None", "30"): (1, 0), ("None", "None"): (3, 0), ("g", "9"): (1, 0), ("g", "8"): (1, 1), ("g", "6"): (1, 1), ("g", "3"): (2, 0), ("g", "2"): (2, 1), ("g", "4"): (1, 0)}
+    assert "MapInArrow" in table._jdf.queryExecution().toString()
+
+
 def test_recalibration_of_many_read_groups(spark):
     """No limit on groups: each is a row of its own."""
     groups = spark.range(3000).select(F.concat(F.lit("g"), "id").alias("read_group"), F.explode(F.array(F.lit(30))).alias("q"))
